@@ -4,18 +4,15 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import functions as F
 
-
-def chi2_tail(x: float, df: int) -> float:
+def chi2_tail(x: float | None, df: int | None) -> float | None:
     """P(chi-squared with ``df`` degrees of freedom > x).
 
     Closed forms: an erfc or exponential term plus a finite sum, stepping up
     by two degrees at a time.
     """
-    if x is None or math.isnan(x) or df < 1:
-        return float("nan")
+    if x is None or df is None or math.isnan(x) or df < 1:
+        return None
     if x <= 0:
         return 1.0
     half = x / 2
@@ -40,14 +37,3 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     observed = log_p(a)
     support = range(max(0, row + col - n), min(row, col) + 1)
     return min(1.0, math.fsum(math.exp(lp) for lp in map(log_p, support) if lp <= observed + 1e-7))
-
-
-@F.pandas_udf("double")
-def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([chi2_tail(s, int(k)) if pd.notna(s) and pd.notna(k) else None for s, k in zip(x, df)])
-
-
-@F.pandas_udf("double")
-def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    cells = zip(a, b, c, d)
-    return pd.Series([fisher_two_sided(*map(int, t)) if all(map(pd.notna, t)) else None for t in cells])

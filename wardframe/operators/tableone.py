@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardframe.functions.pvalues import chi2_p, fisher_p
+from wardframe.functions.pvalues import chi2_tail, fisher_two_sided
 from wardframe.operators.ordered import long_values, null_safe_join, quantile_rows, running_totals
 from wardframe.operators.profile import missing_pct
 from wardframe.session import pin
@@ -162,28 +162,30 @@ def chi_squared(counts: DataFrame, groupby: str, levels: Sequence, correct: bool
     )
 
 
+def _test_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, "variable string, pval double, test string")
+
+
 def continuous_tests(totals: DataFrame, n_levels: int) -> DataFrame:
-    tests = _kruskal(totals, n_levels)
-    return tests.select(
-        "variable", chi2_p(F.col("statistic"), F.col("df")).alias("pval"), F.lit("Kruskal-Wallis").alias("test")
-    )
+    """p-value per variable; the driver sees one row per variable."""
+    stats = _kruskal(totals, n_levels).collect()
+    rows = [(r["variable"], chi2_tail(r["statistic"], r["df"]), "Kruskal-Wallis") for r in stats]
+    return _test_table(totals.sparkSession, rows)
 
 
 def categorical_tests(counts: DataFrame, groupby: str, levels: Sequence) -> DataFrame:
     """Chi-squared, or for a 2x2 table with a small expected count the exact
-    test; other tables with a small expected count carry a warning."""
-    stats = chi_squared(counts, groupby, levels)
-    small = F.col("min_expected") < 5
-    exact = small & F.col("a").isNotNull()
-    # one row per variable
-    return stats.select(
-        "variable",
-        F.when(exact, fisher_p("a", "b", "c", "d"))
-        .otherwise(chi2_p(F.col("statistic"), F.col("df"))).alias("pval"),
-        F.when(exact, "Fisher's exact")
-        .when(small, "Chi-squared (warning: expected count < 5)")
-        .otherwise("Chi-squared").alias("test"),
-    )
+    test; other tables with a small expected count carry a warning.  The
+    driver sees one row per variable."""
+    rows = []
+    for r in chi_squared(counts, groupby, levels).collect():
+        small = r["min_expected"] is not None and r["min_expected"] < 5
+        if small and r["a"] is not None:
+            rows.append((r["variable"], fisher_two_sided(r["a"], r["b"], r["c"], r["d"]), "Fisher's exact"))
+        else:
+            name = "Chi-squared (warning: expected count < 5)" if small else "Chi-squared"
+            rows.append((r["variable"], chi2_tail(r["statistic"], r["df"]), name))
+    return _test_table(counts.sparkSession, rows)
 
 
 def table_one(
