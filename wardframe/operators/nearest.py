@@ -7,107 +7,100 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardframe.functions.times import micros_between
 from wardframe.operators.ordered import SLICE, has_hot_group, null_safe_join, sliced
+from wardframe.session import pin
+
+EARLIER = (Window.unboundedPreceding, -1)
 
 
 def _neighbours(
-    anchors: DataFrame,
-    events: DataFrame,
-    keys: Sequence[str],
-    at: Column,
-    items: Sequence,
-    limit: int | None,
+    anchors: DataFrame, events: DataFrame, keys: Sequence[str], at: Column, items: Sequence, limit: int | None
 ) -> DataFrame:
-    """Per anchor and item, the last event up to ``at`` and the first one
-    after it, as structs ``b<i>`` and ``a<i>`` of (t, v).
+    """One row per anchor and item with the last event up to ``at`` and the
+    first one after it, as structs ``before`` and ``after`` of (t, v).
 
-    Anchors and events are merged into one time-ordered run per key, so each
-    row is read once per direction and no anchor-event pair is ever built.
+    Anchors and events are merged into one time-ordered run per key and item,
+    so every row is read once per direction and no anchor-event pair is built.
     """
     keys = list(keys)
     payload = F.struct(*anchors.columns)
-    marks = anchors.select(
-        *keys,
-        at.alias("_t"),
-        F.lit(1).alias("_kind"),
-        F.xxhash64(*anchors.columns).alias("_tie"),
-        F.lit(None).cast(events.schema["item"].dataType).alias("_item"),
-        F.lit(None).cast(events.schema["value"].dataType).alias("_v"),
-        payload.alias("_anchor"),
-    )
-
-    def as_marks(frame: DataFrame) -> DataFrame:
-        return frame.select(
-            *keys,
-            F.col("time").alias("_t"),
-            F.lit(0).alias("_kind"),
-            F.xxhash64("item").alias("_tie"),
-            F.col("item").alias("_item"),
-            F.col("value").alias("_v"),
-            F.lit(None).cast(marks.schema["_anchor"].dataType).alias("_anchor"),
-        )
-
-    def match(i: int, time: Column = F.col("_t")) -> Column:
-        return F.when(F.col("_item") == F.lit(items[i]), F.struct(time.alias("t"), F.col("_v").alias("v")))
-
-    numbers = range(len(items))
+    kind = events.schema["item"].dataType
+    wanted = F.explode(F.array(*[F.lit(i).cast(kind) for i in items]))
+    marks = anchors.select(*keys, at.alias("t"), payload.alias("anchor"), wanted.alias("item"))
     hot = has_hot_group(events.select(*keys).unionByName(anchors.select(*keys)), keys, limit)
     if hot:
-        # equal times collapse to their largest value, then even one key is cut
-        flat = events.groupBy(*keys, "item", "time").agg(F.max("value").alias("value"))
-        run = sliced(as_marks(flat).unionByName(marks), [*keys, "_t", "_kind", "_tie"])
-        group = [SLICE, *keys]
+        # equal times collapse to their largest value, then any key can be cut
+        events = events.groupBy(*keys, "item", "time").agg(F.max("value").alias("value"))
+    run = events.select(*keys, F.col("time").alias("t"), "item", "value").unionByName(
+        marks, allowMissingColumns=True
+    )
+    run = run.selectExpr(
+        *[f"`{k}`" for k in keys], "item", "t", "value", "anchor",
+        "CASE WHEN anchor IS NULL THEN 0 ELSE 1 END AS kind",
+        "xxhash64(anchor) AS tie",
+    )
+    if hot:
+        run = sliced(run, [*keys, "item", "t", "kind", "tie"])
+        group = [SLICE, *keys, "item"]
     else:
-        run = as_marks(events).unionByName(marks)
-        group = keys
+        # one exchange by key serves both windows and the pivot after them
+        run = run.repartition(*keys)
+        group = [*keys, "item"]
 
     # at equal times events precede anchors, and the largest value comes last
-    up = [F.col(c).asc_nulls_first() for c in ("_t", "_kind", "_v", "_tie")]
-    down = [
-        F.col("_t").desc_nulls_last(), F.col("_kind").desc(),
-        F.col("_v").asc_nulls_first(), F.col("_tie").desc(),
-    ]
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    forward = Window.partitionBy(*group).orderBy(*up).rowsBetween(*so_far)
-    backward = Window.partitionBy(*group).orderBy(*down).rowsBetween(*so_far)
-    near = run.select(
-        "*",
-        *[F.last(match(i), ignorenulls=True).over(forward).alias(f"b{i}") for i in numbers],
-        *[F.last(match(i), ignorenulls=True).over(backward).alias(f"a{i}") for i in numbers],
-    ).where(F.col("_kind") == 1)
-
+    up = "t ASC NULLS FIRST, kind ASC, value ASC NULLS FIRST, tie ASC"
+    down = "t DESC NULLS LAST, kind DESC, value ASC NULLS FIRST, tie DESC"
+    latest = "last(event, true) OVER (PARTITION BY {0} ORDER BY {1} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    part = ", ".join(f"`{c}`" for c in group)
+    run = run.selectExpr("*", "CASE WHEN kind = 0 THEN named_struct('t', t, 'v', value) END AS event")
+    near = run.selectExpr(
+        "*", f"{latest.format(part, up)} AS before", f"{latest.format(part, down)} AS after"
+    ).where("kind = 1")
     if hot:
-        near = _carry(near, run, keys, group, match, numbers)
-    return near.select("_anchor.*", *[f"b{i}" for i in numbers], *[f"a{i}" for i in numbers])
+        near = _carry(near, run, [*keys, "item"], group)
+    return near.select("anchor.*", "item", "before", "after")
 
 
-def _carry(near, run, keys, group, match, numbers) -> DataFrame:
+def _carry(near: DataFrame, run: DataFrame, keys: Sequence[str], group: Sequence[str]) -> DataFrame:
     """Fill anchors that found nothing inside their slice from the nearest
-    slice of the same key that has the item (one summary row per slice)."""
-    ends = run.where(F.col("_kind") == 0).groupBy(*group).agg(
-        *[F.max_by(match(i), F.when(match(i).isNotNull(), F.struct(F.lit(1), F.col("_t")))).alias(f"l{i}") for i in numbers],
-        *[F.min_by(match(i), F.when(match(i).isNotNull() & F.col("_t").isNotNull(), F.col("_t"))).alias(f"f{i}") for i in numbers],
+    slice of the same key that holds an event (one summary row per slice)."""
+    ends = run.groupBy(*group).agg(
+        F.expr("max_by(event, struct(kind = 0, t)) FILTER (WHERE kind = 0) AS final"),
+        F.expr("min_by(event, t) FILTER (WHERE kind = 0 AND t IS NOT NULL) AS first"),
     )
-    touched = run.select(*group).distinct()
-    ends = null_safe_join(touched, ends, group, "left")
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    onward = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(*EARLIER)
+    back = Window.partitionBy(*keys).orderBy(F.col(SLICE).desc()).rowsBetween(*EARLIER)
     carried = ends.select(
         *group,
-        *[F.last(f"l{i}", ignorenulls=True).over(before).alias(f"cb{i}") for i in numbers],
-        *[F.last(f"f{i}", ignorenulls=True).over(after).alias(f"ca{i}") for i in numbers],
+        F.last("final", ignorenulls=True).over(onward).alias("carried_before"),
+        F.last("first", ignorenulls=True).over(back).alias("carried_after"),
     )
-    joined = null_safe_join(near, carried, group, "left")
-    return joined.select(
-        "_anchor",
-        *[F.coalesce(f"b{i}", f"cb{i}").alias(f"b{i}") for i in numbers],
-        *[F.coalesce(f"a{i}", f"ca{i}").alias(f"a{i}") for i in numbers],
+    return null_safe_join(near, carried, group, "left").withColumns(
+        {"before": F.coalesce("before", "carried_before"), "after": F.coalesce("after", "carried_after")}
     )
 
 
-def _gap(time: Column, rank_at: Column) -> Column:
-    return F.abs(micros_between(time, rank_at))
+def _winners(near: DataFrame, rank_at: Column, window: tuple[Column, Column] | None) -> DataFrame:
+    """Flags ``wins_before`` and ``wins_after``: the neighbour lies in the
+    window and no event of the item is closer to ``rank_at``."""
+    low, high = window or (F.lit(None), F.lit(None))
+    inside = "" if window is None else " AND {0}.t >= _low AND {0}.t <= _high"
+    # an event without time ranks behind every event that has one
+    gap = "coalesce(abs(timestampdiff(MICROSECOND, {0}.t, _rank)), 4611686018427387904)"
+    usable = "coalesce({0} IS NOT NULL" + inside + ", false)"
+    return (
+        near.withColumns({"_rank": rank_at, "_low": low, "_high": high})
+        .selectExpr(
+            "*",
+            *[f"{usable.format(s)} AS has_{s}" for s in ("before", "after")],
+            *[f"{gap.format(s)} AS gap_{s}" for s in ("before", "after")],
+        )
+        .selectExpr(
+            "*",
+            "has_before AND (NOT has_after OR gap_before <= gap_after) AS wins_before",
+            "has_after AND (NOT has_before OR gap_after <= gap_before) AS wins_after",
+        )
+    )
 
 
 def nearest_values(
@@ -117,49 +110,30 @@ def nearest_values(
     at: str,
     items: Mapping[str, object],
     window: tuple[Column, Column] | None = None,
+    presence: bool = False,
     limit: int | None = None,
 ) -> DataFrame:
     """The value of each item nearest in time to ``at``, one column per item.
 
     ``events`` has ``keys`` and the columns ``item``, ``time`` and ``value``;
-    ``items`` names the output column of each item.  Every anchor is kept.  A
-    tie in distance yields the largest value, and a NULL value holds its place:
-    it yields NULL rather than the next nearest.  ``window`` restricts the
-    events to a closed time range around the anchor.  Anchors need a time.
+    ``items`` names the output column of each item.  Every anchor is kept, and
+    anchors have to be distinct rows with a time.  A tie in distance yields
+    the largest value, and a NULL value holds its place: it yields NULL rather
+    than the next nearest.  ``window`` restricts the events to a closed time
+    range around the anchor; ``presence`` adds a column ``has_<name>`` per
+    item that tells a NULL value from no event.
     """
-    names = list(items)
-    near = _neighbours(anchors, events, keys, F.col(at), [items[n] for n in names], limit)
-    return near.select(
-        *anchors.columns,
-        *[_nearest(F.col(f"b{i}"), F.col(f"a{i}"), F.col(at), window)[0].alias(n) for i, n in enumerate(names)],
-        *[_nearest(F.col(f"b{i}"), F.col(f"a{i}"), F.col(at), window)[1].alias(f"has_{n}") for i, n in enumerate(names)],
+    near = _neighbours(anchors, events, keys, F.col(at), list(items.values()), limit)
+    won = _winners(near, F.col(at), window).selectExpr(
+        *[f"`{c}`" for c in anchors.columns],
+        "item",
+        "greatest(CASE WHEN wins_before THEN before.v END, CASE WHEN wins_after THEN after.v END) AS v",
+        "wins_before OR wins_after AS found",
     )
-
-
-def _usable(before: Column, after: Column, window) -> tuple[Column, Column]:
-    has_before, has_after = before.isNotNull(), after.isNotNull()
-    if window is not None:
-        low, high = window
-        has_before = has_before & (before["t"] >= low) & (before["t"] <= high)
-        has_after = has_after & (after["t"] >= low) & (after["t"] <= high)
-    return F.coalesce(has_before, F.lit(False)), F.coalesce(has_after, F.lit(False))
-
-
-def _wins(before: Column, after: Column, rank_at: Column, window) -> tuple[Column, Column]:
-    """Whether the earlier and the later neighbour hold the first dense rank."""
-    has_before, has_after = _usable(before, after, window)
-    # an event without time ranks behind every event that has one
-    gap_before = F.coalesce(_gap(before["t"], rank_at), F.lit(2**62))
-    gap_after = F.coalesce(_gap(after["t"], rank_at), F.lit(2**62))
-    before_wins = has_before & (~has_after | (gap_before <= gap_after))
-    after_wins = has_after & (~has_before | (gap_after <= gap_before))
-    return before_wins, after_wins
-
-
-def _nearest(before: Column, after: Column, rank_at: Column, window) -> tuple[Column, Column]:
-    before_wins, after_wins = _wins(before, after, rank_at, window)
-    value = F.greatest(F.when(before_wins, before["v"]), F.when(after_wins, after["v"]))
-    return value, before_wins | after_wins
+    columns = [F.max(F.when(F.col("item") == i, F.col("v"))).alias(n) for n, i in items.items()]
+    if presence:
+        columns += [F.max(F.when(F.col("item") == i, F.col("found"))).alias(f"has_{n}") for n, i in items.items()]
+    return won.groupBy(*anchors.columns).agg(*columns)
 
 
 def nearest_rows(
@@ -180,39 +154,34 @@ def nearest_rows(
     Anchors without events in the window keep one row with a NULL time.
     ``rank_at`` NULL makes every event of the window rank first.
     """
-    names = list(items)
+    anchors = pin(anchors)
     low, high = window
     # seen from any point, the nearest event of a range neighbours the point
     # of the range closest to it
-    timed = anchors.where(F.col(rank_at).isNotNull())
     closest = F.greatest(F.least(F.col(rank_at), high), low)
-    near = _neighbours(timed, events, keys, closest, [items[n] for n in names], limit)
-    hits = []
-    for i, n in enumerate(names):
-        before, after = F.col(f"b{i}"), F.col(f"a{i}")
-        before_wins, after_wins = _wins(before, after, F.col(rank_at), window)
-        for side, wins in ((before, before_wins), (after, after_wins)):
-            hits.append(
-                F.when(wins, F.struct(side["t"].alias("t"), F.lit(n).alias("name"), side["v"].alias("v")))
-            )
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    # at most two hits per item, so the grouping by time stays inside the row
-    times = F.array_distinct(F.transform(found, lambda h: h["t"]))
-    per_time = near.select(*anchors.columns, found.alias("_found"), F.explode_outer(times).alias(time_name))
-
-    def value_at(n: str) -> Column:
-        mine = F.filter("_found", lambda h: (h["name"] == n) & (h["t"] == F.col(time_name)))
-        return F.array_max(F.transform(mine, lambda h: h["v"])).alias(n)
-
-    rows = per_time.select(*anchors.columns, time_name, *[value_at(n) for n in names])
-
-    untimed = interval_join(
-        anchors.where(F.col(rank_at).isNull()), events, keys, low, high, "time", "left", anchor_id
+    timed = anchors.where(F.col(rank_at).isNotNull())
+    near = _neighbours(timed, events, keys, closest, list(items.values()), limit)
+    # at most two hits per item, so the list of an anchor stays short
+    hits = (
+        _winners(near, F.col(rank_at), window)
+        .selectExpr(
+            *[f"`{c}`" for c in anchors.columns],
+            "filter(array(CASE WHEN wins_before THEN named_struct('t', before.t, 'item', item, 'v', before.v) END,"
+            " CASE WHEN wins_after THEN named_struct('t', after.t, 'item', item, 'v', after.v) END),"
+            " h -> h IS NOT NULL) AS hits",
+        )
+        .groupBy(*anchors.columns)
+        .agg(F.flatten(F.collect_list("hits")).alias("hits"))
+        .select(*anchors.columns, F.explode_outer("hits").alias("h"))
+        .select(*anchors.columns, F.col("h.t").alias("time"), "h.item", F.col("h.v").alias("value"))
     )
-    tied = untimed.groupBy(*anchors.columns, F.col("time").alias(time_name)).agg(
-        *[F.max(F.when(F.col("item") == F.lit(items[n]), F.col("value"))).alias(n) for n in names]
+    untimed = anchors.where(F.col(rank_at).isNull())
+    if not untimed.isEmpty():
+        tied = interval_join(untimed, events, keys, low, high, "time", "left", anchor_id)
+        hits = hits.unionByName(tied)
+    return hits.groupBy(*anchors.columns, F.col("time").alias(time_name)).agg(
+        *[F.max(F.when(F.col("item") == i, F.col("value"))).alias(n) for n, i in items.items()]
     )
-    return rows.unionByName(tied)
 
 
 CELL_MICROS = 24 * 3600 * 1_000_000

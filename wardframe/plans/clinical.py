@@ -89,18 +89,23 @@ def _chart_events(charts: DataFrame, items: Sequence[int], keys: Sequence[str])
     )
 
 
-def _nearest_per_item(
-    t: Tables, groups: Mapping[str, Sequence[int]], keys: Sequence[str]
-) -> tuple[DataFrame, list[int]]:
+def nearest_charts(t: Tables, groups: Mapping[str, Sequence[int]], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Per stay and charted item ``i<item>``, the value nearest to ``intime``
+    over the whole stay, and whether there is one (``has_i<item>``)."""
     items = list(chain.from_iterable(groups.values()))
-    near = nearest_values(
+    return nearest_values(
         t["icustays"].select(*keys, "intime"),
         _chart_events(t["chartevents"], items, keys),
         keys,
         "intime",
         {f"i{item}": item for item in items},
+        presence=True,
     )
-    return near, items
+
+
+def largest_of(groups: Mapping[str, Sequence[int]]) -> list:
+    """The largest of the nearest values of each group's items."""
+    return [F.array_max(F.array(*[f"i{i}" for i in items])).alias(n) for n, items in groups.items()]
 
 
 def nearest_vitals(
@@ -108,10 +113,9 @@ def nearest_vitals(
 ) -> DataFrame:
     """Nearest value per charted item, then the largest over the items of a
     vital sign; stays without any listed item have no row."""
-    near, items = _nearest_per_item(t, vitals, keys)
-    charted = F.greatest(*[F.col(f"has_i{i}") for i in items])
-    largest = [F.array_max(F.array(*[f"i{i}" for i in v])).alias(n) for n, v in vitals.items()]
-    return near.where(charted).select(*keys, *largest)
+    near = nearest_charts(t, vitals, keys)
+    charted = " OR ".join(f"has_i{i}" for i in chain.from_iterable(vitals.values()))
+    return near.where(charted).select(*keys, *largest_of(vitals))
 
 
 def nearest_liver(
@@ -119,22 +123,15 @@ def nearest_liver(
 ) -> DataFrame:
     """Nearest value per charted item over the whole stay, one row per item,
     with one column per enzyme."""
-    near, items = _nearest_per_item(t, enzymes, keys)
+    near = nearest_charts(t, enzymes, keys)
     rows = [
-        F.when(
-            F.col(f"has_i{i}"),
-            F.struct(
-                F.lit(i).alias("itemid"),
-                *[
-                    (F.col(f"i{i}") if i in members else F.lit(None).cast("double")).alias(name)
-                    for name, members in enzymes.items()
-                ],
-            ),
-        )
-        for i in items
+        f"CASE WHEN has_i{i} THEN named_struct('itemid', {i}, "
+        + ", ".join(f"'{n}', {f'i{i}' if i in members else 'CAST(NULL AS DOUBLE)'}" for n, members in enzymes.items())
+        + ") END"
+        for i in chain.from_iterable(enzymes.values())
     ]
-    charted = F.filter(F.array(*rows), lambda r: r.isNotNull())
-    return near.select(*keys, F.explode(charted).alias("r")).select(*keys, "r.*")
+    charted = F.expr(f"explode(filter(array({', '.join(rows)}), r -> r IS NOT NULL))")
+    return near.select(*keys, charted.alias("r")).select(*keys, "r.*")
 
 
 def best_per_stay(liver: DataFrame, enzyme: str, keys: Sequence[str] = KEYS) -> DataFrame:

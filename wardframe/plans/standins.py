@@ -7,8 +7,6 @@ of a whole driver table.
 
 from __future__ import annotations
 
-from string import ascii_uppercase, digits
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -304,12 +302,20 @@ def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     size = F.length(text)
 
-    def count(characters: str) -> Column:
-        return size - F.length(F.translate(text, characters, ""))
+    def without(characters: str) -> Column:
+        left = text
+        for c in characters:
+            left = F.replace(left, F.lit(c), F.lit(""))
+        return size - F.length(left)
 
     counted = table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", "source", size.alias("size"), count(digits).alias("d"), count(ascii_uppercase).alias("u"),
-        count(".,;:!?").alias("p"), count(" \n").alias("b"), count("\n").alias("l"), F.col("n_chars").cast("double").alias("n_chars"),
+        "doc_id", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"),
+        size.alias("size"),
+        F.regexp_count(text, F.lit("[0-9]")).alias("d"),
+        F.regexp_count(text, F.lit("[A-Z]")).alias("u"),
+        F.regexp_count(text, F.lit("[.,;:!?]")).alias("p"),
+        without(" \n").alias("b"),
+        without("\n").alias("l"),
     )
 
     def share(name: str) -> Column:
