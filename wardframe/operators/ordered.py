@@ -170,12 +170,42 @@ def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ())
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Exact quantiles of every column: one row per variable.
 
-    ``percentile`` would hold every distinct value of a column in one task;
-    here the values are counted, range-sorted and the wanted positions picked.
+    ``percentile`` would hold every distinct value of a column in one task.
+    Here the values are counted and range-sliced, the slices holding a wanted
+    position follow from the slice totals, and only those are sorted.
     """
     counts = long_values(df, columns).groupBy("variable", "value").agg(F.count("*").alias("n"))
-    totals = running_totals(counts, [F.col("value").asc()], {"before": F.col("n")}, ["variable"])
-    return quantile_rows(totals, ["variable"], "value", "n", "before", probs)
+    parts = sliced(counts, ["variable", "value"])
+    group = ["variable", SLICE]
+    per_slice = parts.groupBy(*group).agg(F.sum("n").alias("size"))
+    by_slice = Window.partitionBy("variable").orderBy(SLICE)
+    ends = per_slice.select(
+        *group, "size",
+        (F.sum("size").over(by_slice) - F.col("size")).alias("start"),
+        F.sum("size").over(Window.partitionBy("variable")).alias("total"),
+    )
+    wanted = F.explode(
+        F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    )
+    at = ends.select("*", wanted.alias("w")).selectExpr("*", "w.i AS i", "w.p * (total - 1) AS pos")
+    # at most two positions per variable and probability
+    targets = at.select("*", F.explode(F.expr("array(floor(pos), ceil(pos))")).alias("k")).where(
+        "k >= start AND k < start + size"
+    ).select(*group, "i", "k", (F.col("k") - F.col("start")).alias("offset"), (F.col("pos") - F.floor("pos")).alias("share"))
+    targets = F.broadcast(targets.distinct())
+    inside = Window.partitionBy(*group).orderBy("value")
+    running = (
+        parts.join(F.broadcast(targets.select(*group).distinct()), group, "left_semi")
+        .withColumn("last", F.sum("n").over(inside))
+        .join(targets, group)
+        .where("offset < last AND offset >= last - n")
+    )
+    picked = running.groupBy("variable", "i").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), F.max("share").alias("share")
+    ).withColumn("q", F.expr("low + (high - low) * share"))
+    return picked.groupBy("variable").agg(
+        *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(len(probs))]
+    )
 
 
 def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:

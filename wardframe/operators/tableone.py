@@ -200,9 +200,11 @@ def table_one(
     """
     continuous = [c for c in columns if c not in categorical]
     categorical = [c for c in columns if c in categorical]
+    # the report reads the rows several times, so they are written once
+    df = pin(df.where(F.col(groupby).isNotNull()).select(groupby, *columns))
     levels = outcome_levels(df, groupby)
     position = {c: i for i, c in enumerate([*continuous, *categorical])}
-    missing = df.where(F.col(groupby).isNotNull()).agg(
+    missing = df.agg(
         *[F.sum(F.when(F.col(c).isNull(), 1).otherwise(0)).alias(c) for c in columns]
     )
     heads = missing.select(
@@ -210,7 +212,7 @@ def table_one(
             F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("long").alias("missing")) for c in position])
         ).alias("m")
     ).select("m.*")
-    sizes = df.where(F.col(groupby).isNotNull()).groupBy(groupby).agg(F.count("*").alias("n"))
+    sizes = df.groupBy(groupby).agg(F.count("*").alias("n"))
     parts = [
         sizes.groupBy().agg(
             *[F.max(F.when(F.col(groupby) == v, F.col("n").cast("string"))).alias(f"group_{v}") for v in levels]

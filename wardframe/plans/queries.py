@@ -18,6 +18,7 @@ from wardframe.operators.nearest import interval_join
 from wardframe.operators.ordered import exact_quantiles, first_rows, ranked
 from wardframe.plans import clinical
 from wardframe.plans import standins as st
+from wardframe.session import pin
 from wardframe.sources.csv import reindex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -392,7 +393,7 @@ GAPPY = ["digit_share", "upper_share", "punct_share"]
 
 @query
 def median_impute(spark, sf):
-    filled = prep.fill_median(st.model_table(spark, sf), GAPPY)
+    filled = prep.fill_median(pin(st.model_table(spark, sf)), GAPPY)
     return rounded(filled.select("doc_id", *GAPPY), *GAPPY)
 
 
@@ -549,7 +550,7 @@ QUICK_ITERATIONS = 50
 
 
 def _prepared(spark, sf):
-    scaled = prep.convert_units(st.model_table(spark, sf), {"n_chars": (0.001, 0.0), "n_words": (0.001, 0.0)})
+    scaled = prep.convert_units(pin(st.model_table(spark, sf)), {"n_chars": (0.001, 0.0), "n_words": (0.001, 0.0)})
     return prep.fill_median(scaled, GAPPY)
 
 
@@ -570,7 +571,7 @@ def _boosted(params):
 
 @query
 def l1_logistic_odds(spark, sf):
-    rows = validate.pin(_vectors(spark, sf))
+    rows = pin(_vectors(spark, sf))
     model = _logistic(rows).fit(rows)
     return models.odds_ratios(model, MODEL_COLUMNS, spark)
 
@@ -590,7 +591,7 @@ def gbt_cv_auc(spark, sf):
 
 @query
 def gbt_split_importance(spark, sf):
-    rows = validate.pin(_vectors(spark, sf))
+    rows = pin(_vectors(spark, sf))
     model = models.boosted_trees(QUICK, spark).fit(rows)
     return models.split_counts(model, MODEL_COLUMNS, spark)
 
@@ -598,14 +599,14 @@ def gbt_split_importance(spark, sf):
 @query
 def external_validation(spark, sf):
     """Fit on site A, exact AUC on site B."""
-    rows = validate.pin(_vectors(spark, sf, keep=("doc_id", "site")))
+    rows = pin(_vectors(spark, sf, keep=("doc_id", "site")))
     a, b = (rows.where(F.col("site") == s) for s in "AB")
     return metrics.auc(validate.external_validation(a, b, _logistic), "score", "label")
 
 
 @query
 def repeated_external(spark, sf):
-    rows = validate.pin(_vectors(spark, sf, keep=("doc_id", "site")))
+    rows = pin(_vectors(spark, sf, keep=("doc_id", "site")))
     a, b = (rows.where(F.col("site") == s) for s in "AB")
     scores = validate.repeated_external(a, b, "doc_id", range(1, 10), 0.2, _logistic)
     return validate.auc_report(scores, ["seed"])
@@ -635,7 +636,7 @@ def seed_sweep(spark, sf):
 @query
 def odds_pvalue_report(spark, sf):
     """Odds ratios beside the p-values of both sites' descriptive tables."""
-    rows = validate.pin(_prepared(spark, sf))
+    rows = pin(_prepared(spark, sf))
     vectors = models.assemble(rows, MODEL_COLUMNS)
     odds = models.odds_ratios(_logistic(vectors).fit(vectors), MODEL_COLUMNS, spark)
     tables = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +23,6 @@ def local_session(cores: int | str = "*", memory: str = "20g", **settings) -> Sp
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -51,10 +51,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that a lost executor cannot
-    change what later steps read from it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Later steps read the same rows whatever happens to an executor, the plan
+    starts afresh, and unused columns are not read again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def hot_rows(spark: SparkSession) -> int:
