@@ -167,15 +167,6 @@ def renal_replacement_rate(t: Tables, rrt: DataFrame, first_stay_only: bool = Fa
     return event_rate(flagged, "rrt")
 
 
-def _of_cohort(df: DataFrame, cohort: DataFrame, key: str, max_keys: int = 1_000_000) -> DataFrame:
-    """Events of cohort members only, while the ids are few enough to ship to
-    every executor; a larger cohort leaves the events as they are."""
-    ids = cohort.select(key).distinct()
-    if ids.limit(max_keys + 1).count() > max_keys:
-        return df
-    return df.join(F.broadcast(ids), key, "left_semi")
-
-
 def _treatment_features(t: Tables, red_cell_name: str) -> list[tuple[DataFrame, list[str]]]:
     mv, cv = t["inputevents_mv"], t["inputevents_cv"]
     return [
@@ -190,20 +181,26 @@ def _treatment_features(t: Tables, red_cell_name: str) -> list[tuple[DataFrame,
 
 
 EVENT_KEYS = {
-    "labevents": "hadm_id", "chartevents": "icustay_id", "inputevents_mv": "icustay_id",
-    "inputevents_cv": "icustay_id", "outputevents": "icustay_id", "datetimeevents": "icustay_id",
-    "procedureevents_mv": "icustay_id", "microbiologyevents": "hadm_id", "sofa": "icustay_id",
-    "vasopressordurations": "icustay_id", "ventdurations": "icustay_id",
-    "bloodgasfirstdayarterial": "icustay_id", "elixhauser_quan": "hadm_id",
+    "icustay_id": (
+        "chartevents", "inputevents_mv", "inputevents_cv", "outputevents", "datetimeevents",
+        "procedureevents_mv", "sofa", "vasopressordurations", "ventdurations", "bloodgasfirstdayarterial",
+    ),
+    "hadm_id": ("admissions", "labevents", "microbiologyevents", "elixhauser_quan"),
 }
+MAX_SHIPPED_IDS = 1_000_000
 
 
 def _cohort_tables(t: Tables, cohort: DataFrame) -> Tables:
-    """The tables reduced to the cohort before any event is aggregated."""
+    """The tables reduced to the cohort before any event is aggregated.
+
+    The ids are shipped to every executor while they are few (a million are
+    some 20 MB); a larger cohort leaves the event tables as they are.
+    """
     small = {"icustays": t["icustays"].join(cohort.select(*KEYS).distinct(), KEYS, "left_semi")}
-    for name, key in EVENT_KEYS.items():
-        if name in t:
-            small[name] = _of_cohort(t[name], cohort, key)
+    for key, names in EVENT_KEYS.items():
+        ids = cohort.select(key).distinct()
+        if ids.limit(MAX_SHIPPED_IDS + 1).count() <= MAX_SHIPPED_IDS:
+            small |= {n: t[n].join(F.broadcast(ids), key, "left_semi") for n in names if n in t}
     return {**t, **small}
 
 
@@ -229,14 +226,13 @@ def final_cohort(t: Tables) -> DataFrame:
     # the cohort is read by every feature below, so it is written once
     cohort = pin(co.apply_exclusions(select_cohort(t), applied))
     t = _cohort_tables(t, cohort)
-    liver = nearest_liver(t)
+    # vital signs and enzymes come from one pass over the charts
+    charted = {**codes.VITAL_CODES, **codes.LIVER_CODES}
     features = [
         (labs_around_intime(t), KEYS),
-        (best_per_stay(liver, "ast"), KEYS),
-        (best_per_stay(liver, "alt"), KEYS),
+        (nearest_charts(t, charted).select(*KEYS, *largest_of(charted)), KEYS),
         (renal_replacement(t), KEYS),
         *_treatment_features(t, "rbc_1"),
-        (nearest_vitals(t), KEYS),
         (first_day_gas(t), ["icustay_id"]),
         (t["elixhauser_quan"].select("hadm_id", *codes.COMORBIDITIES), ["hadm_id"]),
     ]
@@ -268,10 +264,8 @@ def view_cohort(t: Tables) -> DataFrame:
     applied = ["exclusion_1st_care_unit", "exclusion_los", "exclusion_age", "exclusion_surgical"]
     cohort = pin(co.apply_exclusions(_dictionary_cohort(t, (), min_days=1, min_age=1), applied))
     t = _cohort_tables(t, cohort)
-    liver = nearest_liver(t)
     features = [
-        (best_per_stay(liver, "ast"), KEYS),
-        (best_per_stay(liver, "alt"), KEYS),
+        (nearest_charts(t, codes.LIVER_CODES).select(*KEYS, *largest_of(codes.LIVER_CODES)), KEYS),
         (renal_replacement(t), KEYS),
         *_treatment_features(t, "rcb_1"),
     ]

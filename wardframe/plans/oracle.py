@@ -3,7 +3,10 @@ asked (ranks over pairs, one join per source) rather than the way it is run."""
 
 from __future__ import annotations
 
-from wardframe.plans.standins import DOC_FEATURES, DOC_SQL, EVENT_SQL, ORDER_SQL
+from wardframe.functions import codes
+from wardframe.plans.standins import (
+    CHART_ITEMS, COMORBIDITY_DIVISORS, DOC_FEATURES, DOC_SQL, EVENT_SQL, LAB_ITEMS, ORDER_SQL,
+)
 
 ORACLE: dict[str, str] = {}
 
@@ -375,3 +378,239 @@ _put("chi2_stat", """SELECT variable,
              * sum(n) OVER (PARTITION BY variable, outcome) / sum(n) OVER (PARTITION BY variable) AS e
     FROM cells JOIN (SELECT variable, count(DISTINCT level) AS k FROM cells GROUP BY variable) USING (variable)
   ) GROUP BY variable""", LINES)
+
+# --- the whole clinical pipeline over the stand-ins -----------------------------
+
+
+def _item(items, by: str) -> str:
+    return f"list_extract([{', '.join(map(str, items))}], CAST({by} % {len(items)} AS INTEGER) + 1)"
+
+
+def _in(items) -> str:
+    return "(" + ", ".join(f"'{i}'" if isinstance(i, str) else str(i) for i in items) + ")"
+
+
+WARD_SQL = f"""
+lines AS (
+  SELECT i.subject_id, i.hadm_id, i.icustay_id, i.intime, l.* FROM lineitem l JOIN icustays i
+    ON l.l_orderkey = i.icustay_id
+),
+diagnoses_icd AS (
+  SELECT hadm_id, seq_num, CASE WHEN icd9_code = '2387' THEN icd9_code || seq_num ELSE icd9_code END AS icd9_code
+  FROM diagnoses
+),
+admissions AS (
+  SELECT o_custkey AS subject_id, o_custkey * 10 + (year(o_orderdate) - 1995) AS hadm_id,
+         min(o_orderdate) AS admittime, max(o_orderdate) + INTERVAL 200 HOUR AS dischtime,
+         min(CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'F' THEN o_orderdate + INTERVAL 30 HOUR END)
+           AS deathtime
+  FROM orders GROUP BY 1, 2
+),
+labevents AS (
+  SELECT subject_id, hadm_id, {_item(LAB_ITEMS, "l_partkey")} AS itemid,
+         intime + to_hours(CAST((l_suppkey * 7 + l_linenumber * 5) % 73 - 36 AS BIGINT)) AS charttime,
+         l_extendedprice / 500 AS valuenum
+  FROM lines
+),
+chartevents AS (
+  SELECT subject_id, hadm_id, icustay_id, {_item(CHART_ITEMS, "l_partkey")} AS itemid,
+         intime + to_hours(CAST(l_suppkey % 97 - 48 AS BIGINT)) AS charttime,
+         CASE l_returnflag WHEN 'R' THEN 'Dialysis Line' WHEN 'A' THEN 'Other' END AS value,
+         l_quantity - 5 AS valuenum,
+         CASE WHEN l_discount >= 0.08 THEN 1 WHEN l_discount >= 0.03 THEN 0 END AS error
+  FROM lines
+),
+inputevents_mv AS (
+  SELECT icustay_id, {_item((225168, 226368, 225170, 226369, 227536), "l_linenumber")} AS itemid,
+         l_quantity - 25 AS amount FROM lines WHERE l_linestatus = 'O'
+),
+inputevents_cv AS (
+  SELECT icustay_id, {_item((30001, 30104, 30006, 40788, 40907), "l_linenumber")} AS itemid,
+         l_quantity - 45 AS amount FROM lines WHERE l_linestatus = 'F'
+),
+outputevents AS (
+  SELECT icustay_id, {_item((40386, 40425, 1), "l_partkey")} AS itemid, l_quantity - 48 AS value
+  FROM lines WHERE l_returnflag = 'R'
+),
+datetimeevents AS (
+  SELECT icustay_id, {_item((225318, 225128, 1, 2), "l_partkey")} AS itemid
+  FROM lines WHERE l_returnflag = 'R' AND l_tax >= 0.08
+),
+procedureevents_mv AS (
+  SELECT icustay_id, {_item((225441, 1, 2), "l_partkey")} AS itemid
+  FROM lines WHERE l_linestatus = 'F' AND l_discount >= 0.1
+),
+microbiologyevents AS (
+  SELECT hadm_id, CASE WHEN l_returnflag = 'R' THEN 'BLOOD CULTURE' ELSE 'URINE' END AS spec_type_desc,
+         CASE WHEN l_quantity > 20 THEN l_partkey END AS org_itemid,
+         CASE WHEN l_discount > 0.04 THEN l_suppkey END AS ab_itemid FROM lines
+),
+vent AS (
+  SELECT l_orderkey AS icustay_id, max(CASE WHEN l_tax * 100 - 4 > 0 THEN 1 ELSE 0 END) AS ventilation_1
+  FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1
+),
+elixhauser AS (
+  SELECT o_custkey * 10 + (year(o_orderdate) - 1995) AS hadm_id,
+         {", ".join(f"max(CASE WHEN o_orderkey % {d} = 0 THEN 1 ELSE 0 END) AS {n}"
+                    for n, d in COMORBIDITY_DIVISORS.items())}
+  FROM orders GROUP BY 1
+)
+"""
+
+RULES_SQL = " OR ".join(
+    f"itemid IN {_in(items)} AND " + ("value IS NOT NULL" if texts is None else f"value IN {_in(texts)}")
+    for items, texts in codes.RRT_TEXT_RULES
+)
+RENAL_SQL = f"""
+renal_hits AS (
+  SELECT c.icustay_id FROM chartevents c JOIN icustays i ON c.icustay_id = i.icustay_id
+  WHERE i.dbsource = 'carevue' AND error IS DISTINCT FROM 1 AND ({RULES_SQL})
+  UNION ALL SELECT icustay_id FROM inputevents_cv WHERE itemid IN {_in(codes.RRT_INTAKE_OLD)} AND amount > 0
+  UNION ALL SELECT icustay_id FROM outputevents WHERE itemid IN {_in(codes.RRT_OUTPUT_OLD)} AND value > 0
+  UNION ALL SELECT icustay_id FROM chartevents
+    WHERE itemid IN {_in(codes.RRT_CHART_NEW)} AND valuenum > 0 AND error IS DISTINCT FROM 1
+  UNION ALL SELECT icustay_id FROM inputevents_mv WHERE itemid IN {_in(codes.RRT_INTAKE_NEW)} AND amount > 0
+  UNION ALL SELECT icustay_id FROM datetimeevents WHERE itemid IN {_in(codes.RRT_DATES_NEW)}
+  UNION ALL SELECT icustay_id FROM procedureevents_mv WHERE itemid IN {_in(codes.RRT_PROCEDURES_NEW)}
+),
+renal AS (
+  SELECT subject_id, hadm_id, icustay_id,
+         CASE WHEN icustay_id IN (SELECT icustay_id FROM renal_hits) THEN 1 ELSE 0 END AS rrt
+  FROM icustays
+)
+"""
+
+
+def _lab_pivot() -> str:
+    names = dict.fromkeys(label for label, _ in codes.LAB_CODES.values())
+    return ", ".join(f"max(CASE WHEN label = '{n}' THEN v END) AS {n}" for n in names)
+
+
+def _chart_pivot(groups) -> str:
+    return ", ".join(f"max(CASE WHEN itemid IN {_in(i)} THEN valuenum END) AS {n}" for n, i in groups.items())
+
+
+LABEL_CASE = " ".join(f"WHEN {c} THEN '{label}'" for c, (label, _) in codes.LAB_CODES.items())
+CAP_CASE = " ".join(f"WHEN {c} THEN {cap}" for c, (_, cap) in codes.LAB_CODES.items())
+WARD_LABS = f"""
+ward_pairs AS (
+  SELECT i.subject_id, i.hadm_id, i.icustay_id, i.intime, a.admittime, l.charttime,
+         CASE WHEN a.deathtime BETWEEN i.intime AND i.outtime THEN 1 ELSE 0 END AS mort_icu,
+         CASE WHEN a.deathtime BETWEEN a.admittime AND a.dischtime THEN 1 ELSE 0 END AS mort_hosp,
+         CASE WHEN a.deathtime BETWEEN i.intime AND i.intime + INTERVAL 30 DAY THEN 1 ELSE 0 END AS mort_30,
+         CASE WHEN a.deathtime BETWEEN a.admittime AND a.admittime + INTERVAL 30 DAY THEN 1 ELSE 0 END
+           AS mort_30_admission,
+         CASE l.itemid {LABEL_CASE} END AS label,
+         CASE WHEN l.valuenum <= CASE l.itemid {CAP_CASE} END THEN l.valuenum END AS v
+  FROM icustays i
+  LEFT JOIN labevents l ON l.subject_id = i.subject_id AND l.hadm_id = i.hadm_id AND l.valuenum > 0
+    AND l.charttime BETWEEN i.intime - INTERVAL 24 HOUR AND i.intime + INTERVAL 24 HOUR
+  LEFT JOIN admissions a ON a.subject_id = i.subject_id AND a.hadm_id = i.hadm_id
+),
+ward_labs AS (
+  SELECT subject_id, hadm_id, icustay_id, mort_icu, mort_hosp, mort_30, {_lab_pivot()}
+  FROM (SELECT *, dense_rank() OVER (PARTITION BY icustay_id, label
+          ORDER BY abs(date_diff('microsecond', intime, charttime)) ASC NULLS LAST) AS r FROM ward_pairs)
+  WHERE r = 1 GROUP BY subject_id, hadm_id, icustay_id, mort_icu, mort_hosp, mort_30
+),
+ward_labs_long AS (
+  SELECT r AS lab_test_rank, subject_id, hadm_id, icustay_id, mort_icu, mort_hosp, mort_30_admission AS mort_30,
+         charttime, {_lab_pivot()}
+  FROM (SELECT *, dense_rank() OVER (PARTITION BY icustay_id, label
+          ORDER BY abs(date_diff('microsecond', admittime, charttime)) ASC NULLS LAST) AS r FROM ward_pairs)
+  WHERE r = 1 GROUP BY r, subject_id, hadm_id, icustay_id, mort_icu, mort_hosp, mort_30_admission, charttime
+),
+ward_charts AS (
+  SELECT icustay_id, {_chart_pivot(codes.VITAL_CODES)}, {_chart_pivot(codes.LIVER_CODES)}
+  FROM (SELECT c.*, dense_rank() OVER (PARTITION BY c.icustay_id, c.itemid
+          ORDER BY abs(date_diff('microsecond', i.intime, c.charttime)) ASC NULLS LAST) AS r
+        FROM chartevents c JOIN icustays i ON c.icustay_id = i.icustay_id)
+  WHERE r = 1 GROUP BY icustay_id
+)
+"""
+
+WARD_COHORT = f"""
+ward_typed AS (
+  SELECT hadm_id, CASE WHEN seq_num = 1 THEN 1 ELSE 2 END AS i,
+         CASE {" ".join(
+             "WHEN " + " OR ".join(
+                 ([f"substring(icd9_code, 1, 3) IN {_in(p)}"] if p else [])
+                 + ([f"icd9_code IN {_in(w)}"] if w else [])) + f" THEN '{n}'"
+             for n, (p, w) in codes.MALIGNANCY_TYPES.items())} END AS t
+  FROM diagnoses_icd
+),
+ward_kinds AS (
+  SELECT hadm_id, i AS hm_indicator, max(t) AS d_type FROM ward_typed x
+  WHERE t IS NOT NULL AND i = (SELECT min(i) FROM ward_typed y WHERE y.hadm_id = x.hadm_id AND y.t IS NOT NULL)
+  GROUP BY hadm_id, i
+),
+ward_coded AS (
+  SELECT d.hadm_id, d.icd9_code, x.short_title, x.long_title
+  FROM diagnoses_icd d JOIN dictionary x ON d.icd9_code = x.icd9_code
+  WHERE d.icd9_code <> 'None'
+    AND substring(d.icd9_code, 1, 3) IN ('200', '201', '202', '203', '204', '205', '206', '207', '208')
+),
+treatments AS (
+  SELECT i.icustay_id, sofa, p_blood_culture_1, rbc_1, platelet_1, vasopressor_1, ventilation_1
+  FROM icustays i
+  LEFT JOIN scores ON i.icustay_id = scores.icustay_id
+  LEFT JOIN (
+    SELECT hadm_id, max(CASE WHEN org_itemid IS NULL AND ab_itemid IS NULL THEN 1 ELSE 0 END) AS p_blood_culture_1
+    FROM microbiologyevents WHERE spec_type_desc = 'BLOOD CULTURE' GROUP BY 1) b ON i.hadm_id = b.hadm_id
+  LEFT JOIN (
+    SELECT icustay_id, 1 AS rbc_1 FROM (
+      SELECT icustay_id FROM inputevents_mv WHERE itemid IN (225168, 226368) AND amount > 0
+      UNION SELECT icustay_id FROM inputevents_cv WHERE itemid IN (30001, 30104) AND amount > 0)) r
+    ON i.icustay_id = r.icustay_id
+  LEFT JOIN (
+    SELECT icustay_id, 1 AS platelet_1 FROM (
+      SELECT icustay_id FROM inputevents_mv WHERE itemid IN (225170, 226369) AND amount > 0
+      UNION SELECT icustay_id FROM inputevents_cv WHERE itemid IN (30006) AND amount > 0)) p
+    ON i.icustay_id = p.icustay_id
+  LEFT JOIN pressor ON i.icustay_id = pressor.icustay_id
+  LEFT JOIN vent ON i.icustay_id = vent.icustay_id
+)
+"""
+WARD = (ORDER_SQL, WARD_SQL, RENAL_SQL, WARD_LABS, COHORT_SQL, RESULT_SQL, WARD_COHORT)
+_labels = ", ".join(f"l.{n}" for n in dict.fromkeys(label for label, _ in codes.LAB_CODES.values()))
+
+_put("renal_replacement", "SELECT * FROM renal", ORDER_SQL, WARD_SQL, RENAL_SQL)
+_put("renal_replacement_rate", """SELECT count(*) AS numobs, CAST(sum(rrt) AS BIGINT) AS num_hits,
+  round(sum(rrt) * CAST(100 AS DOUBLE) / count(*), 6) AS percent_hits FROM (
+    SELECT r.rrt, row_number() OVER (PARTITION BY i.subject_id ORDER BY i.intime, i.icustay_id) AS rn
+    FROM renal r JOIN icustays i ON r.icustay_id = i.icustay_id
+    JOIN patients p ON i.subject_id = p.subject_id AND p.dob < i.intime - INTERVAL 1 YEAR
+    JOIN admissions a ON r.hadm_id = a.hadm_id) WHERE rn = 1""", ORDER_SQL, WARD_SQL, RENAL_SQL)
+_put("final_cohort", f"""SELECT c.subject_id, c.hadm_id, c.icustay_id, l.mort_icu, l.mort_hosp, l.mort_30, {_labels},
+  ast, alt, rrt, sofa, p_blood_culture_1, rbc_1, platelet_1, vasopressor_1, ventilation_1,
+  heart_rate, respiration, arterial_bp_mean, arterial_bp_systolic, arterial_bp_diastolic, temperature,
+  abg_ph, abg_pco2, abg_po2, abg_bicarbonate, abg_baseexcess, abg_spo2, abg_lactate,
+  {", ".join(codes.COMORBIDITIES)},
+  round(age, 6) AS age, gender, round(icu_length_of_stay, 6) AS icu_length_of_stay, hm_indicator, d_type
+  FROM co c JOIN serv s ON c.icustay_id = s.icustay_id AND s.r = 1 JOIN ward_kinds k ON c.hadm_id = k.hadm_id
+  LEFT JOIN ward_labs l ON c.icustay_id = l.icustay_id
+  LEFT JOIN ward_charts w ON c.icustay_id = w.icustay_id
+  LEFT JOIN renal ON c.icustay_id = renal.icustay_id
+  LEFT JOIN treatments t ON c.icustay_id = t.icustay_id
+  LEFT JOIN gas ON c.icustay_id = gas.icustay_id
+  LEFT JOIN elixhauser e ON c.hadm_id = e.hadm_id
+  WHERE first_careunit = 'MICU' AND NOT age < 16 AND icustay_id_order = 1""", *WARD)
+_put("view_cohort", """SELECT c.subject_id, c.hadm_id, c.icustay_id, ast, alt, rrt, sofa, p_blood_culture_1,
+  rbc_1 AS rcb_1, platelet_1, vasopressor_1, ventilation_1, round(age, 6) AS age, gender,
+  round(icu_length_of_stay, 6) AS icu_length_of_stay, d.icd9_code
+  FROM co c JOIN serv_left s ON c.icustay_id = s.icustay_id AND s.r = 1 JOIN ward_coded d ON c.hadm_id = d.hadm_id
+  LEFT JOIN ward_charts w ON c.icustay_id = w.icustay_id
+  LEFT JOIN renal ON c.icustay_id = renal.icustay_id
+  LEFT JOIN treatments t ON c.icustay_id = t.icustay_id
+  WHERE first_careunit = 'MICU' AND NOT icu_length_of_stay < 1 AND NOT age < 1 AND s.surgical = 0""", *WARD)
+_put("long_cohort", f"""SELECT lab_test_rank, l.subject_id, l.hadm_id, l.icustay_id, l.mort_icu, l.mort_hosp,
+  l.mort_30, l.charttime, {_labels}, round(age, 6) AS age, gender, icustay_id_order,
+  round(icu_length_of_stay, 6) AS icu_length_of_stay, d.icd9_code, d.short_title AS icd9_name,
+  d.long_title AS icd9_descr,
+  CASE WHEN first_careunit = 'MICU' THEN 0 ELSE 1 END AS exclusion_1st_care_unit,
+  CASE WHEN icu_length_of_stay < 2 THEN 1 ELSE 0 END AS exclusion_los,
+  CASE WHEN age < 16 THEN 1 ELSE 0 END AS exclusion_age,
+  CASE WHEN icustay_id_order <> 1 THEN 1 ELSE 0 END AS exclusion_first_stay,
+  CASE WHEN s.surgical = 1 THEN 1 ELSE 0 END AS exclusion_surgical
+  FROM co c JOIN serv_left s ON c.icustay_id = s.icustay_id AND s.r = 1 JOIN ward_coded d ON c.hadm_id = d.hadm_id
+  JOIN ward_labs_long l ON c.icustay_id = l.icustay_id""", *WARD)

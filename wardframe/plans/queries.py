@@ -112,6 +112,7 @@ def interval_left_join(spark, sf):
 
 LINE_LIVER = {"ast": (4, 5), "alt": (6, 7)}
 LINE_VITALS = {"temperature": (1, 2), "respiration": (3, 4, 5), "heart_rate": (6, 7)}
+LINE_CHARTS = {"all": (1, 2, 3, 4, 5, 6, 7)}
 
 
 def _line_tables(spark, sf):
@@ -305,18 +306,16 @@ def cohort_attrition(spark, sf):
 def _star(spark, sf):
     cohort = co.apply_exclusions(_cohort(spark, sf), APPLIED)
     lines = _line_tables(spark, sf)
-    liver = clinical.nearest_liver(lines, LINE_LIVER, ["icustay_id"])
     systems = [(st.line_intake(spark, sf, "O"), (1, 2)), (st.line_intake(spark, sf, "F"), (3,))]
     one = ["icustay_id"]
+    charts = clinical.nearest_charts(lines, LINE_CHARTS, one)
     features = [
-        (clinical.best_per_stay(liver, "ast", one), one),
-        (clinical.best_per_stay(liver, "alt", one), one),
+        (charts.select(*one, *clinical.largest_of(LINE_LIVER), *clinical.largest_of(LINE_VITALS)), one),
         (_rrt_flags(spark, sf).select("icustay_id", "rrt"), one),
         (st.order_scores(spark, sf), one),
         (culture_flag(st.line_cultures(spark, sf), ["hadm_id"], "BLOOD CULTURE", "p_blood_culture_1"), ["hadm_id"]),
         (intake_flag(systems, one, "rbc_1"), one),
         (duration_flag(st.line_durations(spark, sf, "A"), one, "vasopressor_1"), one),
-        (clinical.nearest_vitals(lines, LINE_VITALS, one), one),
         (_gases(spark, sf), one),
     ]
     return co.star_join(cohort, features)
@@ -332,6 +331,38 @@ def star_features(spark, sf):
     return rounded(wide, "age", "icu_length_of_stay")
 
 
+@query
+def renal_replacement(spark, sf):
+    """The seven-source flag with the full code lists."""
+    return clinical.renal_replacement(st.clinical_tables(spark, sf))
+
+
+@query
+def renal_replacement_rate(spark, sf):
+    t = st.clinical_tables(spark, sf)
+    rrt = clinical.renal_replacement(t)
+    return rounded(clinical.renal_replacement_rate(t, rrt, first_stay_only=True), "percent_hits")
+
+
+@query
+def final_cohort(spark, sf):
+    """The wide feature table of the final cohort, all features."""
+    wide = clinical.final_cohort(st.clinical_tables(spark, sf))
+    return rounded(wide, "age", "icu_length_of_stay")
+
+
+@query
+def view_cohort(spark, sf):
+    """The earlier cohort view, a row per stay and diagnosis code."""
+    return rounded(clinical.view_cohort(st.clinical_tables(spark, sf)), "age", "icu_length_of_stay")
+
+
+@query
+def long_cohort(spark, sf):
+    """Labs by chart time with diagnosis titles and exclusion flags."""
+    return rounded(clinical.long_cohort(st.clinical_tables(spark, sf)), "age", "icu_length_of_stay")
+
+
 # --- profiles and preparation ----------------------------------------------------
 
 

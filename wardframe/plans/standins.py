@@ -7,9 +7,13 @@ of a whole driver table.
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardframe.functions import codes
+
 
 SCHEMAS = {
     "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
@@ -306,6 +310,96 @@ scores AS (
 )
 """
 
+# --- every clinical table, with the real item codes ------------------------
+
+LAB_ITEMS = tuple(codes.LAB_CODES)
+CHART_ITEMS = (
+    *chain.from_iterable(codes.VITAL_CODES.values()), *chain.from_iterable(codes.LIVER_CODES.values()),
+    152, 229, 7949, 226499,
+)
+COMORBIDITY_DIVISORS = dict(zip(codes.COMORBIDITIES, (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31)))
+
+
+def _picked(items: tuple[int, ...], by: str) -> str:
+    return f"element_at(array({', '.join(map(str, items))}), CAST({by} % {len(items)} AS INT) + 1)"
+
+
+def clinical_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Stays are orders, events their line items; items are drawn from the
+    real code lists by part or line number."""
+    stays = order_stays(spark, sf_dir)
+    keys = ["subject_id", "hadm_id", "icustay_id"]
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .withColumnRenamed("l_orderkey", "icustay_id")
+        .join(stays.select(*keys, "intime"), "icustay_id")
+    )
+    orders = table(spark, sf_dir, "orders")
+    hadm = (F.col("o_custkey") * 10 + (F.year("o_orderdate") - 1995)).cast("long").alias("hadm_id")
+    low = (F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "F")
+    flagged, returned = lines.where("l_linestatus = 'F'"), lines.where("l_returnflag = 'R'")
+    return {
+        "icustays": stays,
+        "patients": order_patients(spark, sf_dir),
+        "services": order_services(spark, sf_dir),
+        "diagnoses_icd": order_diagnoses(spark, sf_dir).withColumn(
+            "icd9_code",
+            F.expr("CASE WHEN icd9_code = '2387' THEN concat(icd9_code, seq_num) ELSE icd9_code END"),
+        ),
+        "d_icd_diagnoses": part_dictionary(spark, sf_dir),
+        "admissions": orders.groupBy(F.col("o_custkey").alias("subject_id"), hadm).agg(
+            F.min("o_orderdate").alias("admittime"),
+            F.expr("max(o_orderdate) + interval '200' hour").alias("dischtime"),
+            F.min(F.when(low, F.expr("o_orderdate + interval '30' hour"))).alias("deathtime"),
+        ),
+        "labevents": lines.selectExpr(
+            "subject_id", "hadm_id", f"{_picked(LAB_ITEMS, 'l_partkey')} AS itemid",
+            "timestampadd(HOUR, CAST((l_suppkey * 7 + l_linenumber * 5) % 73 - 36 AS INT), intime) AS charttime",
+            "l_extendedprice / 500 AS valuenum",
+        ),
+        "chartevents": lines.selectExpr(
+            *keys, f"{_picked(CHART_ITEMS, 'l_partkey')} AS itemid",
+            "timestampadd(HOUR, CAST(l_suppkey % 97 - 48 AS INT), intime) AS charttime",
+            "CASE l_returnflag WHEN 'R' THEN 'Dialysis Line' WHEN 'A' THEN 'Other' END AS value",
+            "l_quantity - 5 AS valuenum",
+            "CASE WHEN l_discount >= 0.08 THEN 1 WHEN l_discount >= 0.03 THEN 0 END AS error",
+        ),
+        "inputevents_mv": lines.where("l_linestatus = 'O'").selectExpr(
+            *keys, f"{_picked((225168, 226368, 225170, 226369, 227536), 'l_linenumber')} AS itemid",
+            "l_quantity - 25 AS amount",
+        ),
+        "inputevents_cv": flagged.selectExpr(
+            *keys, f"{_picked((30001, 30104, 30006, 40788, 40907), 'l_linenumber')} AS itemid",
+            "l_quantity - 45 AS amount",
+        ),
+        "outputevents": returned.selectExpr(
+            "icustay_id", f"{_picked((40386, 40425, 1), 'l_partkey')} AS itemid", "l_quantity - 48 AS value"
+        ),
+        "datetimeevents": returned.where("l_tax >= 0.08").selectExpr(
+            "icustay_id", f"{_picked((225318, 225128, 1, 2), 'l_partkey')} AS itemid"
+        ),
+        "procedureevents_mv": flagged.where("l_discount >= 0.1").selectExpr(
+            "icustay_id", f"{_picked((225441, 1, 2), 'l_partkey')} AS itemid"
+        ),
+        "microbiologyevents": lines.selectExpr(
+            "subject_id", "hadm_id",
+            "CASE WHEN l_returnflag = 'R' THEN 'BLOOD CULTURE' ELSE 'URINE' END AS spec_type_desc",
+            "CASE WHEN l_quantity > 20 THEN l_partkey END AS org_itemid",
+            "CASE WHEN l_discount > 0.04 THEN l_suppkey END AS ab_itemid",
+        ),
+        "sofa": stays.join(order_scores(spark, sf_dir), "icustay_id").select(*keys, "sofa"),
+        "vasopressordurations": line_durations(spark, sf_dir, "A"),
+        "ventdurations": line_durations(spark, sf_dir, "N"),
+        "bloodgasfirstdayarterial": line_gases(spark, sf_dir),
+        "elixhauser_quan": orders.groupBy(hadm).agg(
+            *[
+                F.max(F.when(F.col("o_orderkey") % d == 0, 1).otherwise(0)).alias(name)
+                for name, d in COMORBIDITY_DIVISORS.items()
+            ]
+        ),
+    }
+
+
 # --- the model table from documents and labels -----------------------------
 
 DOC_FEATURES = ("n_chars", "n_words", "n_lines", "digit_share", "upper_share", "punct_share", "mean_word")
