@@ -76,9 +76,10 @@ def test_table_one(spark):
     assert gender.pval == pytest.approx(fisher_two_sided(0, 3, 4, 2))
     assert report["gender (n (%))", "F"].group_1 == "3 (60.00)"
     assert report["gender (n (%))", "M"].group_0 == "4 (100.00)"
-    assert list(report)[0] == ("n", "")
+    assert [k[0].split()[0] for k in report] == ["n", "x", "gender", "gender", "gender"]
+    assert [r.row_idx for r in report.values()] == [0, 1, 2, 3, 4]
     picked = tableone.pick_rows(tableone.table_one(df, ["x"], [], "mort"), ["x (median [IQR])"])
-    assert picked.count() == 1
+    assert [r.row_idx for r in picked.collect()] == [1]
 
 
 def test_chi_squared_correction(spark):

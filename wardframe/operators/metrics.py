@@ -47,12 +47,11 @@ def roc_points(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) ->
 
 
 def _with_totals(df: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
-    # a global total is one row, a total per fold or repeat one per fold
     if by:
-        return null_safe_join(df, F.broadcast(totals), by, "inner")
-    return df.withColumn("_one", F.lit(1)).join(
-        F.broadcast(totals.withColumn("_one", F.lit(1))), "_one"
-    ).drop("_one")
+        return null_safe_join(df, totals, by, "inner")
+    # a global total is one row
+    single = F.broadcast(totals.withColumn("_one", F.lit(1)))
+    return df.withColumn("_one", F.lit(1)).join(single, "_one").drop("_one")
 
 
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:

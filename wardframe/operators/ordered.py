@@ -117,13 +117,15 @@ def ranked(
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """ROW_NUMBER() = 1 per ``keys``: the row with the smallest ``order``.
+    """ROW_NUMBER() = 1 per ``keys``: the row with the smallest ``order``, NULLs
+    last.
 
     A min over structs combines on the map side, where a window would ship
     every row of a group to one task.
     """
+    sort = [x for c in order for x in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c))]
     rest = [c for c in df.columns if c not in keys and c not in order]
-    row = F.min(F.struct(*order, *rest)).alias("_row")
+    row = F.min(F.struct(*sort, *rest)).alias("_row")
     return df.groupBy(*keys).agg(row).select(*keys, "_row.*").select(*df.columns)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardframe.functions.pvalues import chi2_tail, fisher_two_sided
-from wardframe.operators.ordered import long_values, null_safe_join, quantile_rows, running_totals
+from wardframe.operators.ordered import long_values, null_safe_join, quantile_rows, row_index, running_totals
 from wardframe.operators.profile import missing_pct
 from wardframe.session import pin
 
@@ -101,7 +101,7 @@ def level_counts(df: DataFrame, columns: Sequence[str], groupby: str) -> DataFra
 def level_shares(counts: DataFrame, groupby: str) -> DataFrame:
     """Counts with their percentage of the outcome's non-missing rows."""
     totals = counts.groupBy("variable", groupby).agg(F.sum("n").alias("_total"))
-    return null_safe_join(counts, F.broadcast(totals), ["variable", groupby], "inner").select(
+    return null_safe_join(counts, totals, ["variable", groupby], "inner").select(
         "variable", "level", groupby, "n", (F.col("n") * F.lit(100.0) / F.col("_total")).alias("pct")
     )
 
@@ -260,7 +260,7 @@ def table_one(
     # a row per variable of the call
     notes = F.broadcast(heads.join(F.broadcast(result), "variable", "left"))
     heading = F.col("level") == ""
-    return (
+    report = (
         body.join(notes, "variable", "left")
         .select(
             "_pos", "features", "level", *[f"group_{v}" for v in levels],
@@ -268,9 +268,9 @@ def table_one(
             F.when(heading, F.col("pval")).alias("pval"),
             F.when(heading, F.col("test")).alias("test"),
         )
-        .orderBy("_pos", "level")
-        .drop("_pos")
     )
+    numbered = row_index(report, [F.col("_pos").asc(), F.col("level").asc()])
+    return numbered.select("row_idx", *report.columns).drop("_pos").orderBy("row_idx")
 
 
 def missing_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -280,4 +280,9 @@ def missing_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def pick_rows(report: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Heading rows of the report with the given labels, in report order."""
-    return report.where(F.col("features").isin(*labels) & F.col("pval").isNotNull())
+    return report.where(F.col("features").isin(*labels) & (F.col("level") == "")).orderBy("row_idx")
+
+
+def rows_at(report: DataFrame, positions: Sequence[int]) -> DataFrame:
+    """Report rows by position, in report order."""
+    return report.where(F.col("row_idx").isin(*positions)).orderBy("row_idx")

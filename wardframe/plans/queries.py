@@ -577,19 +577,18 @@ def tableone_report(spark, sf):
 QUICK = models.BoostParams(0.1, 5, 3, 4, 0.9, 0.7, 0.0, 1.0, 27)
 QUICK_WEIGHTED = models.BoostParams(0.1, 5, 3, 1, 0.8, 1.0, 0.0, 3.0, 0)
 MODEL_COLUMNS = [*st.DOC_FEATURES, "toxic"]
+# trees cannot take a missing value, so they get a flag beside the median
+TREE_COLUMNS = [*MODEL_COLUMNS, *[f"{c}_missing" for c in GAPPY]]
 QUICK_ITERATIONS = 50
 
 
 def _prepared(spark, sf):
     scaled = prep.convert_units(pin(st.model_table(spark, sf)), {"n_chars": (0.001, 0.0), "n_words": (0.001, 0.0)})
-    return prep.fill_median(scaled, GAPPY)
+    return prep.fill_median(prep.with_missing_flags(scaled, GAPPY), GAPPY)
 
 
-def _vectors(spark, sf, weight=1.0, keep=("doc_id",), site=None):
-    rows = _prepared(spark, sf)
-    if site is not None:
-        rows = rows.where(F.col("site") == site)
-    return models.assemble(rows, MODEL_COLUMNS, keep=keep, positive_weight=weight)
+def _vectors(spark, sf, columns=MODEL_COLUMNS, weight=1.0, keep=("doc_id",)):
+    return models.assemble(_prepared(spark, sf), columns, keep=keep, positive_weight=weight)
 
 
 def _logistic(train):
@@ -615,16 +614,16 @@ def l1_logistic_accuracy(spark, sf):
 
 @query
 def gbt_cv_auc(spark, sf):
-    rows = folds.contiguous_folds(_vectors(spark, sf), [F.col("doc_id").asc()], 5)
+    rows = folds.contiguous_folds(_vectors(spark, sf, TREE_COLUMNS), [F.col("doc_id").asc()], 5)
     scores = validate.cross_validate(rows, 5, _boosted(QUICK))
     return validate.auc_report(scores, ["fold"], hard=True)
 
 
 @query
 def gbt_split_importance(spark, sf):
-    rows = pin(_vectors(spark, sf))
+    rows = pin(_vectors(spark, sf, TREE_COLUMNS))
     model = models.boosted_trees(QUICK, spark).fit(rows)
-    return models.split_counts(model, MODEL_COLUMNS, spark)
+    return models.split_counts(model, TREE_COLUMNS, spark)
 
 
 @query
@@ -645,21 +644,21 @@ def repeated_external(spark, sf):
 
 @query
 def pooled_cv(spark, sf):
-    rows = folds.contiguous_folds(_vectors(spark, sf, weight=3.0), [F.col("doc_id").asc()], 5)
+    rows = folds.contiguous_folds(_vectors(spark, sf, TREE_COLUMNS, weight=3.0), [F.col("doc_id").asc()], 5)
     scores = validate.cross_validate(rows, 5, _boosted(QUICK_WEIGHTED))
     return validate.auc_report(scores, ["fold"])
 
 
 @query
 def repeated_holdout(spark, sf):
-    rows = _vectors(spark, sf)
+    rows = _vectors(spark, sf, TREE_COLUMNS)
     scores = validate.repeated_holdout(rows, "doc_id", range(1, 4), 0.3, _boosted(QUICK))
     return validate.auc_report(scores, ["seed"], hard=True)
 
 
 @query
 def seed_sweep(spark, sf):
-    rows = _vectors(spark, sf)
+    rows = _vectors(spark, sf, TREE_COLUMNS)
     scores = validate.repeated_cross_validation(rows, "doc_id", (300, 301), 3, _boosted(QUICK))
     return validate.sweep_report(scores)
 
