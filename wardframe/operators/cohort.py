@@ -47,11 +47,11 @@ def latest_service(
     reach = stays.select("hadm_id", "icustay_id", (F.col("intime") + hours(within_hours)).alias("_reach"))
     visible_to = reach.groupBy("hadm_id").agg(F.max("_reach").alias("_last_reach"))
     moves = services.select("hadm_id", "curr_service", "transfertime")
-    seen = moves.join(visible_to, "hadm_id").where(F.col("transfertime") < F.col("_last_reach"))
-    latest = seen.groupBy("hadm_id").agg(F.max("transfertime").alias("_latest"))
-    first = moves.groupBy("hadm_id").agg(F.min("transfertime").alias("_first"))
-
-    per_stay = reach.join(latest, "hadm_id", "left").join(first, "hadm_id", "left")
+    move = F.col("transfertime")
+    edges = moves.join(visible_to, "hadm_id").groupBy("hadm_id").agg(
+        F.max(F.when(move < F.col("_last_reach"), move)).alias("_latest"), F.min(move).alias("_first")
+    )
+    per_stay = reach.join(edges, "hadm_id", "left")
     alone = F.coalesce(F.col("_first") >= F.col("_reach"), F.lit(True))
     winners = per_stay.where(F.col("_latest") < F.col("_reach"))
     if how == "left":

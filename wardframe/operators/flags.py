@@ -40,14 +40,20 @@ def any_event_flag(
     """1 for stays with a hit in any source, else 0; every stay is kept.
 
     The hits of all sources are reduced to one row per stay before a single
-    join, instead of one join per source.
+    join, instead of one join per source, and a table that serves several
+    sources is read once.
     """
-    hits = reduce(
-        DataFrame.unionByName,
-        [s.events.where(s.condition).select(F.col(key), F.lit(i).alias("_source")) for i, s in enumerate(sources)],
-    )
-    per_stay = hits.groupBy(key).agg(
-        *[F.max(flag(F.col("_source") == i)).alias(f"_hit{i}") for i in range(len(sources))]
+    numbers = range(len(sources))
+    by_table: dict[int, list[int]] = {}
+    for i, source in enumerate(sources):
+        by_table.setdefault(id(source.events), []).append(i)
+    parts = []
+    for mine in by_table.values():
+        wanted = reduce(lambda a, b: a | b, [sources[i].condition for i in mine])
+        hits = [(flag(sources[i].condition) if i in mine else F.lit(0)).alias(f"_hit{i}") for i in numbers]
+        parts.append(sources[mine[0]].events.where(wanted).select(key, *hits))
+    per_stay = reduce(DataFrame.unionByName, parts).groupBy(key).agg(
+        *[F.max(f"_hit{i}").alias(f"_hit{i}") for i in numbers]
     )
     raised = []
     for i, source in enumerate(sources):
