@@ -58,7 +58,10 @@ def _neighbours(
     ).where("kind = 1")
     if hot:
         near = _carry(near, run, [*keys, "item"], group)
-    return near.select("anchor.*", "item", "before", "after")
+    # keys stay the columns the run is partitioned by, so that the pivot by
+    # anchor needs no further exchange
+    columns = [F.col(c) if c in keys else F.col("anchor")[c].alias(c) for c in anchors.columns]
+    return near.select(*columns, "item", "before", "after")
 
 
 def _carry(near: DataFrame, run: DataFrame, keys: Sequence[str], group: Sequence[str]) -> DataFrame:
