@@ -14,3 +14,79 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (l.doc_id < f.last_doc) AS
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.last_doc IS NULL OR l.doc_id >= f.last_doc), '')) AS kept_sha256
 FROM l LEFT JOIN f USING (k) GROUP BY l.doc_id
 """
+
+ORACLE["op4_chat_formatting"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), t AS (
+  SELECT *, regexp_matches(text, '[\[<]\\*(/?INST\]|/?s>|</?SYS>>|/?ROLE)') AS clash,
+         len(regexp_extract_all(text, '[\[<]\\*(/?INST\]|/?s>|</?SYS>>|/?ROLE)')) AS extra,
+         CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15
+                   ELSE 16 + 2 * strlen(role) END AS marks
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(text) + marks + extra) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+_GRID = {
+    "symbols": ("100 * n_symbols", "n_words", (2, 5, 10, 20, 40, 80)),
+    "dup_lines": ("100 * n_dup_lines", "n_lines", (5, 10, 20, 30, 40, 60)),
+    "repeat_words": ("100 * n_repeat_words", "n_words", (2, 5, 8, 12, 16)),
+    "long_words": ("word_chars", "n_words", (7, 8, 9, 10, 12, 16)),
+    "loud": ("100 * n_loud", "word_chars", (2, 5, 10, 20, 40, 60)),
+}
+_CELLS = ", ".join(f"('{r}', {c})" for r, (_, _, cuts) in _GRID.items() for c in cuts)
+_REJECTS = " ".join(f"WHEN '{r}' THEN {left} > cutoff * {right}" for r, (left, right, _) in _GRID.items())
+
+ORACLE["op2_quality_rules"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d
+), v AS (
+  SELECT r, i, list_slice(ws, i, i + 4) AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)
+), s AS (
+  SELECT r, i FROM v QUALIFY count(*) OVER (PARTITION BY r, win) > 1
+), rep AS (
+  SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM s, (SELECT unnest(range(5)) AS j) GROUP BY r
+), ln AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r
+), c AS (
+  SELECT doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(text, '!')) AS n_loud,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words,
+         len(ws) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(ws) AS base_failed
+  FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN ln USING (r)
+), grid AS (
+  SELECT * FROM (VALUES {_CELLS}) AS g(rule, cutoff)
+), held AS (
+  SELECT * FROM c WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+), k AS (
+  SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (CASE rule {_REJECTS} END) AS k
+  FROM held, grid GROUP BY lang, rule, cutoff
+), p AS (
+  SELECT lang, rule, cutoff, sum(exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END
+           - CASE WHEN n = j THEN 0 ELSE lgamma(n - j + 1) END
+           + j * ln(0.01) + (n - j) * ln(0.99))) AS tail, any_value(k) <= any_value(n) * 0.01 AS few
+  FROM (SELECT *, unnest(range(k + 1)) AS j FROM k) GROUP BY lang, rule, cutoff
+), cut AS (
+  SELECT lang, rule, min(cutoff) AS cutoff FROM p
+  WHERE few AND tail <= 0.05 / (SELECT count(*) FROM k) GROUP BY lang, rule
+), verdict AS (
+  SELECT c.*, EXISTS (SELECT 1 FROM cut WHERE cut.lang IS NOT DISTINCT FROM c.lang AND CASE rule {_REJECTS} END) AS bad
+  FROM c
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+       CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
+FROM verdict
+"""

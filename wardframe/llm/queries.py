@@ -44,3 +44,26 @@ def op10_line_dedup(spark, sf):
 
     done = dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op2_quality_rules(spark, sf):
+    from wardframe.llm.quality import judge
+
+    judged = judge(table(spark, sf, "documents"), table(spark, sf, "labels"), ["doc_id", "lang"])
+    return judged.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+#: Its texts hold control strings of the template.
+PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query
+def op4_chat_formatting(spark, sf):
+    from wardframe.llm.chat import format_chats, read_back
+
+    chats = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
+    return read_back(format_chats(chats.unionByName(probe)))
