@@ -140,7 +140,8 @@ def dedup_lines(
     row = F.struct(*[F.col(c) for c in docs.columns])
     keyed = docs.select(id_or_least(F.col(id_col)).alias("id"), row.alias("row"))
     if runs.runs():
-        frequent = runs.totals().where(F.col("n_docs") >= min_docs).select(*KEY, "last_id")
+        # a table of its own, so that the join shuffles both sides and can split a hot key
+        frequent = pin(runs.totals().where(F.col("n_docs") >= min_docs).select(*KEY, "last_id"))
         drops = (
             lines.join(frequent, KEY).where("id < last_id").groupBy("id")
             .agg(F.collect_set(F.struct(*KEY)).alias("drop"))
