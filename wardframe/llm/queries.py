@@ -67,3 +67,10 @@ def op4_chat_formatting(spark, sf):
     chats = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
     return read_back(format_chats(chats.unionByName(probe)))
+
+
+@query
+def op8_license_scan(spark, sf):
+    from wardframe.llm.licenses import labelled, scan
+
+    return labelled(scan(table(spark, sf, "documents"))).withColumnRenamed("id", "doc_id")
