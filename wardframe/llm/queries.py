@@ -74,3 +74,10 @@ def op8_license_scan(spark, sf):
     from wardframe.llm.licenses import labelled, scan
 
     return labelled(scan(table(spark, sf, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op1_simhash(spark, sf):
+    from wardframe.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf, "documents"), shingle=3, distance=3)
