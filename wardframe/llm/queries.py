@@ -81,3 +81,21 @@ def op1_simhash(spark, sf):
     from wardframe.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf, "documents"), shingle=3, distance=3)
+
+
+@query
+def op9_bpe_encoding(spark, sf):
+    from wardframe.llm.wordbpe import encode
+
+    done = encode(table(spark, sf, "documents"), vocabulary(WORD_VOCABULARY))
+    return done.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op6_best_fit_packing(spark, sf):
+    from wardframe.llm.packing import packed_documents
+
+    return packed_documents(table(spark, sf, "documents"), vocabulary(WORD_VOCABULARY))
