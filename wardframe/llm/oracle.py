@@ -90,3 +90,23 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
 FROM verdict
 """
+
+ORACLE["op3_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), v AS (
+  SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 19), ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)
+), again AS (
+  SELECT doc_id, i FROM v QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS i FROM again, (SELECT unnest(range(20)) AS j)
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i)
+  GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -99,3 +99,11 @@ def op6_best_fit_packing(spark, sf):
     from wardframe.llm.packing import packed_documents
 
     return packed_documents(table(spark, sf, "documents"), vocabulary(WORD_VOCABULARY))
+
+
+@query
+def op3_substring_dedup(spark, sf):
+    from wardframe.llm.substring import remove_repeats
+
+    done = remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), keep_text=False)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
