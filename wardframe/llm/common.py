@@ -26,9 +26,9 @@ def id_back(column: Column) -> Column:
     return F.when(column != NULL_ID, column)
 
 
-def input_files(spark: SparkSession, sf_dir: str, name: str) -> list[str]:
-    """Names of the data files of a table, for tasks of whole files."""
-    return sorted(table(spark, sf_dir, name).inputFiles())
+def plain_columns(df: DataFrame, made: list[str]) -> list[str]:
+    """Columns of ``df`` not named like one that is made."""
+    return [c for c in df.columns if c.lower() not in made]
 
 
 def slices(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBatch]:

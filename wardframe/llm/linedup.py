@@ -11,7 +11,8 @@ the runs say, for every key, whether it is frequent and which document keeps it.
 Defined results: a null or empty text is one empty line; a null id is the
 smallest id; rows that share an id are documents of their own, and if that id
 is the largest both keep the line; keys shorter than ``min_chars`` code points
-never count.  Hashes have 128 bits.
+never count; an input column named like a result column gives way to it.
+Hashes have 128 bits.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardframe.llm.common import id_or_least
+from wardframe.llm.common import id_or_least, plain_columns
 from wardframe.session import pin
 
 KEY = ["hi", "lo"]
@@ -180,13 +181,13 @@ def _without(keyed: DataFrame, docs: DataFrame, text_col: str, min_chars: int) -
                 names=["rest", "kept", "n_lines", "n_dropped"],
             )
 
-    others = [c for c in docs.columns if c != text_col]
-    rest = F.struct(*[F.col("row")[c].alias(f"c{i}") for i, c in enumerate(others)]) if others else F.struct(F.lit(0).alias("c0"))
+    others = [c for c in plain_columns(docs, ["n_lines", "n_dropped"]) if c != text_col]
+    rest = F.struct(F.lit(0).alias("c"), *[F.col("row")[c].alias(f"c{i}") for i, c in enumerate(others)])
     sent = keyed.select(F.col("row")[text_col].alias("text"), "drop", rest.alias("rest"))
     kind = sent.schema["rest"].dataType.simpleString()
     done = sent.mapInArrow(kept, f"rest {kind}, kept string, n_lines long, n_dropped long")
     back: list[Column] = [
-        F.col("kept").alias(c) if c == text_col else F.col("rest")[f"c{others.index(c)}"].alias(c) for c in docs.columns
+        F.col("kept").alias(c) if c == text_col else F.col("rest")[f"c{others.index(c)}"].alias(c)
+        for c in docs.columns if c == text_col or c in others
     ]
-    counts = [c for c in ("n_lines", "n_dropped") if c not in docs.columns]
-    return done.select(*back, *counts)
+    return done.select(*back, "n_lines", "n_dropped")

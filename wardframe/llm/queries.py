@@ -107,3 +107,10 @@ def op3_substring_dedup(spark, sf):
 
     done = remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), keep_text=False)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op7_nn_descent(spark, sf):
+    from wardframe.llm.nndescent import near_vectors
+
+    return near_vectors(table(spark, sf, "embeddings"))

@@ -17,8 +17,8 @@ every document costs one entry a block.  Hashes have 96 bits between blocks and
 
 Defined results: a null or short text has no windows and loses nothing; a null
 id is the smallest; rows that share an id share their places, so neither is
-earlier than the other; repeats inside one text count; other columns are kept
-as they are.  ``docs`` should be a stored table, because blocks have to come
+earlier than the other; repeats inside one text count; other columns are kept,
+except that one named like a result column gives way to it.  ``docs`` should be a stored table, because blocks have to come
 out alike when a task is repeated; a digest in the block's key guards that.
 """
 
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardframe.llm.common import id_or_least, mixed, raw, slices, words_of
+from wardframe.llm.common import id_or_least, mixed, plain_columns, raw, slices, words_of
 from wardframe.llm.wordbpe import packed, unpacked
 
 WINDOW = 20
@@ -312,7 +312,7 @@ def remove_repeats(
         answers = asks.groupBy("bucket").applyInArrow(_answers(False), "block string, places binary")
         asks = moved(plain).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(next_ask(level), ASK)
     answers = asks.groupBy("bucket").applyInArrow(_answers(True), "block string, places binary")
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in plain_columns(docs, ["n_words", "n_removed", "kept_text"]) if c != text_col]
     row = F.struct(F.lit(0).alias("c"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
     rest = docs.select(id_or_least(F.col(id_col)).alias("id"), F.col(text_col).alias("text"), row.alias("rest"))
     kind = rest.schema["rest"].dataType.simpleString()
@@ -320,6 +320,6 @@ def remove_repeats(
     done = moved(rest, f", rest {kind}").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, made)
     back = [
         F.col("text").alias(c) if c == text_col else F.col("rest")[f"c{others.index(c)}"].alias(c)
-        for c in docs.columns if keep_text or c != text_col
+        for c in docs.columns if c in others or (keep_text and c == text_col)
     ]
-    return done.select(*back, *[c for c in ("n_words", "n_removed", "kept_text") if c not in docs.columns])
+    return done.select(*back, "n_words", "n_removed", "kept_text")
