@@ -1,6 +1,6 @@
 """SimHash near-dedup with deletion-variant signatures.
 
-A fingerprint of 64 bits is cut into ``(distance + 1) // 2`` segments, fewer
+A fingerprint of 64 bits is cut into ``distance // 2 + 1`` segments, fewer
 than plain block permutation needs: of ``distance`` differing bits at most one
 falls into some segment.  Every segment is indexed once per bit with that bit
 replaced by a wildcard, so two segments that differ in at most one bit share a
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
 def variants(fps: DataFrame, distance: int) -> DataFrame:
     """(fp, bit, first, value): one row per segment and wildcard bit; ``first``
     marks the first bit of a segment."""
-    n = max(1, (distance + 1) // 2)
+    n = distance // 2 + 1
     edges = [BITS * i // n for i in range(n + 1)]
     keys = []
     for i in range(n):
