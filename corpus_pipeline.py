@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Every stage works on all rows its predecessor kept and is written as Parquet
-before the next one reads it.  Until the last stage rows keep the columns of
+before the next one reads it, so stages may rely on stored input.  Until the last stage rows keep the columns of
 ``documents``, extra ones included; ``n_chars`` follows the text.
 """
 
@@ -64,13 +64,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Passages that an earlier document holds go; a text that loses nothing
     stays as it is, another one becomes its kept words joined by one blank."""
     aside, names = _set_aside(docs)
-    done = remove_repeats(aside, names["doc_id"], names["text"])
+    done = remove_repeats(aside, names["doc_id"], names["text"], stored=True)
     return _restored(done, names, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(names["text"])))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document, with its training sequence."""
-    return packed_documents(docs, vocabulary(WORD_VOCABULARY))
+    return packed_documents(docs, vocabulary(WORD_VOCABULARY), stored=True)
 
 
 STAGES = [

@@ -119,10 +119,10 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_pieces: int =
 
 def packed_documents(
     docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
-    capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID,
+    capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID, stored: bool = False,
 ) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id,
     offset."""
-    tokens = encode(docs, vocabulary, id_col, text_col, decode=False).withColumnRenamed(id_col, "id")
+    tokens = encode(docs, vocabulary, id_col, text_col, decode=False, stored=stored).withColumnRenamed(id_col, "id")
     cut = pieces_of(tokens, capacity, end_id).select("id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(cut, capacity).withColumnRenamed("id", id_col)

@@ -87,7 +87,7 @@ def op1_simhash(spark, sf):
 def op9_bpe_encoding(spark, sf):
     from wardframe.llm.wordbpe import encode
 
-    done = encode(table(spark, sf, "documents"), vocabulary(WORD_VOCABULARY))
+    done = encode(table(spark, sf, "documents"), vocabulary(WORD_VOCABULARY), stored=True)
     return done.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -98,14 +98,14 @@ def op9_bpe_encoding(spark, sf):
 def op6_best_fit_packing(spark, sf):
     from wardframe.llm.packing import packed_documents
 
-    return packed_documents(table(spark, sf, "documents"), vocabulary(WORD_VOCABULARY))
+    return packed_documents(table(spark, sf, "documents"), vocabulary(WORD_VOCABULARY), stored=True)
 
 
 @query
 def op3_substring_dedup(spark, sf):
     from wardframe.llm.substring import remove_repeats
 
-    done = remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), keep_text=False)
+    done = remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), keep_text=False, stored=True)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

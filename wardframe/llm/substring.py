@@ -18,8 +18,9 @@ every document costs one entry a block.  Hashes have 96 bits between blocks and
 Defined results: a null or short text has no windows and loses nothing; a null
 id is the smallest; rows that share an id share their places, so neither is
 earlier than the other; repeats inside one text count; other columns are kept,
-except that one named like a result column gives way to it.  ``docs`` should be a stored table, because blocks have to come
-out alike when a task is repeated; a digest in the block's key guards that.
+except that one named like a result column gives way to it.  Blocks have to come out alike whenever a task is repeated, so
+``docs`` is written first, unless ``stored`` says that it only reads the files
+of a table; a digest in the block's key guards that.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 
 from wardframe.llm.common import id_or_least, mixed, plain_columns, raw, slices, words_of
 from wardframe.llm.wordbpe import packed, unpacked
+from wardframe.session import pin
 
 WINDOW = 20
 BLOCK_BYTES = 8 << 20
@@ -230,12 +232,15 @@ def _joined(table: pa.Table) -> np.ndarray:
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = True,
+    stored: bool = False,
 ) -> DataFrame:
     """``docs`` (without ``text_col`` unless ``keep_text``) plus ``n_words``,
     ``n_removed`` and ``kept_text``, the words that no earlier text holds,
     joined by one space."""
     if window < 2:
         raise ValueError("a window has two words at least")
+    if not stored:
+        docs = pin(docs)
     lengths = [window]
     while lengths[0] % 2 == 0 and lengths[0] > 10:
         lengths.insert(0, lengths[0] // 2)

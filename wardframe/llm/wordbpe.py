@@ -12,8 +12,9 @@ Words are cut at ASCII white space, which the tokenizer drops and across which
 neither its normalizer nor its pattern nor a special string reaches.  Blocks
 are bounded by bytes, except that a document is never divided; buckets follow
 the size of the input.  Blocks must come out alike whenever a task is repeated,
-so ``docs`` should be a stored table, and a block's key holds a digest of its
-words: if they ever differed, the job would fail instead of mixing ids.
+so ``docs`` is written first, unless ``stored`` says that it only reads the
+files of a table.  A block's key holds a digest of its words: if they ever
+differed, the job would fail instead of mixing ids.
 
 Defined results: a null text is an empty one with no ids and an empty decoded
 text; repeated rows are encoded one by one; other columns are not read.
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardframe.llm.common import raw, slices, words_of
+from wardframe.session import pin
 
 BLOCK_BYTES = 12 << 20
 BUCKET_BYTES = 16 << 20
@@ -128,10 +130,13 @@ def encoded(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def encode(
     docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True,
+    stored: bool = False,
 ) -> DataFrame:
     """(id_col, ids, decoded): the ids of every whole text as little-endian
     unsigned 32-bit numbers, and the text that they decode to."""
     sent = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not stored:
+        sent = pin(sent)
     total = sent.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, total // BUCKET_BYTES)
     kind = docs.schema[id_col].dataType.simpleString()
