@@ -164,11 +164,11 @@ def test_packing_merges_the_rests_of_groups(spark):
 
     lengths = np.random.default_rng(0).integers(1, 100, 900).tolist()
     pieces = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "id long, length long")
-    got = pack(pieces, 100, 60).toPandas()
+    got = pack(pieces, 100, 300).toPandas()
     assert len(got) == 900
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert (g.offset.to_numpy() == np.cumsum(g.length) - g.length).all() and g.length.sum() <= 100
-    assert got.sequence_id.nunique() <= sum(lengths) / 100 * 1.05
+    assert got.sequence_id.nunique() <= sum(lengths) / 100 * 1.08
 
 
 def test_nn_descent(spark, monkeypatch):

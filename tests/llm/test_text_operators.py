@@ -145,7 +145,7 @@ def test_lines(spark, docs, batches):
     assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
     rows = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect())
     assert rows == sorted(plain_lines(EDGE_TEXTS, range(len(EDGE_TEXTS))))
-    assert sum(r[2] for r in rows) == 4
+    assert sum(r[2] for r in rows) == 6
 
 
 def test_runs_are_sorted_compacted_and_settled(spark):

@@ -107,10 +107,11 @@ def counts(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFram
 
 def _tail(n: str, k: str, share: float) -> Column:
     """log P(Bin(n, share) <= k) by adding terms in logarithms."""
-    odds = f"ln({share} / (1 - {share}))"
+    # double literals: a decimal quotient would keep six digits only
+    odds = f"ln({share}D / (1 - {share}D))"
     step = f"a.t + ln(({n} - j + 1) / j) + {odds}"
     add = f"greatest(a.s, {step}) + ln(1 + exp(-abs(a.s - ({step}))))"
-    start = f"CAST({n} * ln(1 - {share}) AS double)"
+    start = f"{n} * ln(1 - {share}D)"
     return F.expr(
         f"CASE WHEN {k} = 0 THEN {start} ELSE aggregate(sequence(1L, {k}), struct({start} AS t, {start} AS s), "
         f"(a, j) -> struct({step} AS t, {add} AS s), a -> a.s) END"
