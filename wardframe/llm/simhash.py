@@ -140,7 +140,8 @@ def links(fps: DataFrame, distance: int, crowd: int = CROWD) -> DataFrame:
         raise ValueError("crowded variants are resolved for at most three bits")
     close = variants(fps, distance)
     counted = pin(close.groupBy("bit", "value").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = pin(close.join(counted, ["bit", "value"]))
+    # shared variants grow with the data: one plan, never a broadcast, at every size
+    shared = pin(close.join(counted.hint("merge"), ["bit", "value"]))
     cold = shared.where(F.col("n") <= crowd)
     left = cold.select("bit", "value", "first", F.col("fp").alias("a"))
     right = cold.select("bit", "value", F.col("fp").alias("b"))
