@@ -11,11 +11,3 @@ from wardframe.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     return local_session(4, "4g", spark__sql__shuffle__partitions="4")
-
-
-@pytest.fixture
-def hot(spark):
-    """Every group counts as hot, so the sliced paths run."""
-    spark.conf.set("wardframe.hotRows", "1")
-    yield
-    spark.conf.unset("wardframe.hotRows")

@@ -16,17 +16,11 @@ def labs(spark, rows, **stays):
     return clinical.labs_around_intime(t).collect()
 
 
-@pytest.mark.parametrize("mode", ["plain", "hot"])
-def test_equal_distance_takes_the_largest(spark, mode, request):
-    if mode == "hot":
-        request.getfixturevalue("hot")
+def test_equal_distance_takes_the_largest(spark):
     assert labs(spark, [lab(-1, 5.0), lab(1, 9.0)])[0].creatinine == 9.0
 
 
-@pytest.mark.parametrize("mode", ["plain", "hot"])
-def test_capped_value_keeps_its_rank(spark, mode, request):
-    if mode == "hot":
-        request.getfixturevalue("hot")
+def test_capped_value_keeps_its_rank(spark):
     assert labs(spark, [lab(1, 200.0), lab(2, 3.0)])[0].creatinine is None
 
 

@@ -1,6 +1,11 @@
-"""Sliced computations against brute force, also with every key hot."""
+"""Ordered and nearest-in-time computations against brute force."""
 
+import glob
+import os
 import random
+import subprocess
+import sys
+import time
 from bisect import bisect_right
 from datetime import timedelta
 
@@ -34,11 +39,10 @@ def expected_rank(rows, dense, descending):
     return out
 
 
-@pytest.mark.parametrize("limit", [1, None])
 @pytest.mark.parametrize("dense,descending", [(False, False), (True, True)])
-def test_ranked(skewed, limit, dense, descending):
+def test_ranked(skewed, dense, descending):
     rows, df = skewed
-    got = ranked(df, ["key"], "x", "r", dense, descending, limit).collect()
+    got = ranked(df, ["key"], "x", "r", dense, descending).collect()
     assert len(got) == len(rows)
     assert {r.id: r.r for r in got} == expected_rank(rows, dense, descending)
 
@@ -95,8 +99,7 @@ def make_events(seed, n, keys):
     ]
 
 
-@pytest.mark.parametrize("limit", [1, None])
-def test_nearest_equals_brute_force(spark, limit):
+def test_nearest_equals_brute_force(spark):
     events = make_events(1, 600, 12)
     anchors = [(k, k * 100 + j, T0 + timedelta(minutes=1000 * j)) for k in range(14) for j in range(4)]
     ev = spark.createDataFrame(events, "key long, item string, time timestamp_ntz, value double")
@@ -104,7 +107,7 @@ def test_nearest_equals_brute_force(spark, limit):
     day = F.expr("interval '10' hour")
     span = timedelta(hours=10)
     got = nearest_values(
-        an, ev, ["key"], "at", {"a": "a", "b": "b"}, (F.col("at") - day, F.col("at") + day), presence=True, limit=limit
+        an, ev, ["key"], "at", {"a": "a", "b": "b"}, (F.col("at") - day, F.col("at") + day), presence=True
     ).collect()
     assert len(got) == len(anchors)
     for row in got:
@@ -138,3 +141,48 @@ def test_bisect_of_running_totals(spark):
     df = spark.createDataFrame([(v,) for v in values], "v long")
     got = running_totals(df, [F.col("v").asc()], {"n": F.lit(1)}).collect()
     assert all(r.n == bisect_right(values, r.v) - 1 for r in got)
+
+
+def test_anchor_without_a_time_ties_all_events(spark):
+    ev = spark.createDataFrame(
+        [(1, "a", T0 + timedelta(hours=i), v) for i, v in enumerate((5.0, 9.0, 1.0))] + [(2, "b", T0, 3.0)],
+        "key long, item string, time timestamp_ntz, value double",
+    )
+    an = spark.createDataFrame([(1, 10, None), (1, 11, T0), (2, 12, None), (3, 13, None)], "key long, id long, at timestamp_ntz")
+    got = {r.id: (r.a, r.has_a) for r in nearest_values(an, ev, ["key"], "at", {"a": "a"}, presence=True).collect()}
+    assert got == {10: (9.0, True), 11: (5.0, True), 12: (None, False), 13: (None, False)}
+    hour = F.expr("interval '1' hour")
+    inside = nearest_values(an, ev, ["key"], "at", {"a": "a"}, (F.col("at") - hour, F.col("at") + hour), presence=True)
+    assert {r.id: (r.a, r.has_a) for r in inside.collect()}[10] == (None, False)
+
+
+def test_one_key_with_a_third_of_the_rows(spark):
+    """Neighbours far away are carried across cells of time."""
+    events = [(k, "a", T0 + timedelta(hours=7 * i), float(i)) for k, n in ((0, 2000), (1, 20), (2, 3)) for i in range(n)]
+    ev = spark.createDataFrame(events, "key long, item string, time timestamp_ntz, value double")
+    anchors = [(k, 100 * k + j, T0 + timedelta(days=d)) for k in range(3) for j, d in enumerate((-400, 0.3, 290, 900))]
+    an = spark.createDataFrame(anchors, "key long, id long, at timestamp_ntz")
+    got = {r.id: r.a for r in nearest_values(an, ev, ["key"], "at", {"a": "a"}).collect()}
+    for k, i, at in anchors:
+        assert got[i] == max((-abs(t - at), v) for key, _, t, v in events if key == k)[1]
+
+
+def test_scratch_tables_go_with_the_application(tmp_path):
+    code = (
+        "import glob\n"
+        "from wardframe.session import local_session, pin\n"
+        f"spark = local_session(1, spark__checkpoint__dir='{tmp_path}')\n"
+        "assert pin(spark.range(5)).count() == 5\n"
+        f"assert glob.glob('{tmp_path}/**/*.parquet', recursive=True)\n"
+        "spark.stop()\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]
+    # the JVM ends a moment after its driver
+    for _ in range(50):
+        left = glob.glob(f"{tmp_path}/**/*.parquet", recursive=True)
+        if not left:
+            break
+        time.sleep(0.2)
+    assert left == []

@@ -182,3 +182,9 @@ def test_boosted_validation(spark, planted):
     best = validate.sweep_report(sweep).first()
     assert best.seed == 5 and 0.8 < best["mean"] <= 1
     assert best.lower == pytest.approx(best["mean"] - best["std"])
+
+
+def test_roc_of_a_group_with_one_class(spark):
+    df = spark.createDataFrame([("x", 0.3, 1), ("x", 0.7, 1), ("y", 0.2, 0), ("y", 0.6, 1)], "g string, s double, l int")
+    points = {(r.g, r.threshold): (r.fpr, r.tpr) for r in metrics.roc_points(df, "s", "l", ["g"]).collect()}
+    assert points["x", 0.7] == (None, 0.5) and points["y", 0.2] == (1.0, 1.0)

@@ -8,11 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def code_in(column: Column, codes: Iterable) -> Column:
-    """Code-set filter; a literal IN list reaches the scan."""
-    return column.isin(*codes)
-
-
 def label_of(item: Column, labels: Mapping[int, str]) -> Column:
     """Label of an item code, NULL for an unknown code."""
     by_label: dict[str, list[int]] = {}

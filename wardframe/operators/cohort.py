@@ -16,10 +16,10 @@ from wardframe.operators.ordered import ranked
 STAY_KEYS = ("subject_id", "hadm_id", "icustay_id")
 
 
-def stay_frame(stays: DataFrame, patients: DataFrame, limit: int | None = None) -> DataFrame:
+def stay_frame(stays: DataFrame, patients: DataFrame) -> DataFrame:
     """Stays of known patients with length of stay, age and stay order."""
     joined = stays.join(patients.select("subject_id", "gender", "dob"), "subject_id")
-    ordered = ranked(joined, ["subject_id"], "intime", "icustay_id_order", limit=limit)
+    ordered = ranked(joined, ["subject_id"], "intime", "icustay_id_order")
     intime, outtime = F.col("intime"), F.col("outtime")
     return ordered.select(
         *STAY_KEYS,

@@ -26,7 +26,7 @@ def class_totals(df: DataFrame, label: str, by: Sequence[str]) -> DataFrame:
 
 def roc_points(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """(threshold, tpr, fpr) at every distinct score, highest first, and the
-    origin with a NULL threshold."""
+    origin with a NULL threshold.  The rate of an absent class is NULL."""
     by = list(by)
     counts = _score_counts(df, score, label, by)
     above = running_totals(
@@ -37,8 +37,8 @@ def roc_points(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) ->
     points = joined.select(
         *by,
         F.col("score").alias("threshold"),
-        ((F.col("neg_above") + F.col("neg")) / F.col("n_neg").cast("double")).alias("fpr"),
-        ((F.col("pos_above") + F.col("pos")) / F.col("n_pos").cast("double")).alias("tpr"),
+        F.try_divide(F.col("neg_above") + F.col("neg"), F.col("n_neg").cast("double")).alias("fpr"),
+        F.try_divide(F.col("pos_above") + F.col("pos"), F.col("n_pos").cast("double")).alias("tpr"),
     )
     origin = totals.select(
         *by, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
@@ -72,7 +71,9 @@ def l1_logistic(n_rows: int, c: float = 1.0, tol: float = 1e-6, max_iter: int =
 
 
 def boosted_trees(params: BoostParams, spark: SparkSession) -> GBTClassifier:
-    shared_dir(spark)  # the learner cuts the lineage of its residuals there
+    # the learner cuts the lineage of its residuals there
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return GBTClassifier(
         featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
         stepSize=params.learning_rate, maxIter=params.trees, maxDepth=params.depth,
@@ -97,9 +98,22 @@ def odds_ratios(model, features: Sequence[str], spark: SparkSession) -> DataFram
     )
 
 
+def _inner_nodes(root) -> Iterator:
+    """The nodes of a fitted tree that split."""
+    waiting = [root]
+    while waiting:
+        node = waiting.pop()
+        if node.subtreeDepth() > 0:
+            yield node
+            waiting += [node.leftChild(), node.rightChild()]
+
+
 def split_counts(model: GBTClassificationModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
     """Number of splits per feature over all trees, and the gain share."""
-    used = Counter(int(i) for i in re.findall(r"If \(feature (\d+)", model.toDebugString))
+    used: Counter[int] = Counter()
+    for tree in model.trees:
+        for node in _inner_nodes(tree._call_java("rootNode")):
+            used[node.split().featureIndex()] += 1
     gain = model.featureImportances.toArray()
     rows = [(f, used.get(i, 0), float(gain[i])) for i, f in enumerate(features)]
     return spark.createDataFrame(rows, "feature string, n_splits long, gain double").orderBy("n_splits", "feature")

@@ -7,30 +7,31 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardframe.operators.ordered import SLICE, has_hot_group, null_safe_join, sliced
+from wardframe.operators.ordered import SLICE, null_safe_join
 from wardframe.session import pin
 
 EARLIER = (Window.unboundedPreceding, -1)
+CELL_MICROS = 24 * 3600 * 1_000_000
+NO_CELL = -(2**62)
 
 
 def _neighbours(
-    anchors: DataFrame, events: DataFrame, keys: Sequence[str], at: Column, items: Sequence, limit: int | None
+    anchors: DataFrame, events: DataFrame, keys: Sequence[str], at: Column, items: Sequence
 ) -> DataFrame:
     """One row per anchor and item with the last event up to ``at`` and the
     first one after it, as structs ``before`` and ``after`` of (t, v).
 
-    Anchors and events are merged into one time-ordered run per key and item,
-    so every row is read once per direction and no anchor-event pair is built.
+    Anchors and events are merged into one time-ordered run per key, item and
+    cell of time, so every row is read once per direction and no anchor-event
+    pair is built; one summary row per cell carries neighbours across.
     """
     keys = list(keys)
     payload = F.struct(*anchors.columns)
     kind = events.schema["item"].dataType
     wanted = F.explode(F.array(*[F.lit(i).cast(kind) for i in items]))
     marks = anchors.select(*keys, at.alias("t"), payload.alias("anchor"), wanted.alias("item"))
-    hot = has_hot_group(events.select(*keys).unionByName(anchors.select(*keys)), keys, limit)
-    if hot:
-        # equal times collapse to their largest value, then any key can be cut
-        events = events.groupBy(*keys, "item", "time").agg(F.max("value").alias("value"))
+    # equal times collapse to their largest value
+    events = events.groupBy(*keys, "item", "time").agg(F.max("value").alias("value"))
     run = events.select(*keys, F.col("time").alias("t"), "item", "value").unionByName(
         marks, allowMissingColumns=True
     )
@@ -39,13 +40,9 @@ def _neighbours(
         "CASE WHEN anchor IS NULL THEN 0 ELSE 1 END AS kind",
         "xxhash64(anchor) AS tie",
     )
-    if hot:
-        run = sliced(run, [*keys, "item", "t", "kind", "tie"])
-        group = [SLICE, *keys, "item"]
-    else:
-        # one exchange by key serves both windows and the pivot after them
-        run = run.repartition(*keys)
-        group = [*keys, "item"]
+    # a fixed cut of time shares a key out; rows without a time come first
+    run = run.withColumn(SLICE, F.coalesce(_cell(F.col("t"), CELL_MICROS), F.lit(NO_CELL)))
+    group = [SLICE, *keys, "item"]
 
     # at equal times events precede anchors, and the largest value comes last
     up = "t ASC NULLS FIRST, kind ASC, value ASC NULLS FIRST, tie ASC"
@@ -56,17 +53,14 @@ def _neighbours(
     near = run.selectExpr(
         "*", f"{latest.format(part, up)} AS before", f"{latest.format(part, down)} AS after"
     ).where("kind = 1")
-    if hot:
-        near = _carry(near, run, [*keys, "item"], group)
-    # keys stay the columns the run is partitioned by, so that the pivot by
-    # anchor needs no further exchange
+    near = _carry(near, run, [*keys, "item"], group)
     columns = [F.col(c) if c in keys else F.col("anchor")[c].alias(c) for c in anchors.columns]
     return near.select(*columns, "item", "before", "after")
 
 
 def _carry(near: DataFrame, run: DataFrame, keys: Sequence[str], group: Sequence[str]) -> DataFrame:
-    """Fill anchors that found nothing inside their slice from the nearest
-    slice of the same key that holds an event (one summary row per slice)."""
+    """Fill anchors that found nothing inside their cell from the nearest cell
+    of the same key that holds an event (one summary row per cell)."""
     ends = run.groupBy(*group).agg(
         F.expr("max_by(event, struct(kind = 0, t)) FILTER (WHERE kind = 0) AS final"),
         F.expr("min_by(event, t) FILTER (WHERE kind = 0 AND t IS NOT NULL) AS first"),
@@ -114,29 +108,40 @@ def nearest_values(
     items: Mapping[str, object],
     window: tuple[Column, Column] | None = None,
     presence: bool = False,
-    limit: int | None = None,
 ) -> DataFrame:
     """The value of each item nearest in time to ``at``, one column per item.
 
     ``events`` has ``keys`` and the columns ``item``, ``time`` and ``value``;
     ``items`` names the output column of each item.  Every anchor is kept, and
-    anchors have to be distinct rows with a time.  A tie in distance yields
+    anchors have to be distinct rows.  To an anchor without a time all events
+    of its key are equally near, and none lies in a window.  A tie in distance yields
     the largest value, and a NULL value holds its place: it yields NULL rather
     than the next nearest.  ``window`` restricts the events to a closed time
     range around the anchor; ``presence`` adds a column ``has_<name>`` per
     item that tells a NULL value from no event.
     """
-    near = _neighbours(anchors, events, keys, F.col(at), list(items.values()), limit)
+    timed = anchors.where(F.col(at).isNotNull())
+    near = _neighbours(timed, events, keys, F.col(at), list(items.values()))
+    columns = [f"`{c}`" for c in anchors.columns]
     won = _winners(near, F.col(at), window).selectExpr(
-        *[f"`{c}`" for c in anchors.columns],
+        *columns,
         "item",
         "greatest(CASE WHEN wins_before THEN before.v END, CASE WHEN wins_after THEN after.v END) AS v",
         "wins_before OR wins_after AS found",
     )
-    columns = [F.max(F.when(F.col("item") == i, F.col("v"))).alias(n) for n, i in items.items()]
+    untimed = anchors.where(F.col(at).isNull())
+    if window is None:
+        wanted = events.join(untimed.select(*keys).distinct(), list(keys), "left_semi")
+        tied = wanted.groupBy(*keys, "item").agg(F.max("value").alias("v"))
+        tied = untimed.join(tied, list(keys), "left").selectExpr(*columns, "item", "v", "item IS NOT NULL AS found")
+    else:
+        tied = untimed.selectExpr(*columns, "NULL AS item", "NULL AS v", "false AS found")
+    won = won.unionByName(tied)
+    picked = [F.max(F.when(F.col("item") == i, F.col("v"))).alias(n) for n, i in items.items()]
     if presence:
-        columns += [F.max(F.when(F.col("item") == i, F.col("found"))).alias(f"has_{n}") for n, i in items.items()]
-    return won.groupBy(*anchors.columns).agg(*columns)
+        hit = {n: F.when(F.col("item") == i, F.col("found")) for n, i in items.items()}
+        picked += [F.max(F.coalesce(h, F.lit(False))).alias(f"has_{n}") for n, h in hit.items()]
+    return won.groupBy(*anchors.columns).agg(*picked)
 
 
 def nearest_rows(
@@ -148,7 +153,6 @@ def nearest_rows(
     items: Mapping[str, object],
     time_name: str = "charttime",
     anchor_id: Sequence[str] = ("icustay_id",),
-    limit: int | None = None,
 ) -> DataFrame:
     """Long form of :func:`nearest_values`: events in ``window`` are ranked by
     distance to ``rank_at``, which may lie outside the window, and there is
@@ -163,7 +167,7 @@ def nearest_rows(
     # of the range closest to it
     closest = F.greatest(F.least(F.col(rank_at), high), low)
     timed = anchors.where(F.col(rank_at).isNotNull())
-    near = _neighbours(timed, events, keys, closest, list(items.values()), limit)
+    near = _neighbours(timed, events, keys, closest, list(items.values()))
     # at most two hits per item, so the list of an anchor stays short
     hits = (
         _winners(near, F.col(rank_at), window)
@@ -187,7 +191,6 @@ def nearest_rows(
     )
 
 
-CELL_MICROS = 24 * 3600 * 1_000_000
 _ORIGIN = "timestamp_ntz '1970-01-01 00:00:00'"
 
 
@@ -214,8 +217,11 @@ def interval_join(
     """
     keys, anchor_id = list(keys), list(anchor_id)
     values = [c for c in events.columns if c not in keys]
-    cells = F.explode(F.sequence(_cell(low, cell_micros), _cell(high, cell_micros)))
-    left = anchors.select("*", low.alias("_low"), high.alias("_high"), cells.alias("_cell"))
+    cells = F.sequence(_cell(low, cell_micros), _cell(high, cell_micros))
+    left = anchors.select(
+        "*", low.alias("_low"), high.alias("_high"), F.when(cells.isNull(), 1).otherwise(F.size(cells)).alias("_cells"),
+        F.explode_outer(cells).alias("_cell"),
+    )
     right = events.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys],
         *values,
@@ -223,8 +229,15 @@ def interval_join(
     )
     on = [F.col(k) == F.col(f"_r_{k}") for k in keys]
     on += [F.col("_cell") == F.col("_r_cell"), F.col(event_time).between(F.col("_low"), F.col("_high"))]
-    matched = left.join(right, on, "inner").select(*anchors.columns, *values)
     if how == "inner":
-        return matched
-    alone = anchors.join(matched.select(*anchor_id).distinct(), anchor_id, "left_anti")
-    return matched.unionByName(alone.select(*anchors.columns), allowMissingColumns=True)
+        return left.join(right, on, "inner").select(*anchors.columns, *values)
+    # every cell without an event leaves one row; an anchor has none if they
+    # are as many as its cells, and one of them stands for it then
+    joined = left.join(right.withColumn("_hit", F.lit(True)), on, "left")
+    spread = [F.when(F.col("_hit"), F.col(c)) for c in ("_cell", event_time)]
+    alike = Window.partitionBy(*anchor_id, F.col("_hit"), *spread)
+    marked = joined.select(
+        *anchors.columns, *values, "_hit", "_cells",
+        F.count("*").over(alike).alias("_n"), F.row_number().over(alike.orderBy("_cell")).alias("_i"),
+    )
+    return marked.where("_hit OR (_n = _cells AND _i = 1)").select(*anchors.columns, *values)

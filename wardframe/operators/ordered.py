@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardframe.session import hot_rows, pin
+from wardframe.session import pin
 
 SLICE = "_slice"
 
@@ -78,17 +78,6 @@ def row_index(df: DataFrame, order: Sequence[Column], name: str = "row_idx") ->
     return running_totals(df, order, {name: F.lit(1).cast("long")})
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group; reads the key columns only."""
-    top = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    return top or 0
-
-
-def has_hot_group(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
-    limit = hot_rows(df.sparkSession) if limit is None else limit
-    return largest_group(df, keys) > limit
-
-
 def ranked(
     df: DataFrame,
     keys: Sequence[str],
@@ -96,19 +85,14 @@ def ranked(
     name: str,
     dense: bool = False,
     descending: bool = False,
-    limit: int | None = None,
 ) -> DataFrame:
     """RANK or DENSE_RANK of ``order`` within ``keys`` (NULLs last when
     ascending, first when descending).
 
-    Groups within the hot-row limit use a window.  Otherwise ties collapse to
-    one counted row and the rank is a running total over those.
+    Ties collapse to one counted row first, and the rank is a running total
+    over those, so a group of any size is shared out among tasks.
     """
     by = F.col(order).desc_nulls_first() if descending else F.col(order).asc_nulls_last()
-    if not has_hot_group(df, keys, limit):
-        function = F.dense_rank() if dense else F.rank()
-        window = Window.partitionBy(*keys).orderBy(by)
-        return df.withColumn(name, function.over(window).cast("long"))
     step = F.lit(1).cast("long") if dense else F.col("_n")
     distinct = df.groupBy(*keys, order).agg(F.count("*").alias("_n"))
     totals = running_totals(distinct, [by], {"_before": step}, keys)

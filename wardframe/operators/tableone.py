@@ -9,18 +9,11 @@ from pyspark.sql import functions as F
 
 from wardframe.functions.pvalues import chi2_tail, fisher_two_sided
 from wardframe.operators.ordered import long_values, null_safe_join, quantile_rows, row_index, running_totals
-from wardframe.operators.profile import missing_pct
 from wardframe.session import pin
 
-MAX_LEVELS = 50
-
-
 def outcome_levels(df: DataFrame, groupby: str) -> list:
-    """Distinct non-null outcomes; a grouping column has to have few."""
-    rows = df.select(groupby).where(F.col(groupby).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{groupby} has more than {MAX_LEVELS} levels")
-    return sorted(r[0] for r in rows)
+    """Distinct non-null outcomes, one column each in the report."""
+    return sorted(r[0] for r in df.select(groupby).where(F.col(groupby).isNotNull()).distinct().collect())
 
 
 def _value_totals(df: DataFrame, columns: Sequence[str], groupby: str, levels: Sequence) -> DataFrame:
@@ -273,11 +266,6 @@ def table_one(
     return numbered.select("row_idx", *report.columns).drop("_pos").orderBy("row_idx")
 
 
-def missing_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Features with missing values and their percentage of the cohort."""
-    return missing_pct(df, columns)
-
-
 def pick_rows(report: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Heading rows of the report with the given labels, in report order."""
     return report.where(F.col("features").isin(*labels) & (F.col("level") == "")).orderBy("row_idx")

@@ -187,20 +187,15 @@ EVENT_KEYS = {
     ),
     "hadm_id": ("admissions", "labevents", "microbiologyevents", "elixhauser_quan"),
 }
-MAX_SHIPPED_IDS = 1_000_000
 
 
 def _cohort_tables(t: Tables, cohort: DataFrame) -> Tables:
-    """The tables reduced to the cohort before any event is aggregated.
-
-    The ids are shipped to every executor while they are few (a million are
-    some 20 MB); a larger cohort leaves the event tables as they are.
-    """
+    """The tables reduced to the cohort before any event is aggregated; how the
+    ids reach the events is left to the optimiser."""
     small = {"icustays": t["icustays"].join(cohort.select(*KEYS).distinct(), KEYS, "left_semi")}
     for key, names in EVENT_KEYS.items():
         ids = cohort.select(key).distinct()
-        if ids.limit(MAX_SHIPPED_IDS + 1).count() <= MAX_SHIPPED_IDS:
-            small |= {n: t[n].join(F.broadcast(ids), key, "left_semi") for n in names if n in t}
+        small |= {n: t[n].join(ids, key, "left_semi") for n in names if n in t}
     return {**t, **small}
 
 

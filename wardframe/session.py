@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-HOT_ROWS = "wardframe.hotRows"
-DEFAULT_HOT_ROWS = 1_000_000
 
 
-def local_session(cores: int | str = "*", memory: str = "20g", **settings) -> SparkSession:
+def local_session(cores: int | str = "*", memory: str | None = None, **settings) -> SparkSession:
     """A local session with the settings the library is tested with."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -20,10 +17,11 @@ def local_session(cores: int | str = "*", memory: str = "20g", **settings) -> Sp
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if memory is not None:
+        builder = builder.config("spark.driver.memory", memory)
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
@@ -32,22 +30,19 @@ def local_session(cores: int | str = "*", memory: str = "20g", **settings) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session.
+    """The application's scratch folder on storage that all executors share.
 
-    Only a local session may fall back to a temporary folder: on a cluster
-    such a folder would be lost with the machine that holds it.
+    It lies below the session's checkpoint folder, or below the warehouse
+    where none is set, and goes when the application's JVM ends.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current is not None:
-        return current
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="wardframe-")
-    sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
+    base = sc.getCheckpointDir() or spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/wardframe-{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -61,7 +56,3 @@ def pin(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def hot_rows(spark: SparkSession) -> int:
-    """Largest group, in rows, that one task may be given."""
-    return int(spark.conf.get(HOT_ROWS, str(DEFAULT_HOT_ROWS)))
