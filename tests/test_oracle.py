@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from wardframe.plans.oracle import ORACLE
+from wardframe.plans import flagmodels, stored  # noqa: F401
 from wardframe.plans.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -256,18 +256,20 @@ _put("star_features", """SELECT f.subject_id, f.hadm_id, f.icustay_id, hm_indica
      ORDER_SQL, COHORT_SQL, FLAG_SQL, CHART_SQL, RESULT_SQL)
 
 _put("profile_counts", " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, count({c}) AS non_null FROM model" for c in DOC_FEATURES), DOC_SQL)
+    f"SELECT '{c}' AS feature, count({c}) AS non_null FROM docs" for c in DOC_FEATURES), DOC_SQL)
 _put("distinct_ids", " UNION ALL ".join(
     f"SELECT '{c}' AS feature, (SELECT count(*) FROM (SELECT DISTINCT {c} FROM charts)) AS n_distinct"
     for c in ("icustay_id", "itemid", "error")), ORDER_SQL)
-_put("frame_shape", "SELECT count(*) AS n_rows, CAST(13 AS BIGINT) AS n_columns FROM model", DOC_SQL)
+_put("frame_shape", "SELECT count(*) AS n_rows, CAST(max(len(json_keys(to_json(docs)))) AS BIGINT) AS n_columns FROM docs",
+     DOC_SQL)
 _put("group_sizes", "SELECT hm_indicator, count(*) AS n_rows FROM kinds GROUP BY 1", ORDER_SQL, COHORT_SQL)
 _put("missing_pct", "SELECT * FROM (" + " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, count(*) - count({c}) AS missing,
-  round((count(*) - count({c})) * CAST(100 AS DOUBLE) / count(*), 6) AS missing_pct FROM model"""
+  round((count(*) - count({c})) * CAST(100 AS DOUBLE) / count(*), 6) AS missing_pct FROM docs"""
     for c in DOC_FEATURES) + ") WHERE missing > 0", DOC_SQL)
-_put("unit_convert", """SELECT doc_id, site, round(CASE WHEN site = 'A' THEN n_chars * 0.001 ELSE n_chars END, 6)
-  AS n_chars, round((mean_word - 32) / 1.8, 6) AS mean_word FROM model""", DOC_SQL)
+_put("unit_convert", """SELECT doc_id, CASE WHEN lang = 'en' THEN 'A' ELSE 'B' END AS site,
+  round(CASE WHEN lang = 'en' THEN n_chars * 0.001 ELSE n_chars END, 6) AS n_chars,
+  round((mean_word - 32) / 1.8, 6) AS mean_word FROM docs""", DOC_SQL)
 _put("recode_text", "SELECT subject_id, CASE WHEN gender = 'M' THEN 1 ELSE 0 END AS gender FROM patients", ORDER_SQL)
 _put("onehot_fill", """SELECT icustay_id, coalesce(hm_indicator, 0) AS hm_indicator,
   CASE WHEN d_type = 'leukemia' THEN 1 ELSE 0 END AS leukemia,
@@ -275,8 +277,8 @@ _put("onehot_fill", """SELECT icustay_id, coalesce(hm_indicator, 0) AS hm_indica
   CASE WHEN d_type = 'myeloma' THEN 1 ELSE 0 END AS myeloma
   FROM icustays i LEFT JOIN kinds k ON i.hadm_id = k.hadm_id""", ORDER_SQL, COHORT_SQL)
 _put("median_impute", "SELECT doc_id, " + ", ".join(
-    f"round(coalesce({c}, (SELECT median({c}) FROM model)), 6) AS {c}"
-    for c in ("digit_share", "upper_share", "punct_share")) + " FROM model", DOC_SQL)
+    f"round(coalesce({c}, (SELECT median({c}) FROM docs)), 6) AS {c}"
+    for c in ("digit_share", "upper_share", "punct_share")) + " FROM docs", DOC_SQL)
 _put("dropna_any", """SELECT doc_id, site, label FROM model
   WHERE digit_share IS NOT NULL AND upper_share IS NOT NULL AND punct_share IS NOT NULL""", DOC_SQL)
 _put("pooled_sites", """SELECT doc_id, label, n_chars, CASE WHEN lang = 'en' THEN n_words END AS n_words, site
@@ -614,3 +616,127 @@ _put("long_cohort", f"""SELECT lab_test_rank, l.subject_id, l.hadm_id, l.icustay
   CASE WHEN s.surgical = 1 THEN 1 ELSE 0 END AS exclusion_surgical
   FROM co c JOIN serv_left s ON c.icustay_id = s.icustay_id AND s.r = 1 JOIN ward_coded d ON c.hadm_id = d.hadm_id
   JOIN ward_labs_long l ON c.icustay_id = l.icustay_id""", *WARD)
+
+# --- models on one 0/1 column: the optimum in closed form ---------------------------
+
+LOUD_SQL = DOC_SQL + """,
+flagged AS (
+  SELECT doc_id, site, label, CASE WHEN upper_share > 0.1 THEN 1 ELSE 0 END AS loud FROM model
+)
+"""
+
+
+def _rates(source: str, by: str = "") -> str:
+    """CTEs ``rates``: the fitted rate of either flag value.  With one penalised
+    0/1 column the optimum moves one case across, or drops the column."""
+    group, keep = (f"GROUP BY {by}", f"{by}, ") if by else ("", "")
+    return f"""
+counts AS (
+  SELECT {keep}CAST(count(*) FILTER (loud = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (loud = 0) AS DOUBLE) AS n0,
+         CAST(count(*) FILTER (loud = 1 AND label = 1) AS DOUBLE) AS p1,
+         CAST(count(*) FILTER (loud = 0 AND label = 1) AS DOUBLE) AS p0
+  FROM {source} {group}
+),
+moved AS (
+  SELECT *, sign(p1 / n1 - p0 / n0) AS s FROM counts
+),
+rates AS (
+  SELECT {keep}CASE WHEN s * ((p1 - s) / n1 - (p0 + s) / n0) > 0 THEN (p1 - s) / n1 ELSE (p1 + p0) / (n1 + n0) END AS r1,
+         CASE WHEN s * ((p1 - s) / n1 - (p0 + s) / n0) > 0 THEN (p0 + s) / n0 ELSE (p1 + p0) / (n1 + n0) END AS r0
+  FROM moved
+)
+"""
+
+
+_put("l1_flag_odds", """SELECT 'loud' AS feature, round(ln(r0 / (1 - r0)), 3) AS intercept,
+  round(ln(r1 / (1 - r1)) - ln(r0 / (1 - r0)), 3) AS coefficient,
+  round(r1 / (1 - r1) * (1 - r0) / r0, 3) AS odds_ratio FROM rates""", LOUD_SQL, _rates("flagged"))
+
+FOLDED_SQL = f"""
+folded AS (
+  SELECT *, {FOLD.format(k=10)} AS fold
+  FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM flagged)
+),
+train AS (
+  SELECT f.fold AS held, folded.label, folded.loud
+  FROM folded JOIN (SELECT DISTINCT fold FROM folded) f ON folded.fold <> f.fold
+)
+"""
+_put("l1_flag_cv_accuracy", """SELECT round(avg(a), 6) AS mean, round(2 * stddev_pop(a), 6) AS two_std FROM (
+  SELECT avg(CASE WHEN label = CASE WHEN CASE loud WHEN 1 THEN r1 ELSE r0 END > 0.5 THEN 1 ELSE 0 END THEN 1.0 ELSE 0.0 END) AS a
+  FROM folded JOIN rates ON fold = held GROUP BY fold)""", LOUD_SQL, FOLDED_SQL, _rates("train", "held"))
+
+AUC_OF_FLAG = """0.5 + sign({score}) * (
+    count(*) FILTER (label = 1 AND loud = 1) / nullif(CAST(count(*) FILTER (label = 1) AS DOUBLE), 0)
+  - count(*) FILTER (label = 0 AND loud = 1) / nullif(CAST(count(*) FILTER (label = 0) AS DOUBLE), 0)) / 2"""
+_SITE_A = _rates("(SELECT * FROM flagged WHERE site = 'A')")
+_put("l1_flag_external", f"""SELECT round({AUC_OF_FLAG.format(score="any_value(r1 - r0)")}, 6) AS auc
+  FROM flagged, rates WHERE site = 'B'""", LOUD_SQL, _SITE_A)
+_put("l1_flag_repeated_external", f"""SELECT count(auc) AS n, round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) AS std,
+  round(avg(auc) - stddev_pop(auc), 6) AS low, round(avg(auc) + stddev_pop(auc), 6) AS high, round(max(auc), 6) AS best
+  FROM (SELECT seed, {AUC_OF_FLAG.format(score="any_value(r1 - r0)")} AS auc FROM (
+    SELECT *, row_number() OVER (PARTITION BY seed ORDER BY md5(concat(CAST(doc_id AS VARCHAR), ':', seed)), doc_id) AS i,
+           count(*) OVER (PARTITION BY seed) AS n
+    FROM (SELECT *, unnest(range(1, 100)) AS seed FROM flagged WHERE site = 'B')), rates
+  WHERE i <= ceil(0.2 * n) GROUP BY seed)""", LOUD_SQL, _SITE_A)
+_put("holdout_sizes", """SELECT seed, count(*) AS n, CAST(sum(label) AS BIGINT) AS positive FROM (
+    SELECT *, row_number() OVER (PARTITION BY seed ORDER BY md5(concat(CAST(doc_id AS VARCHAR), ':', seed)), doc_id) AS i,
+           count(*) OVER (PARTITION BY seed) AS n
+    FROM (SELECT *, unnest(range(1, 100)) AS seed FROM flagged))
+  WHERE i <= ceil(0.3 * n) GROUP BY seed""", LOUD_SQL)
+_put("fold_sizes", f"""SELECT seed, fold, count(*) AS n, CAST(sum(label) AS BIGINT) AS positive FROM (
+  SELECT *, {FOLD.format(k=10)} AS fold FROM (
+    SELECT *, row_number() OVER (PARTITION BY seed ORDER BY md5(concat(CAST(doc_id AS VARCHAR), ':', seed)), doc_id) - 1 AS i,
+           count(*) OVER (PARTITION BY seed) AS n
+    FROM (SELECT *, unnest(range(300, 303)) AS seed FROM flagged))) GROUP BY seed, fold""", LOUD_SQL)
+
+
+def _boosted(where: str) -> str:
+    """CTE ``boosted``: 20 one-split trees.  The first tree predicts the mean of
+    the labels as +1 and -1, every later one a tenth of the mean gradient."""
+    step = "{f} + 0.1 * (p{x} / n{x} * 4 / (1 + exp(2 * {f})) - (1 - p{x} / n{x}) * 4 / (1 + exp(-2 * {f})))"
+    f = {x: (f"2 * p{x} / n{x} - 1") for x in (0, 1)}
+    parts = [f"""
+tree1 AS (
+  SELECT n0, p0, n1, p1, {f[0]} AS f0, {f[1]} AS f1 FROM (
+    SELECT CAST(count(*) FILTER (loud = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (loud = 0) AS DOUBLE) AS n0,
+           CAST(count(*) FILTER (loud = 1 AND label = 1) AS DOUBLE) AS p1,
+           CAST(count(*) FILTER (loud = 0 AND label = 1) AS DOUBLE) AS p0
+    FROM flagged WHERE {where})
+)"""]
+    for i in range(2, 21):
+        now = ", ".join(f"{step.format(f=f'f{x}', x=x)} AS f{x}" for x in (0, 1))
+        parts.append(f"tree{i} AS (SELECT n0, p0, n1, p1, {now} FROM tree{i - 1})")
+    return ",\n".join(parts)
+
+
+_put("gbt_flag_scores", """SELECT 0 AS loud, round(f0, 5) AS score FROM tree20
+  UNION ALL SELECT 1 AS loud, round(f1, 5) AS score FROM tree20""", LOUD_SQL, _boosted("true"))
+_put("gbt_flag_splits", """SELECT 'loud' AS feature, CAST(20 AS BIGINT) AS n_splits, 1.0::DOUBLE AS gain
+  FROM tree20 WHERE f0 <> f1""", LOUD_SQL, _boosted("true"))
+_put("gbt_flag_external", f"""SELECT round({AUC_OF_FLAG.format(score="any_value(f1 - f0)")}, 6) AS auc
+  FROM flagged, tree20 WHERE site = 'B'""", LOUD_SQL, _boosted("site = 'A'"))
+
+# --- files, views, reports -------------------------------------------------------------
+
+_put("csv_indexed", """SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row_idx, s_suppkey, s_name, s_acctbal
+  FROM supplier""")
+_put("csv_named", "SELECT s_suppkey AS key, s_name AS name, round(s_acctbal, 2) AS balance FROM supplier")
+_put("view_replaced", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+_put("report_by_label", """SELECT CAST(4 AS BIGINT) AS row_idx, 'digit_share (median [IQR])' AS features,
+    count(*) FILTER (digit_share IS NULL) AS missing FROM model
+  UNION ALL SELECT CAST(8 AS BIGINT), 'toxic (n (%))', CAST(0 AS BIGINT) FROM model HAVING count(*) > 0""", DOC_SQL)
+
+
+def _median_text(column: str, label: int) -> str:
+    share = [f"quantile_cont({column}, {q}) FILTER (label = {label})" for q in (0.5, 0.25, 0.75)]
+    return "format('{:.2f} [{:.2f},{:.2f}]', " + ", ".join(share) + ")"
+
+
+_put("report_by_position", """SELECT CAST(0 AS BIGINT) AS row_idx, 'n' AS features, CAST(NULL AS BIGINT) AS missing,
+    CAST(count(*) FILTER (label = 0) AS VARCHAR) AS group_0, CAST(count(*) FILTER (label = 1) AS VARCHAR) AS group_1
+  FROM model""" + "".join(f"""
+  UNION ALL SELECT {i}, '{c} (median [IQR])', count(*) FILTER ({c} IS NULL), {_median_text(c, 0)}, {_median_text(c, 1)}
+  FROM model""" for i, c in ((2, "n_words"), (4, "digit_share"))), DOC_SQL)
+_put("si_units", """SELECT l_orderkey, l_linenumber, round(l_tax * 88.42, 6) AS creatinine, round(l_discount * 17.1, 6) AS bilirubin,
+  round(l_quantity * 0.3571, 6) AS urea, round((l_quantity - 32) / 1.8, 6) AS temperature FROM lineitem""")

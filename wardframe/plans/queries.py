@@ -368,7 +368,7 @@ def long_cohort(spark, sf):
 
 @query
 def profile_counts(spark, sf):
-    return profile.non_null_counts(st.model_table(spark, sf), list(st.DOC_FEATURES))
+    return profile.non_null_counts(st.doc_features(spark, sf), list(st.DOC_FEATURES))
 
 
 @query
@@ -378,7 +378,7 @@ def distinct_ids(spark, sf):
 
 @query
 def frame_shape(spark, sf):
-    return profile.shape(st.model_table(spark, sf))
+    return profile.shape(st.doc_features(spark, sf))
 
 
 @query
@@ -388,7 +388,7 @@ def group_sizes(spark, sf):
 
 @query
 def missing_pct(spark, sf):
-    return rounded(profile.missing_pct(st.model_table(spark, sf), list(st.DOC_FEATURES)), "missing_pct")
+    return rounded(profile.missing_pct(st.doc_features(spark, sf), list(st.DOC_FEATURES)), "missing_pct")
 
 
 DOC_UNITS = {
@@ -400,7 +400,9 @@ DOC_UNITS = {
 @query
 def unit_convert(spark, sf):
     """Linear conversions that differ by site."""
-    converted = prep.convert_units_by_site(st.model_table(spark, sf), DOC_UNITS)
+    site = F.when(F.col("lang") == "en", "A").otherwise("B")
+    sites = st.doc_features(spark, sf).withColumn("site", site)
+    converted = prep.convert_units_by_site(sites, DOC_UNITS)
     return rounded(converted.select("doc_id", "site", "n_chars", "mean_word"), "n_chars", "mean_word")
 
 
@@ -424,7 +426,7 @@ GAPPY = ["digit_share", "upper_share", "punct_share"]
 
 @query
 def median_impute(spark, sf):
-    filled = prep.fill_median(pin(st.model_table(spark, sf)), GAPPY)
+    filled = prep.fill_median(pin(st.doc_features(spark, sf)), GAPPY)
     return rounded(filled.select("doc_id", *GAPPY), *GAPPY)
 
 
@@ -572,14 +574,15 @@ def tableone_report(spark, sf):
 
 # --- models ----------------------------------------------------------------------------
 
-# Repeats and trees are small here so that a run stays short; the studies' own
-# settings are the presets in wardframe.operators.models.
+# The studies' folds and seeds.  Boosted trees are few and the repeated holdout
+# and the sweep of them short, so that a run ends; the studies' own settings are
+# the presets in wardframe.operators.models.
+FOLDS = 10
 QUICK = models.BoostParams(0.1, 5, 3, 4, 0.9, 0.7, 0.0, 1.0, 27)
 QUICK_WEIGHTED = models.BoostParams(0.1, 5, 3, 1, 0.8, 1.0, 0.0, 3.0, 0)
 MODEL_COLUMNS = [*st.DOC_FEATURES, "toxic"]
 # trees cannot take a missing value, so they get a flag beside the median
 TREE_COLUMNS = [*MODEL_COLUMNS, *[f"{c}_missing" for c in GAPPY]]
-QUICK_ITERATIONS = 50
 
 
 def _prepared(spark, sf):
@@ -592,7 +595,7 @@ def _vectors(spark, sf, columns=MODEL_COLUMNS, weight=1.0, keep=("doc_id",)):
 
 
 def _logistic(train):
-    return models.l1_logistic(train.count(), max_iter=QUICK_ITERATIONS)
+    return models.l1_logistic(train.count())
 
 
 def _boosted(params):
@@ -608,14 +611,14 @@ def l1_logistic_odds(spark, sf):
 
 @query
 def l1_logistic_accuracy(spark, sf):
-    rows = folds.contiguous_folds(_vectors(spark, sf), [F.col("doc_id").asc()], 5)
-    return validate.accuracy_report(validate.cross_validate(rows, 5, _logistic), ["fold"])
+    rows = folds.contiguous_folds(_vectors(spark, sf), [F.col("doc_id").asc()], FOLDS)
+    return validate.accuracy_report(validate.cross_validate(rows, FOLDS, _logistic), ["fold"])
 
 
 @query
 def gbt_cv_auc(spark, sf):
-    rows = folds.contiguous_folds(_vectors(spark, sf, TREE_COLUMNS), [F.col("doc_id").asc()], 5)
-    scores = validate.cross_validate(rows, 5, _boosted(QUICK))
+    rows = folds.contiguous_folds(_vectors(spark, sf, TREE_COLUMNS), [F.col("doc_id").asc()], FOLDS)
+    scores = validate.cross_validate(rows, FOLDS, _boosted(QUICK))
     return validate.auc_report(scores, ["fold"], hard=True)
 
 
@@ -638,14 +641,14 @@ def external_validation(spark, sf):
 def repeated_external(spark, sf):
     rows = pin(_vectors(spark, sf, keep=("doc_id", "site")))
     a, b = (rows.where(F.col("site") == s) for s in "AB")
-    scores = validate.repeated_external(a, b, "doc_id", range(1, 10), 0.2, _logistic)
+    scores = validate.repeated_external(a, b, "doc_id", range(1, 100), 0.2, _logistic)
     return validate.auc_report(scores, ["seed"])
 
 
 @query
 def pooled_cv(spark, sf):
-    rows = folds.contiguous_folds(_vectors(spark, sf, TREE_COLUMNS, weight=3.0), [F.col("doc_id").asc()], 5)
-    scores = validate.cross_validate(rows, 5, _boosted(QUICK_WEIGHTED))
+    rows = folds.contiguous_folds(_vectors(spark, sf, TREE_COLUMNS, weight=3.0), [F.col("doc_id").asc()], FOLDS)
+    scores = validate.cross_validate(rows, FOLDS, _boosted(QUICK_WEIGHTED))
     return validate.auc_report(scores, ["fold"])
 
 
