@@ -36,8 +36,9 @@ from wardframe.session import pin
 
 BLOCK_BYTES = 12 << 20
 BUCKET_BYTES = 16 << 20
-BATCH_CHARS = 1 << 19
-OUT_BYTES = 4 << 20
+BATCH_CHARS = 1 << 17
+#: Documents that are put together at once.
+CHUNK_DOCS = 256
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -176,7 +177,6 @@ def encode(
             )
 
     def placed(content: pa.Table, answers: pa.Table) -> pa.Table:
-        out_ids, out_text = [], []
         if content.num_rows != 1:
             raise RuntimeError("a block of documents did not come out alike when it was read again")
         order = np.argsort(answers.column("bucket").to_numpy()).tolist() if answers.num_rows else []
@@ -187,22 +187,28 @@ def encode(
         indices = unpacked(content.column("indices")[0].as_py()).astype(np.int64)
         if len(indices) and indices.max() >= len(sizes):
             raise RuntimeError("a block of documents did not come out alike when it was read again")
-        said = None
         if decode:
             pieces = _pieces(vocabulary)
             per_word = pa.LargeListArray.from_arrays(pa.array(np.append(starts, len(ids))), pieces.take(pa.array(ids.astype(np.int64))))
             said = pc.binary_join(per_word, pa.scalar(" ", pa.large_string()))
-        for a, b in zip(ends, ends[1:], strict=False):
-            own = indices[a:b]
-            out_ids.append(gathered(ids, starts, sizes, own).astype("<u4").tobytes())
-            if said is not None:
-                own = own[sizes[own] > 0]
-                whole = pa.LargeListArray.from_arrays(pa.array([0, len(own)], pa.int64()), said.take(pa.array(own)))
-                out_text.append(pc.binary_join(whole, pa.scalar(" ", pa.large_string()))[0].as_py())
+        out_ids, out_text = [], []
+        for a in range(0, len(ends) - 1, CHUNK_DOCS):
+            at = ends[a : a + CHUNK_DOCS + 1]
+            own = indices[at[0] : at[-1]]
+            tokens = np.concatenate([[0], np.cumsum(sizes[own])])[at - at[0]]
+            flat = gathered(ids, starts, sizes, own).astype("<u4")
+            out_ids.append(pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(at) - 1, [None, pa.py_buffer(4 * tokens), pa.py_buffer(flat)]))
+            if decode:
+                # words without a piece leave no blank
+                some = sizes[own] > 0
+                places = np.concatenate([[0], np.cumsum(some)])[at - at[0]]
+                lists = pa.LargeListArray.from_arrays(pa.array(places), said.take(pa.array(own[some])))
+                out_text.append(pc.binary_join(lists, pa.scalar(" ", pa.large_string())))
         row_ids = content.column("row_ids").combine_chunks().flatten()
-        columns = {"id": row_ids, "ids": pa.array(out_ids, pa.binary())}
+        columns = {"id": row_ids, "ids": pa.chunked_array(out_ids, pa.large_binary()).cast(pa.binary())}
         if decode:
-            columns["decoded"] = pa.array(out_text, pa.string())
+            columns["decoded"] = pa.chunked_array(out_text, pa.large_string()).cast(pa.string())
         return pa.table(columns)
 
     asked = sent.mapInArrow(wanted, "bucket long, block string, words string")
