@@ -39,7 +39,7 @@ from wardframe.llm.wordbpe import packed, unpacked
 from wardframe.session import pin
 
 WINDOW = 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 16 << 20
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 ASK = "bucket long, block string, high binary, low binary, more binary, docs binary, starts binary, places binary"
