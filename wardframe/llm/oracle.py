@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
+from wardframe.llm.licenses import NOTICES
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["op10_line_dedup"] = r"""
@@ -110,3 +112,50 @@ WITH w AS (
 SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """
+
+_TEMPLATES = ", ".join(
+    f"({i}, '{text}', '{label}', {i < 4})"
+    for i, (text, label) in enumerate([
+        ("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"),
+        *NOTICES.items(),
+    ])
+)
+
+ORACLE["op8_license_scan"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), t AS (
+  SELECT id, string_split(text, ' ') AS ws, label, phrase FROM (VALUES {_TEMPLATES}) AS x(id, text, label, phrase)
+), g AS (
+  SELECT id, label, phrase, n, p, ws[p + 1] AS one, ws[p + 2] AS two
+  FROM (SELECT *, len(ws) - 1 AS n, unnest(range(len(ws) - 1)) AS p FROM t)
+), b AS (
+  SELECT r, i, ws[i + 1] AS one, ws[i + 2] AS two FROM (SELECT r, ws, unnest(range(len(ws) - 1)) AS i FROM d)
+), v AS (
+  SELECT r, id, label, phrase, n, i - p AS diagonal, count(DISTINCT p) AS votes, min(i) AS first, max(i) AS last
+  FROM b JOIN g USING (one, two) GROUP BY ALL
+), s AS (
+  SELECT *, CASE WHEN NOT phrase AND diagonal - lag(diagonal) OVER (PARTITION BY r, id ORDER BY diagonal) <= 3
+            THEN 0 ELSE 1 END AS opens FROM v
+), u AS (
+  SELECT *, sum(opens) OVER (PARTITION BY r, id ORDER BY diagonal) AS run FROM s
+), spans AS (
+  SELECT r, label, phrase, n, min(diagonal) AS place, sum(votes) AS votes, max(last) - min(first) + 2 AS words
+  FROM u GROUP BY r, id, label, phrase, n, run
+), kept AS (
+  SELECT * FROM spans
+  WHERE CASE WHEN phrase THEN votes = n ELSE votes / n >= 0.8 AND words <= 2 * (n + 1) END
+), per AS (
+  SELECT r, count(*) FILTER (phrase) AS n_base, min(place) FILTER (phrase) AS first_word,
+         max(place) FILTER (phrase) AS last_word,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (phrase)), ',') AS base_labels,
+         array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(least(1, votes / n)) AS score
+  FROM kept GROUP BY r
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN per USING (r)
+"""
