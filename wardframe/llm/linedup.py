@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardframe.llm.common import id_or_least, plain_columns
+from wardframe.llm.common import NULL_ID, id_or_least, plain_columns
 from wardframe.session import pin
 
 KEY = ["hi", "lo"]
@@ -109,15 +109,17 @@ class SortedRuns:
 
 
 def _descending_batches(lines: DataFrame, batches: int) -> Iterator[DataFrame]:
-    """Equal id ranges, the largest ids first."""
-    low, high = lines.agg(F.min("id"), F.max("id")).first()
-    if low is None:
+    """Equal id ranges, the largest ids first; missing ids join the last one."""
+    known = F.when(F.col("id") != NULL_ID, F.col("id"))
+    low, high, rows = lines.agg(F.min(known), F.max(known), F.count("*")).first()
+    if not rows:
         return
-    step = max(1, -(-(high - low + 1) // batches))
-    top = high
-    while top >= low:
-        yield lines.where((F.col("id") <= top) & (F.col("id") > top - step))
-        top -= step
+    if low is None:
+        low = high = NULL_ID + 1
+    step = -(-(high - low + 1) // batches)
+    for top in range(high, low - 1, -step):
+        above = lines.where(F.col("id") <= top) if top < high else lines
+        yield above.where(F.col("id") > top - step) if top - step >= low else above
 
 
 def dedup_lines(
