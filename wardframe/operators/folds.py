@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardframe.operators.ordered import row_index
+from wardframe.operators.ordered import numbered_rows
 
 
 def shuffle_key(key: str, seed: int) -> list[Column]:
@@ -26,9 +26,8 @@ def fold_of(index: Column, n: int, k: int) -> Column:
 
 def contiguous_folds(df: DataFrame, order: Sequence[Column], k: int, name: str = "fold") -> DataFrame:
     """Folds as blocks of the given unique row order."""
-    indexed = row_index(df, order, "_idx")
-    # counted on the indexed rows, which are already written
-    return indexed.withColumn(name, fold_of(F.col("_idx"), indexed.count(), k)).drop("_idx")
+    indexed, n = numbered_rows(df, order, "_idx")
+    return indexed.withColumn(name, fold_of(F.col("_idx"), n, k)).drop("_idx")
 
 
 def shuffled_folds(df: DataFrame, key: str, k: int, seed: int, name: str = "fold") -> DataFrame:
@@ -42,6 +41,6 @@ def shuffled_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 def exact_holdout(df: DataFrame, key: str, share: float, seed: int, name: str = "is_test") -> DataFrame:
     """Exactly ceil(share * n) rows marked 1, chosen by the shuffled order."""
-    indexed = row_index(df, shuffle_key(key, seed), "_idx")
-    n_test = math.ceil(share * indexed.count())
+    indexed, n = numbered_rows(df, shuffle_key(key, seed), "_idx")
+    n_test = math.ceil(share * n)
     return indexed.withColumn(name, F.when(F.col("_idx") < n_test, 1).otherwise(0)).drop("_idx")

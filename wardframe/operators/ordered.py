@@ -52,7 +52,12 @@ def running_totals(
     ``order`` has to be unique within ``keys``; aggregate ties first.
     """
     keys = list(keys)
-    parts = sliced(df, [*keys, *order])
+    return _running(sliced(df, [*keys, *order]), df.columns, order, measures, keys)
+
+
+def _running(
+    parts: DataFrame, columns: Sequence[str], order: Sequence[Column], measures: Mapping[str, Column], keys: list[str]
+) -> DataFrame:
     group = [SLICE, *keys]
     inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = parts.select(
@@ -69,10 +74,16 @@ def running_totals(
     )
     joined = null_safe_join(local, offsets, group, "inner")
     return joined.select(
-        *df.columns, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in measures]
+        *columns, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in measures]
     )
 
 
+def numbered_rows(df: DataFrame, order: Sequence[Column], name: str) -> tuple[DataFrame, int]:
+    """:func:`row_index` and the number of rows, counted on the written slices."""
+    parts = sliced(df, list(order))
+    return _running(parts, df.columns, order, {name: F.lit(1).cast("long")}, []), parts.count()
+
+
 def row_index(df: DataFrame, order: Sequence[Column], name: str = "row_idx") -> DataFrame:
     """Zero-based position of every row in the global order."""
     return running_totals(df, order, {name: F.lit(1).cast("long")})

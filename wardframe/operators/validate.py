@@ -8,34 +8,39 @@ are then measured in one job, grouped by fold or repeat.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Sequence
-from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wardframe.operators import metrics
 from wardframe.operators.models import LABEL, scored
-from wardframe.operators.ordered import running_totals
-from wardframe.session import pin
+from wardframe.session import pin, shared_dir
 
 Estimator = Callable[[DataFrame], object]
 PARALLEL_FITS = 4
 
 
 def _fit_all(jobs: Sequence[tuple[dict, DataFrame, DataFrame]], estimator: Estimator, parallel: int) -> DataFrame:
-    """Fit on each training frame, score its test frame, union the scores."""
+    """Fit on each training frame and write the scores of its test frame; the
+    result is one scan of all scores, whatever the number of fits."""
+    spark = jobs[0][1].sparkSession
+    base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
-    def run(job):
-        tags, train, test = job
+    def run(numbered) -> tuple[str, StructType]:
+        i, (tags, train, test) = numbered
         out = scored(estimator(train).fit(train), test)
-        return out.select(*[F.lit(v).alias(k) for k, v in tags.items()], *out.columns)
+        out = out.select(*[F.lit(v).alias(k) for k, v in tags.items()], *out.columns)
+        out.write.parquet(f"{base}/{i}")
+        return f"{base}/{i}", out.schema
 
     with ThreadPool(min(parallel, len(jobs))) as pool:
-        parts = pool.map(inheritable_thread_target(jobs[0][1].sparkSession)(run), jobs)
-    return reduce(DataFrame.unionByName, parts)
+        written = pool.map(inheritable_thread_target(spark)(run), list(enumerate(jobs)))
+    return spark.read.schema(written[0][1]).parquet(*[path for path, _ in written])
 
 
 def cross_validate(
@@ -54,17 +59,36 @@ def _digest(key: str, seed: Column) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(":"), seed.cast("string")))
 
 
-def seed_cuts(rows: DataFrame, key: str, seeds: Sequence[int], positions: Sequence[int]) -> dict[int, list[tuple]]:
+#: Rows of one seed and digest prefix that are sorted together, about.
+PREFIX_ROWS = 100_000
+
+
+def seed_cuts(
+    rows: DataFrame, key: str, seeds: Sequence[int], positions: Sequence[int], n: int
+) -> dict[int, list[tuple]]:
     """Per seed, the (digest, key) at each position of that seed's shuffled
-    order.  One sort serves all seeds, and with the cuts at hand a row's side
-    of a split is a plain predicate: the rows are never copied per seed."""
+    order of the ``n`` rows.
+
+    Rows are counted per seed and digest prefix, which combines on the map
+    side, and only the prefixes that hold a position are sorted; nothing is
+    written.  With the cuts at hand a row's side of a split is a plain
+    predicate.
+    """
+    digits = max(2, math.ceil(math.log(max(1, n / PREFIX_ROWS), 16)))
     tagged = rows.select(key, F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])).alias("seed"))
-    order = [F.col("_digest").asc(), F.col(key).asc()]
-    indexed = running_totals(
-        tagged.withColumn("_digest", _digest(key, F.col("seed"))), order, {"_idx": F.lit(1).cast("long")}, ["seed"]
-    )
+    tagged = tagged.withColumn("_digest", _digest(key, F.col("seed")))
+    tagged = tagged.withColumn("_prefix", F.substring("_digest", 1, digits))
+    per_prefix = tagged.groupBy("seed", "_prefix").agg(F.count("*").alias("_n"))
+    up_to = F.sum("_n").over(Window.partitionBy("seed").orderBy("_prefix"))
+    at = F.explode(F.array(*[F.lit(p).cast("long") for p in positions]))
+    held = per_prefix.select("seed", "_prefix", "_n", up_to.alias("_end")).select("*", at.alias("_at"))
+    # a row per seed and position
+    held = F.broadcast(held.where("_at < _end AND _at >= _end - _n").selectExpr("seed", "_prefix", "_at", "_at - (_end - _n) AS _row"))
+    inside = F.row_number().over(Window.partitionBy("seed", "_prefix").orderBy("_digest", key)) - 1
+    wanted = tagged.join(held.select("seed", "_prefix").distinct(), ["seed", "_prefix"], "left_semi")
+    found = wanted.withColumn("_i", inside).join(held, ["seed", "_prefix"]).where("_i = _row")
     cuts: dict[int, list[tuple]] = {s: [] for s in seeds}
-    for r in indexed.where(F.col("_idx").isin(*positions)).orderBy("seed", "_idx").collect():
+    for r in found.orderBy("seed", "_at").collect():
         cuts[r["seed"]].append((r["_digest"], r[key]))
     return cuts
 
@@ -76,16 +100,33 @@ def _before(key: str, seed: int, cut: tuple) -> Column:
 
 def holdout_filters(rows: DataFrame, key: str, seeds: Sequence[int], share: float) -> dict[int, Column]:
     """Per seed, a predicate that holds for exactly ceil(share * n) rows."""
-    n_test = math.ceil(share * rows.count())
-    cuts = seed_cuts(rows, key, seeds, [n_test])
+    n = rows.count()
+    cuts = seed_cuts(rows, key, seeds, [math.ceil(share * n)], n)
     return {s: _before(key, s, c[0]) if c else F.lit(True) for s, c in cuts.items()}
 
 
+def holdout_rows(rows: DataFrame, key: str, seeds: Sequence[int], share: float) -> DataFrame:
+    """The test rows of every seed's holdout, with a column ``seed``."""
+    n = rows.count()
+    cuts = seed_cuts(rows, key, seeds, [math.ceil(share * n)], n)
+    # a literal per seed; without a cut all rows are test rows
+    ends = [
+        F.struct(F.lit(s).cast("long").alias("seed"), F.lit(c[0][0] if c else None).cast("string").alias("digest"),
+                 F.lit(c[0][1] if c else None).cast(rows.schema[key].dataType).alias("key"))
+        for s, c in cuts.items()
+    ]
+    tagged = rows.select("*", F.explode(F.array(*ends)).alias("_cut"))
+    digest, cut = _digest(key, F.col("_cut.seed")), F.col("_cut.digest")
+    before = cut.isNull() | (digest < cut) | ((digest == cut) & (F.col(key) < F.col("_cut.key")))
+    return tagged.where(before).withColumn("seed", F.col("_cut.seed")).drop("_cut")
+
+
 def fold_columns(rows: DataFrame, key: str, seeds: Sequence[int], k: int) -> dict[int, Column]:
     """Per seed, the fold of a row in shuffled k-fold validation."""
-    size, extra = divmod(rows.count(), k)
+    n = rows.count()
+    size, extra = divmod(n, k)
     starts = [f * size + min(f, extra) for f in range(1, k)]
-    cuts = seed_cuts(rows, key, seeds, starts)
+    cuts = seed_cuts(rows, key, seeds, starts, n)
     return {
         s: sum((F.when(_before(key, s, c), 0).otherwise(1) for c in found), F.lit(0)) for s, found in cuts.items()
     }
@@ -127,9 +168,7 @@ def repeated_external(
     """Scores of a random share of the other site per seed.  The training
     rows are the same each time, so the model is fitted once."""
     scores = pin(external_validation(train, test, estimator, [key]))
-    tests = holdout_filters(scores, key, seeds, share)
-    tagged = [F.when(chosen, F.lit(s)) for s, chosen in tests.items()]
-    return scores.select("*", F.explode(F.array(*tagged)).alias("seed")).where(F.col("seed").isNotNull())
+    return holdout_rows(scores, key, seeds, share)
 
 
 def auc_report(scores: DataFrame, by: Sequence[str], hard: bool = False) -> DataFrame:

@@ -65,10 +65,8 @@ def l1_flag_repeated_external(spark, sf):
 def holdout_sizes(spark, sf):
     """Rows and positives of the test part of every repeated holdout."""
     rows = pin(_rows(spark, sf).select("doc_id", LABEL))
-    tests = validate.holdout_filters(rows, "doc_id", SEEDS, 0.3)
-    picked = F.explode(F.array(*[F.when(chosen, F.lit(s)) for s, chosen in tests.items()])).alias("seed")
-    tagged = rows.select(LABEL, picked).where("seed IS NOT NULL")
-    return tagged.groupBy(F.col("seed").cast("long").alias("seed")).agg(
+    tagged = validate.holdout_rows(rows, "doc_id", SEEDS, 0.3)
+    return tagged.groupBy("seed").agg(
         F.count("*").alias("n"), F.sum(F.col(LABEL).cast("long")).alias("positive")
     )
 
