@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from wardframe.functions import codes
 from wardframe.plans.standins import (
-    CHART_ITEMS, COMORBIDITY_DIVISORS, DOC_FEATURES, DOC_SQL, EVENT_SQL, LAB_ITEMS, ORDER_SQL,
+    CHART_ITEMS, COMORBIDITY_DIVISORS, DOC_FEATURES, DOC_SQL, EVENT_SQL, LAB_ITEMS, ORDER_SQL, RENAL_EVENTS, RRT_TEXTS,
 )
 
 ORACLE: dict[str, str] = {}
@@ -740,3 +740,22 @@ _put("report_by_position", """SELECT CAST(0 AS BIGINT) AS row_idx, 'n' AS featur
   FROM model""" for i, c in ((2, "n_words"), (4, "digit_share"))), DOC_SQL)
 _put("si_units", """SELECT l_orderkey, l_linenumber, round(l_tax * 88.42, 6) AS creatinine, round(l_discount * 17.1, 6) AS bilirubin,
   round(l_quantity * 0.3571, 6) AS urea, round((l_quantity - 32) / 1.8, 6) AS temperature FROM lineitem""")
+
+_TEXTS = ", ".join(f"'{t}'" for t in RRT_TEXTS)
+RENAL_LINES_SQL = f"""
+lines AS (
+  SELECT l_orderkey AS subject_id, CAST(l_linenumber AS BIGINT) AS hadm_id, l_orderkey * 10 + l_linenumber AS icustay_id,
+         l_partkey, l_quantity - 5 AS amount, l_linenumber, (l_suppkey + l_linenumber) % 10 AS place,
+         CASE WHEN l_linenumber % 4 = 3 THEN 'metavision' ELSE 'carevue' END AS dbsource,
+         CASE WHEN l_discount >= 0.08 THEN 1 WHEN l_discount >= 0.03 THEN 0 END AS error,
+         CASE WHEN l_linenumber < 7 THEN [{_TEXTS}][(l_orderkey // 4 + l_linenumber) % {len(RRT_TEXTS)} + 1] END AS text
+  FROM lineitem
+),
+icustays AS (SELECT subject_id, hadm_id, icustay_id, dbsource FROM lines),
+""" + ",\n".join(
+    f"{name} AS (SELECT icustay_id, {_item(items, 'l_partkey')} AS itemid, amount AS valuenum, amount, error, "
+    + ("text AS value" if name == "chartevents" else "amount AS value")
+    + f" FROM lines WHERE place = {i}" + (" OR place > 5)" if not i else ")")
+    for i, (name, items) in enumerate(RENAL_EVENTS.items())
+)
+_put("renal_replacement_codes", "SELECT subject_id, hadm_id, icustay_id, rrt FROM renal", RENAL_LINES_SQL, RENAL_SQL)

@@ -480,3 +480,42 @@ model AS (
   FROM docs JOIN labels ON docs.doc_id = labels.doc_id
 )
 """
+
+
+# --- one stay and one event per line, so that every renal code counts alone ---
+
+RRT_OLD_ITEMS = tuple(i for items, _ in codes.RRT_TEXT_RULES for i in items)
+RRT_TEXTS = tuple(text for _, texts in codes.RRT_TEXT_RULES for text in texts or ()) + ("Other",)
+RENAL_EVENTS = {
+    "chartevents": (*RRT_OLD_ITEMS, *codes.RRT_CHART_NEW, 1),
+    "inputevents_cv": (*codes.RRT_INTAKE_OLD, 1),
+    "outputevents": (*codes.RRT_OUTPUT_OLD, 1),
+    "inputevents_mv": (*codes.RRT_INTAKE_NEW, 1),
+    "datetimeevents": (*codes.RRT_DATES_NEW, 1),
+    "procedureevents_mv": (*codes.RRT_PROCEDURES_NEW, 1),
+}
+
+
+def renal_lines(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Events over the whole renal code lists, each of a stay of its own; half
+    of them are charts."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS subject_id", "CAST(l_linenumber AS LONG) AS hadm_id",
+        "l_orderkey * 10 + l_linenumber AS icustay_id", "l_partkey", "l_suppkey", "l_quantity", "l_discount",
+        "l_linenumber", "(l_suppkey + l_linenumber) % 10 AS place",
+        "CASE WHEN l_linenumber % 4 = 3 THEN 'metavision' ELSE 'carevue' END AS dbsource",
+    )
+    tables = {"icustays": lines.select("subject_id", "hadm_id", "icustay_id", "dbsource")}
+    for i, (name, items) in enumerate(RENAL_EVENTS.items()):
+        texts = ", ".join(f"'{t}'" for t in RRT_TEXTS)
+        value = f"element_at(array({texts}), CAST(mix % {len(RRT_TEXTS)} AS INT) + 1)"
+        own = lines.where(f"place = {i}" if i else "place = 0 OR place > 5").selectExpr(
+            "*", "subject_id DIV 4 + l_linenumber AS mix"
+        )
+        tables[name] = own.selectExpr(
+            "icustay_id", f"{_picked(items, 'l_partkey')} AS itemid",
+            "l_quantity - 5 AS valuenum", "l_quantity - 5 AS amount",
+            f"CASE WHEN l_linenumber < 7 THEN {value} END AS value" if name == "chartevents" else "l_quantity - 5 AS value",
+            "CASE WHEN l_discount >= 0.08 THEN 1 WHEN l_discount >= 0.03 THEN 0 END AS error",
+        )
+    return tables

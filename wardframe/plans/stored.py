@@ -1,4 +1,4 @@
-"""Queries through files, views and reports: tables written and read back."""
+"""Queries through files, views, reports and whole code lists."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wardframe.functions.codes import UNITS_TO_SI
 from wardframe.operators import prep, tableone
+from wardframe.plans import clinical
 from wardframe.plans import standins as st
 from wardframe.plans.queries import query, rounded
 from wardframe.session import shared_dir
@@ -78,3 +79,9 @@ def si_units(spark, sf):
         for n, c in (("creatinine", "l_tax"), ("bilirubin", "l_discount"), ("urea", "l_quantity"), ("temperature", "l_quantity"))
     ])
     return rounded(prep.convert_units(values, UNITS_TO_SI), *UNITS_TO_SI)
+
+
+@query
+def renal_replacement_codes(spark, sf):
+    """Every renal code of every source, each on a stay of its own."""
+    return clinical.renal_replacement(st.renal_lines(spark, sf))
