@@ -759,3 +759,23 @@ icustays AS (SELECT subject_id, hadm_id, icustay_id, dbsource FROM lines),
     for i, (name, items) in enumerate(RENAL_EVENTS.items())
 )
 _put("renal_replacement_codes", "SELECT subject_id, hadm_id, icustay_id, rrt FROM renal", RENAL_LINES_SQL, RENAL_SQL)
+
+
+def _level_rows(place: int, column: str) -> str:
+    """Heading and levels of a categorical variable of the report."""
+    share = "format('{{}} ({{:.2f}})', count(*) FILTER (label = {0}), count(*) FILTER (label = {0}) * 100.0::DOUBLE / any_value(n{0}))"
+    texts = ", ".join(f"CASE WHEN count(*) FILTER (label = {v}) > 0 THEN {share.format(v)} END" for v in (0, 1))
+    return f"""
+  UNION ALL SELECT {place}, '', '{column} (n (%))', '', '', CAST(0 AS BIGINT) FROM model HAVING count(*) > 0
+  UNION ALL SELECT {place}, CAST({column} AS VARCHAR), '{column} (n (%))', {texts}, NULL
+  FROM (SELECT *, count(*) FILTER (label = 0) OVER () AS n0, count(*) FILTER (label = 1) OVER () AS n1 FROM model)
+  GROUP BY {column}"""
+
+
+_put("tableone_rows", """SELECT row_number() OVER (ORDER BY place, level) - 1 AS row_idx, features, level, group_0, group_1,
+  missing FROM (
+  SELECT -1 AS place, '' AS level, 'n' AS features, CAST(count(*) FILTER (label = 0) AS VARCHAR) AS group_0,
+    CAST(count(*) FILTER (label = 1) AS VARCHAR) AS group_1, CAST(NULL AS BIGINT) AS missing FROM model""" + "".join(f"""
+  UNION ALL SELECT {i}, '', '{c} (median [IQR])', {_median_text(c, 0)}, {_median_text(c, 1)},
+    count(*) FILTER ({c} IS NULL) FROM model""" for i, c in enumerate(DOC_FEATURES))
+    + _level_rows(len(DOC_FEATURES), "toxic") + _level_rows(len(DOC_FEATURES) + 1, "site") + ")", DOC_SQL)

@@ -71,6 +71,12 @@ def report_by_position(spark, sf):
     return tableone.rows_at(_report(spark, sf), [0, 2, 4]).select("row_idx", "features", "missing", "group_0", "group_1")
 
 
+@query
+def tableone_rows(spark, sf):
+    """The whole report but its tests, which kruskal_h and chi2_stat cover."""
+    return _report(spark, sf).drop("pval", "test")
+
+
 @query
 def si_units(spark, sf):
     """Creatinine, bilirubin, urea and temperature in SI units."""
