@@ -1,12 +1,11 @@
 """Token counts, BPE, SimHash, substring and line dedup against plain versions."""
 
 import hashlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
-import xxhash
-from helpers import EDGE_TEXTS, document_frame, words
+from helpers import EDGE_TEXTS, classes, document_frame, fingerprint, kept_words, plain_lines, words
 from tokenizers import Tokenizer
 
 from wardframe.llm.linedup import SortedRuns, dedup_lines, line_keys
@@ -22,10 +21,6 @@ def docs(spark):
     return document_frame(spark, EDGE_TEXTS).repartition(3).cache()
 
 
-def lower_az(text):
-    return (text or "").translate({i: i + 32 for i in range(65, 91)})
-
-
 def test_token_counts(docs):
     plain = Tokenizer.from_file(vocabulary(COUNT_VOCABULARY))
     got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts(docs, vocabulary(COUNT_VOCABULARY)).collect()}
@@ -50,27 +45,6 @@ def test_encode_and_decode(docs):
         assert got[i] == (np.array(ids, "<u4").tobytes(), plain.decode(ids, skip_special_tokens=False))
 
 
-def fingerprint(text, n=3):
-    own = [w.encode() for w in words(lower_az(text))]
-    shingles = [b" ".join(own[i : i + n]) for i in range(max(1, len(own) - n + 1))] if own else []
-    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def classes(values, linked):
-    parent = {v: v for v in values}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in linked:
-        x, y = sorted((find(a), find(b)))
-        parent[y] = x
-    return {v: find(v) for v in values}
-
-
 def test_simhash_groups(docs):
     found = {r.doc_id: (r.fingerprint, r.component_id) for r in near_duplicates(docs).collect()}
     own = {i: fingerprint(t) for i, t in enumerate(EDGE_TEXTS)}
@@ -99,17 +73,6 @@ def test_crowded_variants_join_the_same_groups(spark, distance, crowd):
     assert got == {k: v for k, v in classes(values, near).items() if any(k in pair for pair in near)}
 
 
-def kept_words(texts, window):
-    first, gone = {}, defaultdict(set)
-    for i, text in enumerate(texts):
-        own = words(text)
-        for p in range(len(own) - window + 1):
-            if tuple(own[p : p + window]) in first:
-                gone[i] |= set(range(p, p + window))
-            first.setdefault(tuple(own[p : p + window]), (i, p))
-    return {i: [w for p, w in enumerate(words(t)) if p not in gone[i]] for i, t in enumerate(texts)}
-
-
 @pytest.mark.parametrize("window", [7, 20, 40, 80])
 def test_substrings(spark, window):
     texts = [" ".join(words(t)[:2000]) if t else t for t in EDGE_TEXTS]
@@ -125,20 +88,6 @@ def test_substrings_of_rows_that_share_an_id(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 30), (1, 30)]
 
 
-def plain_lines(texts, ids):
-    keys = [[lower_az(line).strip(" \t\n\r\x0b\x0c") for line in (t or "").split("\n")] for t in texts]
-    held = defaultdict(list)
-    for i, own in zip(ids, keys, strict=True):
-        for k in set(own):
-            held[k].append(i)
-    out = []
-    for i, text, own in zip(ids, texts, keys, strict=True):
-        stays = [line for line, k in zip((text or "").split("\n"), own, strict=True)
-                 if len(k) < 20 or len(held[k]) < 3 or i == max(held[k])]
-        out.append((i, len(own), len(own) - len(stays), "\n".join(stays)))
-    return out
-
-
 @pytest.mark.parametrize("batches", [1, 4, 9])
 def test_lines(spark, docs, batches):
     got = dedup_lines(docs, batches=batches)
