@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,50 @@ def plain_columns(df: DataFrame, made: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in made]
 
 
+def _release() -> None:
+    """Give memory that is no longer used back to the system.  Idle Python
+    workers stay with their executor, and so would what they have cached."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        # another C library: it keeps its cache
+        return
+
+
+def tidy(function: Callable) -> Callable:
+    """A function for mapInArrow that releases its memory after its last batch."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        _release()
+
+    return rows
+
+
+def tidy_group(function: Callable) -> Callable:
+    """A function for applyInArrow that releases its memory after each group."""
+    if len(inspect.signature(function).parameters) == 1:
+
+        def one(rows: pa.Table) -> pa.Table:
+            out = function(rows)
+            _release()
+            return out
+
+        return one
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = function(left, right)
+        _release()
+        return out
+
+    return two
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of ``batch`` with about ``most`` bytes of text each; a
     longer text is a slice of its own."""

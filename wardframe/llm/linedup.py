@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardframe.llm.common import NULL_ID, id_or_least, plain_columns
+from wardframe.llm.common import NULL_ID, id_or_least, plain_columns, tidy
 from wardframe.session import pin
 
 KEY = ["hi", "lo"]
@@ -63,7 +63,7 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
             )
 
     return docs.select(id_or_least(F.col(id_col)).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        keys, "id long, hi long, lo long"
+        tidy(keys), "id long, hi long, lo long"
     )
 
 
@@ -187,7 +187,7 @@ def _without(keyed: DataFrame, docs: DataFrame, text_col: str, min_chars: int) -
     rest = F.struct(F.lit(0).alias("c"), *[F.col("row")[c].alias(f"c{i}") for i, c in enumerate(others)])
     sent = keyed.select(F.col("row")[text_col].alias("text"), "drop", rest.alias("rest"))
     kind = sent.schema["rest"].dataType.simpleString()
-    done = sent.mapInArrow(kept, f"rest {kind}, kept string, n_lines long, n_dropped long")
+    done = sent.mapInArrow(tidy(kept), f"rest {kind}, kept string, n_lines long, n_dropped long")
     back: list[Column] = [
         F.col("kept").alias(c) if c == text_col else F.col("rest")[f"c{others.index(c)}"].alias(c)
         for c in docs.columns if c == text_col or c in others

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardframe.llm.common import tidy_group
 from wardframe.llm.wordbpe import encode
 from wardframe.session import pin
 
@@ -85,7 +86,7 @@ def _packed(items: DataFrame, groups: int, capacity: int, round_no: int) -> Data
         })
 
     dealt = items.select("item", "length", F.pmod(F.xxhash64("item", F.lit(round_no)), F.lit(groups)).alias("group"))
-    return dealt.groupBy("group").applyInArrow(fill, "item long, bin long, offset long, fill long")
+    return dealt.groupBy("group").applyInArrow(tidy_group(fill), "item long, bin long, offset long, fill long")
 
 
 def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_pieces: int = GROUP_PIECES) -> DataFrame:

@@ -33,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardframe.llm.common import id_back, id_or_least, raw, slices, words_of
+from wardframe.llm.common import id_back, id_or_least, raw, slices, tidy, words_of
 from wardframe.llm.components import components
 from wardframe.session import pin
 
 BITS = 64
 SEED = 42
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Fingerprints of a variant that are compared pair by pair.
 CROWD = 64
 LANES = np.uint64(0x0101010101010101)
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["id", "fp"])
 
     sent = docs.select(id_or_least(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
-    return sent.mapInArrow(made, "id long, fp long")
+    return sent.mapInArrow(tidy(made), "id long, fp long")
 
 
 def variants(fps: DataFrame, distance: int) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardframe.llm.common import id_or_least, mixed, plain_columns, raw, slices, words_of
+from wardframe.llm.common import id_or_least, mixed, plain_columns, raw, slices, tidy, tidy_group, words_of
 from wardframe.llm.wordbpe import packed, unpacked
 from wardframe.session import pin
 
@@ -310,19 +310,19 @@ def remove_repeats(
         })
 
     def moved(rows: DataFrame, rest: str = "") -> DataFrame:
-        return rows.mapInArrow(sent, "block string, ord long, id long, text binary" + rest)
+        return rows.mapInArrow(tidy(sent), "block string, ord long, id long, text binary" + rest)
 
-    asks = plain.mapInArrow(first_ask, ASK)
+    asks = plain.mapInArrow(tidy(first_ask), ASK)
     for level in range(1, len(lengths)):
-        answers = asks.groupBy("bucket").applyInArrow(_answers(False), "block string, places binary")
-        asks = moved(plain).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(next_ask(level), ASK)
-    answers = asks.groupBy("bucket").applyInArrow(_answers(True), "block string, places binary")
+        answers = asks.groupBy("bucket").applyInArrow(tidy_group(_answers(False)), "block string, places binary")
+        asks = moved(plain).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy_group(next_ask(level)), ASK)
+    answers = asks.groupBy("bucket").applyInArrow(tidy_group(_answers(True)), "block string, places binary")
     others = [c for c in plain_columns(docs, ["n_words", "n_removed", "kept_text"]) if c != text_col]
     row = F.struct(F.lit(0).alias("c"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
     rest = docs.select(id_or_least(F.col(id_col)).alias("id"), F.col(text_col).alias("text"), row.alias("rest"))
     kind = rest.schema["rest"].dataType.simpleString()
     made = ("text string, " if keep_text else "") + f"rest {kind}, n_words long, n_removed long, kept_text string"
-    done = moved(rest, f", rest {kind}").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, made)
+    done = moved(rest, f", rest {kind}").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy_group(finish), made)
     back = [
         F.col("text").alias(c) if c == text_col else F.col("rest")[f"c{others.index(c)}"].alias(c)
         for c in docs.columns if c in others or (keep_text and c == text_col)

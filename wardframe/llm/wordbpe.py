@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardframe.llm.common import raw, slices, words_of
+from wardframe.llm.common import raw, slices, tidy, tidy_group, words_of
 from wardframe.session import pin
 
 BLOCK_BYTES = 12 << 20
@@ -211,11 +211,11 @@ def encode(
             columns["decoded"] = pa.chunked_array(out_text, pa.large_string()).cast(pa.string())
         return pa.table(columns)
 
-    asked = sent.mapInArrow(wanted, "bucket long, block string, words string")
-    answers = asked.groupBy("bucket").applyInArrow(answered, "block string, bucket long, sizes binary, ids binary")
-    kept = sent.mapInArrow(content, f"block string, row_ids array<{kind}>, ends binary, indices binary")
+    asked = sent.mapInArrow(tidy(wanted), "bucket long, block string, words string")
+    answers = asked.groupBy("bucket").applyInArrow(tidy_group(answered), "block string, bucket long, sizes binary, ids binary")
+    kept = sent.mapInArrow(tidy(content), f"block string, row_ids array<{kind}>, ends binary, indices binary")
     out = f"id {kind}, ids binary" + (", decoded string" if decode else "")
-    done = kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(placed, out)
+    done = kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy_group(placed), out)
     return done.withColumnRenamed("id", id_col)
 
 
