@@ -13,12 +13,22 @@ from pyspark.sql import functions as F
 
 #: A null id sorts before every other id.
 NULL_ID = -(2**63)
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+TEXT_BATCH = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts are limited by bytes on their way to the
+    workers; a smaller limit of the session stays."""
+    now = spark.conf.get(BATCH_BYTES)
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= TEXT_BATCH:
+        spark.conf.set(BATCH_BYTES, str(TEXT_BATCH))
+
+
 def id_or_least(column: Column) -> Column:
     return F.coalesce(column.cast("long"), F.lit(NULL_ID))
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardframe.llm.common import NULL_ID, id_or_least, plain_columns, tidy
+from wardframe.llm.common import NULL_ID, bounded_batches, id_or_least, plain_columns, tidy
 from wardframe.session import pin
 
 KEY = ["hi", "lo"]
@@ -136,6 +136,7 @@ def dedup_lines(
     A key of ``min_chars`` code points found in ``min_docs`` documents keeps
     its lines only in the document with the largest id.
     """
+    bounded_batches(docs.sparkSession)
     lines = pin(line_keys(docs, id_col, text_col, min_chars))
     runs = SortedRuns(docs.sparkSession, min_docs)
     for batch in _descending_batches(lines, batches):

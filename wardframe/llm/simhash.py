@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardframe.llm.common import id_back, id_or_least, raw, slices, tidy, words_of
+from wardframe.llm.common import bounded_batches, id_back, id_or_least, raw, slices, tidy, words_of
 from wardframe.llm.components import components
 from wardframe.session import pin
 
@@ -100,6 +100,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
                 fp = text_fingerprints(part.column(1), shingle).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     sent = docs.select(id_or_least(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
     return sent.mapInArrow(tidy(made), "id long, fp long")
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardframe.llm.common import id_or_least, mixed, plain_columns, raw, slices, tidy, tidy_group, words_of
+from wardframe.llm.common import bounded_batches, id_or_least, mixed, plain_columns, raw, slices, tidy, tidy_group, words_of
 from wardframe.llm.wordbpe import packed, unpacked
 from wardframe.session import pin
 
@@ -239,6 +239,7 @@ def remove_repeats(
     joined by one space."""
     if window < 2:
         raise ValueError("a window has two words at least")
+    bounded_batches(docs.sparkSession)
     if not stored:
         docs = pin(docs)
     lengths = [window]

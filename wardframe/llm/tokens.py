@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardframe.llm.common import raw, slices, tidy
+from wardframe.llm.common import bounded_batches, raw, slices, tidy
 
 SLICE_BYTES = 16 << 20
 BATCH_BYTES = 1 << 19
@@ -89,6 +89,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                     names=["id", "n_bytes", "n_tokens"],
                 )
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return sent.mapInArrow(tidy(counts), f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)

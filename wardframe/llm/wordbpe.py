@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardframe.llm.common import raw, slices, tidy, tidy_group, words_of
+from wardframe.llm.common import bounded_batches, raw, slices, tidy, tidy_group, words_of
 from wardframe.session import pin
 
 BLOCK_BYTES = 12 << 20
@@ -136,6 +136,7 @@ def encode(
     """(id_col, ids, decoded): the ids of every whole text as little-endian
     unsigned 32-bit numbers, and the text that they decode to."""
     sent = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    bounded_batches(docs.sparkSession)
     if not stored:
         sent = pin(sent)
     total = sent.agg(F.sum(F.octet_length("text"))).first()[0] or 0
