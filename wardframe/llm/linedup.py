@@ -86,7 +86,9 @@ class SortedRuns:
 
     def add(self, lines: DataFrame) -> None:
         """Store a batch as a run of its own; compact full levels."""
-        own = self.unsettled(lines).groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("id").alias("last_id"))
+        # counted first, so a very frequent key reaches the join as one row a task
+        own = lines.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("id").alias("last_id"))
+        own = self.unsettled(own)
         level, run = 0, pin(own.sortWithinPartitions(*KEY))
         while True:
             if level == len(self.levels):
