@@ -10,6 +10,20 @@ from wardframe.plans.standins import (
 
 ORACLE: dict[str, str] = {}
 
+# Fixed values, stated here again so that a wrong code in the library shows:
+# vital signs, liver enzymes and diagnosis types.
+VITALS = {
+    "temperature": (223761, 678), "respiration": (220210, 618, 3603), "heart_rate": (220045, 211),
+    "arterial_bp_systolic": (220179, 220050, 51, 3313), "arterial_bp_diastolic": (220180, 220051, 8502, 8368),
+    "arterial_bp_mean": (220181, 220052, 52, 3312),
+}
+ENZYMES = {"ast": (769, 220587), "alt": (770, 220644)}
+MALIGNANCIES = {
+    "lymphoma": (("200", "201", "202"), ()), "myeloma": (("203",), ()),
+    "leukemia": (("204", "205", "206", "207", "208"), ()),
+    "myelodysplastic_syndrome": ((), ("23872", "23873", "23874", "23875")),
+}
+
 
 def _put(name: str, body: str, *ctes: str) -> None:
     ORACLE[name] = ("WITH " + ",".join(ctes) + "\n" if ctes else "") + body
@@ -523,7 +537,7 @@ ward_labs_long AS (
   WHERE r = 1 GROUP BY r, subject_id, hadm_id, icustay_id, mort_icu, mort_hosp, mort_30_admission, charttime
 ),
 ward_charts AS (
-  SELECT icustay_id, {_chart_pivot(codes.VITAL_CODES)}, {_chart_pivot(codes.LIVER_CODES)}
+  SELECT icustay_id, {_chart_pivot(VITALS)}, {_chart_pivot(ENZYMES)}
   FROM (SELECT c.*, dense_rank() OVER (PARTITION BY c.icustay_id, c.itemid
           ORDER BY abs(date_diff('microsecond', i.intime, c.charttime)) ASC NULLS LAST) AS r
         FROM chartevents c JOIN icustays i ON c.icustay_id = i.icustay_id)
@@ -538,7 +552,7 @@ ward_typed AS (
              "WHEN " + " OR ".join(
                  ([f"substring(icd9_code, 1, 3) IN {_in(p)}"] if p else [])
                  + ([f"icd9_code IN {_in(w)}"] if w else [])) + f" THEN '{n}'"
-             for n, (p, w) in codes.MALIGNANCY_TYPES.items())} END AS t
+             for n, (p, w) in MALIGNANCIES.items())} END AS t
   FROM diagnoses_icd
 ),
 ward_kinds AS (
