@@ -127,3 +127,15 @@ def test_digest_columns(spark, tmp_path):
     assert {r.doc_id: r.kept_sha256 for r in rows} == want
     counts = Counter(type(r.n_lines) for r in rows)
     assert counts == {int: len(EDGE_TEXTS)}
+
+
+def test_blocks_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    from wardframe.llm.common import row_blocks
+
+    texts = ["x" * n for n in (5, 3, 0, 9, 20, 1, 1, 1, 8, 2)]
+    for size in (1, 2, 3, 10):
+        batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + size])], names=["t"]) for i in range(0, 10, size)]
+        got = [[len(t) for t in rows.column(0).to_pylist()] for rows in row_blocks(iter(batches), 0, 10)]
+        assert got == [[5, 3, 0], [9], [20], [1, 1, 1], [8, 2]]

@@ -100,6 +100,27 @@ def slices(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBat
         yield batch.slice(begin)
 
 
+def row_blocks(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with at most ``most`` bytes of text together; a longer
+    text is a block of its own.  Only the rows and their order decide where a
+    block ends, not the batches they come in."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        begin = 0
+        for i, own in enumerate(sizes):
+            if size + own > most and (held or i > begin):
+                held.append(batch.slice(begin, i - begin))
+                yield pa.concat_batches(held)
+                held, size, begin = [], 0, i
+            size += own
+        if begin < batch.num_rows:
+            held.append(batch.slice(begin))
+    if held:
+        yield pa.concat_batches(held)
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words ``[^\\x20\\x09-\\x0D]+`` of the texts in one array, and the
     offsets at which each text's words begin (one more than texts).  A null

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardframe.llm.common import bounded_batches, id_or_least, mixed, plain_columns, raw, slices, tidy, tidy_group, words_of
+from wardframe.llm.common import bounded_batches, id_or_least, mixed, plain_columns, raw, row_blocks, tidy, tidy_group, words_of
 from wardframe.llm.wordbpe import packed, unpacked
 from wardframe.session import pin
 
@@ -182,25 +182,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordB
     """(key, rows) of blocks; the first two columns are id and text."""
     from pyspark import TaskContext
 
-    part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-    def made() -> tuple[str, pa.RecordBatch]:
-        rows = held[0] if len(held) == 1 else pa.concat_batches(held)
+    part = TaskContext.get().partitionId()
+    for n, rows in enumerate(row_blocks(batches, 1, BLOCK_BYTES)):
         data, at = raw(rows.column(1).fill_null(""))
         digest = xxhash.xxh64(data[at[0] : at[-1]])
         digest.update(at - at[0])
-        return f"{part}:{n}:{digest.hexdigest()}", rows
-
-    for batch in batches:
-        for rows in slices(batch, 1, BLOCK_BYTES):
-            own = pc.sum(pc.binary_length(rows.column(1))).as_py() or 0
-            if held and size + own > BLOCK_BYTES:
-                yield made()
-                held, size, n = [], 0, n + 1
-            held.append(rows)
-            size += own
-    if held:
-        yield made()
+        yield f"{part}:{n}:{digest.hexdigest()}", rows
 
 
 def _compressed(texts: pa.Array) -> pa.Array:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardframe.llm.common import bounded_batches, raw, slices, tidy, tidy_group, words_of
+from wardframe.llm.common import bounded_batches, raw, row_blocks, tidy, tidy_group, words_of
 from wardframe.session import pin
 
 BLOCK_BYTES = 12 << 20
@@ -85,22 +85,9 @@ def blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[Block]:
     """Blocks of (id, text) rows, keyed by the place in the scan."""
     from pyspark import TaskContext
 
-    part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-    def made() -> Block:
-        ids, texts = (pa.concat_arrays([rows.column(i) for rows in held]) for i in (0, 1))
-        return Block(f"{part}:{n}", ids, texts, buckets)
-
-    for batch in batches:
-        for rows in slices(batch, 1, BLOCK_BYTES):
-            own = pc.sum(pc.binary_length(rows.column(1))).as_py() or 0
-            if held and size + own > BLOCK_BYTES:
-                yield made()
-                held, size, n = [], 0, n + 1
-            held.append(rows)
-            size += own
-    if held:
-        yield made()
+    part = TaskContext.get().partitionId()
+    for n, rows in enumerate(row_blocks(batches, 1, BLOCK_BYTES)):
+        yield Block(f"{part}:{n}", rows.column(0), rows.column(1), buckets)
 
 
 def _tokenizer(vocabulary: str):
