@@ -196,6 +196,37 @@ def test_nn_descent(spark, monkeypatch):
     assert nndescent.near_vectors(frame.where("vec_id = 3")).collect()[0].n_links == 0
 
 
+def test_tight_groups_beside_a_huge_one_are_linked(spark, monkeypatch):
+    # the audit adds the links it finds, so it has to be small beside the table
+    monkeypatch.setattr(nndescent, "AUDIT", 8)
+    rng = np.random.default_rng(3)
+
+    def group(centre, size):
+        away = rng.standard_normal((size, 64))
+        return centre + 0.07 * away / np.linalg.norm(away, axis=1)[:, None]
+
+    axes = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    other = 0.925 * axes[0] + math.sqrt(1 - 0.925**2) * axes[1]
+    vectors = np.concatenate([group(axes[0], 20), group(other, 20), group(axes[2], 300), rng.standard_normal((300, 64))])
+    vectors = vectors.astype(np.float32).astype(float)
+    own = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    linked = own @ own.T >= 0.9
+    np.fill_diagonal(linked, False)
+    assert linked[:20, 20:40].all()
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in nndescent.near_vectors(frame).collect()}
+    assert [got[i].n_links for i in range(640)] == linked.sum(1).tolist()
+    assert {got[i].component_id for i in range(40)} == {0} and {got[i].component_id for i in range(40, 340)} == {40}
+
+
+def test_recall_is_judged_per_vector(spark, monkeypatch):
+    # lists that find nothing must not pass because one vector has many links
+    monkeypatch.setattr(nndescent, "joined_groups", lambda links, *_: nndescent.components(links[0].where("a >= 0 AND false")))
+    rows = [(i, [1.0, 0.01 * i]) for i in range(10)]
+    with pytest.raises(RuntimeError, match="audited"):
+        nndescent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+
+
 def plain_pipeline(texts):
     """(doc_id, piece) -> (start, length, crc32) of the whole chain; without
     labels only the base rules reject."""

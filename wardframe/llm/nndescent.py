@@ -8,11 +8,14 @@ best; rounds end when few lists still change.  Links are the pairs at or above
 the threshold.
 
 A list all of whose entries are links is saturated: more may lie beyond it.
-Such lists are enlarged to all vectors of their link component, compared block
-by block, so groups of any size get all their links while no task holds more
-than two blocks and no pairs are written.  A bounded number of vectors
-(``audit``) is then compared with all others; as long as too few of their links
-were found, lists are doubled and refined further.
+Saturated vectors descend again, with lists of the nearest other link
+components (one vector of each); the links found there merge components, and
+this goes on until no component finds another one.  Then all vectors of a
+component are compared block by block, so groups of any size get all their
+links while no task holds more than two blocks and no pairs are written.  A
+bounded number of vectors (``audit``) is compared with all others; as long as
+too small a share of their links was found, taken vector by vector, lists are
+doubled and refined further, and the operator fails if that does not help.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; equal vectors are one node with a count; shorter
@@ -43,7 +46,10 @@ AUDIT = 512
 MIN_RECALL = 0.97
 MAX_ROUNDS = 6
 MAX_AUDITS = 3
+#: Members by which a component is tried beside the others of a hyperplane group.
+TRIED = 4
 PAIR = "a long, b long, sim double"
+BEYOND = "a long, pa long, b long, pb long, sim double"
 
 
 def unit(vectors: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -87,8 +93,9 @@ def nodes_of(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFram
     return rows, pin(counted.withColumn("node", F.monotonically_increasing_id()))
 
 
-def first_lists(nodes: DataFrame, total: int, dims: int, keep: int, seed: int) -> DataFrame:
-    """Neighbours within groups of vectors with equal hyperplane signs."""
+def hyperplane_codes(nodes: DataFrame, total: int, dims: int, seed: int) -> DataFrame:
+    """(node, v, plane, code): the signs of every vector, so that ``total``
+    vectors would form groups of about ``GROUP``."""
     bits = max(1, int(np.ceil(np.log2(max(2, total / GROUP)))))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +110,12 @@ def first_lists(nodes: DataFrame, total: int, dims: int, keep: int, seed: int) -
                 )
 
     kind = nodes.schema["v"].dataType.simpleString()
-    keyed = nodes.select("node", "v").mapInArrow(coded, f"node long, v {kind}, plane long, code long")
+    return nodes.select("node", "v").mapInArrow(coded, f"node long, v {kind}, plane long, code long")
+
+
+def first_lists(nodes: DataFrame, total: int, dims: int, keep: int, seed: int) -> DataFrame:
+    """Neighbours within groups of vectors with equal hyperplane signs."""
+    keyed = hyperplane_codes(nodes, total, dims, seed)
     sizes = pin(keyed.groupBy("plane", "code").agg(F.count("*").alias("n")))
     part = F.pmod(F.xxhash64("node", "plane", F.lit(seed)), F.ceil(F.col("n") / (2 * GROUP)))
     grouped = keyed.join(sizes, ["plane", "code"]).select("node", "v", "plane", "code", part.alias("part"))
@@ -144,6 +156,101 @@ def refine(graph: DataFrame, nodes: DataFrame, dims: int, keep: int) -> tuple[Da
     return out, out.where("new").count()
 
 
+def _best_beyond(rows: pa.Table, dims: int, keep: int) -> pa.Table:
+    """Each row's most similar row of every other component in the group, the
+    ``keep`` best of them, above the row's floor."""
+    rows = rows.sort_by("part")
+    ids, parts = rows.column("u").to_numpy(), rows.column("part").to_numpy()
+    vectors = unit(rows.column("v"), dims)
+    floor = rows.column("floor").to_numpy() if "floor" in rows.column_names else np.full(len(ids), -2.0)
+    sims = np.clip(vectors @ vectors.T, -1, 1)
+    sims[parts[:, None] == parts[None, :]] = -2
+    starts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
+    ends = np.append(starts[1:], len(parts))
+    at = np.stack([i + sims[:, i:j].argmax(axis=1) for i, j in zip(starts, ends, strict=True)], axis=1)
+    sim = np.take_along_axis(sims, at, 1)
+    keep = min(keep, len(starts))
+    top = np.argpartition(-sim, keep - 1, axis=1)[:, :keep]
+    at, sim = np.take_along_axis(at, top, 1), np.take_along_axis(sim, top, 1)
+    good = sim > floor[:, None]
+    a, b = np.repeat(np.arange(len(ids)), good.sum(1)), at[good]
+    return pa.table({"a": ids[a], "pa": parts[a], "b": ids[b], "pb": parts[b], "sim": sim[good]})
+
+
+def _top_beyond(pairs: DataFrame, by: str, other: str, keep: int) -> DataFrame:
+    """The best pair of every ``by`` with each component of the other side, the
+    ``keep`` best of these.  A component's pairs are aggregated, so it does not
+    matter how many of its vectors share a neighbour."""
+    own, rest = f"p{by}", f"p{other}"
+    best = pairs.groupBy(by, own, rest).agg(F.max("sim").alias("sim"), F.max_by(other, "sim").alias(other))
+    order = Window.partitionBy(by).orderBy(F.col("sim").desc(), other)
+    return best.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep).drop("_r")
+
+
+def links_beyond(placed: DataFrame, inner: DataFrame, parts: int, dims: int, keep: int, seed: int, threshold: float) -> DataFrame:
+    """(a, b): links between vectors of different components, for the vectors
+    (node, v, part) and their lists ``inner`` within the components."""
+    total = placed.count()
+    info = placed.select(F.col("node").alias("u"), "v", "part")
+    tried = []
+    # few groups for the components as wholes, many for their single vectors
+    for n, use in ((parts * TRIED, seed), (total, seed + 1)):
+        codes = hyperplane_codes(placed, n, dims, use).join(placed.select("node", "part"), "node")
+        draw = F.xxhash64("node", "plane", F.lit(use))
+        one = codes.groupBy("plane", "code", "part", F.pmod("node", F.lit(TRIED)).alias("_t")).agg(F.min_by("node", draw).alias("u"))
+        one = pin(one.select((F.col("plane") + PLANES * len(tried)).alias("plane"), "code", "u"))
+        sizes = pin(one.groupBy("plane", "code").agg(F.count("*").alias("n")))
+        part = F.pmod(F.xxhash64("u", "plane", F.lit(use)), F.ceil(F.col("n") / (2 * GROUP)))
+        tried.append(one.join(sizes, ["plane", "code"]).select("u", "plane", "code", part.alias("slot")))
+    grouped = reduce(DataFrame.unionByName, tried).join(info, "u")
+
+    def near(rows: pa.Table) -> pa.Table:
+        return _best_beyond(rows, dims, keep)
+
+    start = grouped.groupBy("plane", "code", "slot").applyInArrow(near, BEYOND)
+    graph = pin(_top_beyond(start, "a", "b", keep).withColumn("new", F.lit(True)))
+    for _ in range(MAX_ROUNDS):
+        fresh = graph.where("new")
+        active = fresh.select(F.col("a").alias("w")).unionByName(fresh.select(F.col("b").alias("w"))).distinct()
+        around = graph.select(F.col("a").alias("w"), F.col("b").alias("u")).unionByName(
+            _top_beyond(graph, "b", "a", keep).select(F.col("b").alias("w"), F.col("a").alias("u"))
+        ).unionByName(inner.select(F.col("a").alias("w"), F.col("b").alias("u"))).distinct()
+        floors = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("least")).select(
+            F.col("a").alias("u"), F.when(F.col("n") >= keep, F.col("least")).otherwise(-2.0).alias("floor")
+        )
+        known = info.join(floors, "u", "left").select("u", "v", "part", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
+        found = around.join(active, "w", "left_semi").join(known, "u").groupBy("w").applyInArrow(near, BEYOND)
+        old = graph.select("a", "b", F.lit(True).alias("old"))
+        merged = _top_beyond(graph.drop("new").unionByName(found), "a", "b", keep).join(old, ["a", "b"], "left")
+        graph = pin(merged.select("a", "pa", "b", "pb", "sim", F.col("old").isNull().alias("new")))
+        if graph.where("new").count() <= 0.01 * total * keep:
+            break
+    return pin(graph.where(F.col("sim") >= threshold).select("a", "b"))
+
+
+def joined_groups(
+    links: list[DataFrame], graph: DataFrame, nodes: DataFrame, dims: int, keep: int, seed: int, threshold: float,
+) -> DataFrame:
+    """(node, component) by the links, to which those are added that lie beyond
+    saturated lists."""
+    near = graph.where(F.col("sim") >= threshold)
+    full = pin(near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= keep).select(F.col("a").alias("node")))
+    inner = pin(near.join(full, near["a"] == full["node"], "left_semi").join(
+        full.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b"))
+    while True:
+        groups = pin(components(reduce(DataFrame.unionByName, links)))
+        placed = pin(nodes.select("node", "v").join(full, "node", "left_semi").join(
+            groups.select("node", F.col("component").alias("part")), "node"))
+        parts = placed.select("part").distinct().count()
+        if parts < 2:
+            return groups
+        found = links_beyond(placed, inner, parts, dims, keep, seed, threshold)
+        if found.isEmpty():
+            return groups
+        links.append(found)
+        seed += 1
+
+
 def complete(groups: DataFrame, nodes: DataFrame, dims: int, threshold: float) -> DataFrame:
     """(node, n): for all members of the components (node, component), how many
     vectors of the component are links, copies counted."""
@@ -214,16 +321,21 @@ def near_vectors(
     for attempt in range(MAX_AUDITS if total and total > 1 else 0):
         graph = _descend(nodes, total, dims, keep, attempt, graph)
         links.append(graph.where(F.col("sim") >= threshold).select("a", "b"))
-        groups = pin(components(reduce(DataFrame.unionByName, links)))
+        groups = joined_groups(links, graph, nodes, dims, keep, attempt, threshold)
         if not attempt:
             true = pin(audit_links(nodes, queries, dims, threshold))
         ends = true
         for end in ("a", "b"):
             ends = ends.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-        n, found = ends.agg(F.count("*"), F.count_if(F.col("ca") == F.col("cb"))).first()
-        if not n or found >= MIN_RECALL * n:
+        # every audited vector counts the same, however many links it has
+        shares = ends.groupBy("a").agg((F.count_if(F.col("ca") == F.col("cb")) / F.count("*")).alias("share"))
+        recall = shares.agg(F.avg("share")).first()[0]
+        if recall is None or recall >= MIN_RECALL:
             break
         keep *= 2
+    else:
+        if groups is not None:
+            raise RuntimeError(f"lists of {keep // 2} found a share of {recall:.3f} of the audited vectors' links")
     if groups is None:
         groups = components(links[0])
     elif links:
