@@ -15,7 +15,7 @@ from wardframe.llm.linedup import dedup_lines
 from wardframe.llm.packing import packed_documents
 from wardframe.llm.quality import judge
 from wardframe.llm.queries import WORD_VOCABULARY, vocabulary
-from wardframe.llm.simhash import near_duplicates
+from wardframe.llm.simhash import representatives, text_digest
 from wardframe.llm.substring import remove_repeats
 from wardframe.session import pin
 
@@ -46,18 +46,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays
-    (a missing id is the smallest); of rows that share this id the one with the
-    smallest text stays, a missing text being the smallest."""
-    found = near_duplicates(docs, shingle=3, distance=3)
-    stays = found.where("doc_id <=> component_id").select(id_or_least(F.col("doc_id")).alias("stay")).distinct()
+    """Of each group of near copies the row with the smallest id stays (a
+    missing id is the smallest); of rows of the group that share this id the one
+    with the smallest text stays, a missing text being the smallest.  Rows that
+    share an id but no group do not touch each other."""
+    found = representatives(docs, shingle=3, distance=3)
     aside, names = _set_aside(docs)
-    keyed = aside.withColumn("key", id_or_least(F.col(names["doc_id"])))
-    kept = keyed.join(stays, keyed["key"] == stays["stay"], "left_semi")
+    text = F.col(names["text"])
+    keyed = aside.withColumn("key", id_or_least(F.col(names["doc_id"]))).withColumn("own", text_digest(names["text"]))
+    same = (keyed["key"] == found["id"]) & (keyed["own"] == found["digest"])
+    kept = keyed.join(found, same)
     row = F.struct(*[F.col(own).alias(c) for c, own in names.items()])
-    # the join has brought the rows of an id together already
-    order = F.struct(F.col(names["text"]).isNotNull(), F.col(names["text"]))
-    return kept.groupBy("key").agg(F.min_by(row, order).alias("row")).select("row.*")
+    order = F.struct(text.isNotNull(), text)
+    return kept.groupBy("part").agg(F.min_by(row, order).alias("row")).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

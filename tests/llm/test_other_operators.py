@@ -285,3 +285,15 @@ def test_pipeline_of_rows_that_share_an_id(spark):
     docs = document_frame(spark, ["a b c d", "a b c d", "a b c d", "q r s t"], [1, 1, 2, None])
     kept = corpus_pipeline.simhash_dedup(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "q r s t"), (1, "a b c d")]
+
+
+def test_simhash_dedup_decides_per_group_and_not_per_id(spark):
+    import corpus_pipeline
+
+    one, two, three, four = (long_text(i, 40) for i in (1, 2, 3, 4))
+    rows = [(2, one), (5, one), (5, two), (None, three), (None, four), (None, four), (7, three.upper()), (8, None), (8, ""), (9, "")]
+    docs = document_frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = corpus_pipeline.simhash_dedup(spark, docs, "").collect()
+    assert sorted(((r.doc_id or 0, r.text or "") for r in kept)) == sorted(
+        [(2, one), (5, two), (0, three), (0, four), (8, "")])
+    assert [r.text for r in kept if r.doc_id == 8] == [None]

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardframe.llm.common import bounded_batches, id_back, id_or_least, raw, slices, tidy, words_of
@@ -91,18 +91,27 @@ def text_fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp) per row; fp has the 64 bits as a signed number."""
+def text_digest(text_col: str) -> Column:
+    """Tells the texts under one id apart."""
+    return F.xxhash64(F.col(text_col).isNull(), F.col(text_col))
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, digest: bool = False) -> DataFrame:
+    """(id, fp) per row, with ``digest`` the text's digest as well; fp has the
+    64 bits as a signed number."""
+    extra = ["digest"] if digest else []
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, SLICE_BYTES):
                 fp = text_fingerprints(part.column(1), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), *part.columns[2:]], names=["id", "fp", *extra])
 
     bounded_batches(docs.sparkSession)
-    sent = docs.select(id_or_least(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
-    return sent.mapInArrow(tidy(made), "id long, fp long")
+    sent = docs.select(
+        id_or_least(F.col(id_col)).alias("id"), F.col(text_col).alias("text"), *[text_digest(text_col).alias(c) for c in extra]
+    )
+    return sent.mapInArrow(tidy(made), ", ".join(f"{c} long" for c in ["id", "fp", *extra]))
 
 
 def variants(fps: DataFrame, distance: int) -> DataFrame:
@@ -185,17 +194,34 @@ def crowded_links(hot: DataFrame, distance: int) -> DataFrame:
     return direct.unionByName(_stars(keyed, ["wild", "rest"])).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3,
-) -> DataFrame:
-    """(id_col, fingerprint, component_id) for every row of ``docs``."""
-    rows = pin(fingerprints(docs, id_col, text_col, shingle))
+def _parts(rows: DataFrame, distance: int) -> DataFrame:
+    """(fp, least, part): every fingerprint with its least id and its group."""
     per_fp = pin(rows.groupBy("fp").agg(F.min("id").alias("least")))
     near = links(per_fp.select("fp"), distance)
     groups = pin(components(near))
-    joined = per_fp.join(groups, per_fp["fp"] == groups["node"], "left").select(
+    return per_fp.join(groups, per_fp["fp"] == groups["node"], "left").select(
         per_fp["fp"], "least", F.coalesce("component", per_fp["fp"]).alias("part")
     )
+
+
+def representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3,
+) -> DataFrame:
+    """(id, digest, part): per group of near copies the smallest id and the
+    digests of the texts that this id has in the group."""
+    rows = pin(fingerprints(docs, id_col, text_col, shingle, digest=True))
+    parts = pin(_parts(rows, distance))
+    first = parts.groupBy("part").agg(F.min("least").alias("id"))
+    chosen = parts.join(first, "part").where("least = id").select("fp", "id", "part")
+    return pin(rows.join(chosen, ["fp", "id"]).select("id", "digest", "part").distinct())
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3,
+) -> DataFrame:
+    """(id_col, fingerprint, component_id) for every row of ``docs``."""
+    rows = pin(fingerprints(docs, id_col, text_col, shingle))
+    joined = _parts(rows, distance)
     # rows that share an id connect their fingerprints
     named = pin(joined.select("fp", "part").join(
         joined.groupBy("part").agg(F.min("least").alias("component_id")), "part"
