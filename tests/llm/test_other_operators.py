@@ -297,3 +297,13 @@ def test_simhash_dedup_decides_per_group_and_not_per_id(spark):
     assert sorted(((r.doc_id or 0, r.text or "") for r in kept)) == sorted(
         [(2, one), (5, two), (0, three), (0, four), (8, "")])
     assert [r.text for r in kept if r.doc_id == 8] == [None]
+
+
+def test_notices_need_their_words_in_order(spark):
+    mit, apache = list(NOTICES)[:2]
+    texts = ["the license " * 9, apache + " the license" * 12, " ".join(reversed(apache.split())), mit + " " + mit]
+    got = {r.id: r for r in labelled(scan(document_frame(spark, texts))).collect()}
+    assert [(got[i].labels, got[i].score) for i in range(4)] == [("", 0.0), ("apache", 1.0), ("", 0.0), ("mit", 1.0)]
+    places = {r.id: [(s.begin, s.words) for s in r.spans if s.template >= len(PHRASES)] for r in scan(document_frame(spark, texts)).collect()}
+    n = len(mit.split())
+    assert places[1] == [(0, len(apache.split()))] and places[3] == [(0, n), (n, n)]

@@ -5,8 +5,10 @@ the same k words in the templates.  A match votes for its diagonal (document
 position minus template position); words inserted or left out only shift the
 diagonal a little, so neighbouring diagonals are merged before a span is
 verified.  A phrase is found where every one of its k-grams votes for one
-diagonal.  A notice is found where the merged diagonals cover enough of its
-k-grams inside a span of about its length.
+diagonal.  A notice is found where matches of the merged diagonals, in the
+order of the document and of the notice, cover enough of its k-grams inside a
+span of about its length; neighbours in this order lie on neighbouring
+diagonals, and every k-gram of the notice counts once.
 
 Only DataFrame and SQL functions are used.  A match is verified at the join by
 comparing the words themselves.  The templates are a parameter; their k-grams
@@ -114,6 +116,52 @@ def matches(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, k: in
     return checked.select("id", "digest", "template", "n_grams", diagonal.alias("diagonal"), "tpos")
 
 
+def notice_spans(k: int, min_cover: float) -> Column:
+    """The places of a notice among the ``hits`` of a run.
+
+    Every hit ends its longest chain of hits: document and notice positions
+    grow, and the diagonal moves by at most MAX_SHIFT from one to the next.  A
+    predecessor is at most a notice away, so only that many hits are held.  Of
+    chains that overlap the best one stays."""
+    n = F.col("n_grams")
+
+    def chained(recent: Column, h: Column) -> Column:
+        prior = F.filter(recent, lambda r: (
+            (r["pos"] < h["pos"]) & (r["tpos"] < h["tpos"])
+            & (F.abs(h["pos"] - h["tpos"] - r["pos"] + r["tpos"]) <= MAX_SHIFT)
+            & (h["pos"] - r["begin"] + k <= 2 * (n + k - 1))
+        ))
+        best = F.array_max(F.transform(prior, lambda r: F.struct(r["size"].alias("size"), r["begin"].alias("begin"))))
+        return F.struct(
+            h["pos"].alias("pos"), h["tpos"].alias("tpos"), F.coalesce(best["begin"], h["pos"]).alias("begin"),
+            (F.coalesce(best["size"], F.lit(0)) + 1).alias("size"),
+        )
+
+    def placed(spans: Column, mine: Column) -> Column:
+        own = F.struct(
+            F.col("template").alias("template"), mine["begin"].alias("begin"),
+            (mine["pos"] - mine["begin"] + k).alias("words"), (mine["size"] / n).alias("cover"),
+        )
+        last = F.element_at(spans, -1)
+        better = (own["cover"] > last["cover"]) | ((own["cover"] == last["cover"]) & (own["words"] < last["words"]))
+        return F.when(own["cover"] < min_cover, spans).when(
+            (F.size(spans) == 0) | (mine["begin"] >= last["begin"] + last["words"]), F.concat(spans, F.array(own))
+        ).when(better, F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(own))).otherwise(spans)
+
+    def step(state: Column, h: Column) -> Column:
+        near = F.filter(state["recent"], lambda r: r["pos"] >= h["pos"] - n - MAX_SHIFT)
+        both = F.transform(F.array(chained(near, h)), lambda mine: F.struct(
+            F.concat(near, F.array(mine)).alias("recent"), placed(state["spans"], mine).alias("spans")
+        ))
+        return both[0]
+
+    empty = F.struct(
+        F.expr("CAST(array() AS array<struct<pos:int,tpos:int,begin:int,size:int>>)").alias("recent"),
+        F.expr("CAST(array() AS array<struct<template:int,begin:int,words:int,cover:double>>)").alias("spans"),
+    )
+    return F.aggregate(F.array_sort("hits"), empty, step, lambda state: state["spans"])
+
+
 def scan(
     docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES,
     id_col: str = "doc_id", text_col: str = "text", k: int = K, min_cover: float = MIN_COVER,
@@ -122,30 +170,31 @@ def scan(
     struct(template, begin, words, cover) for every place found; templates are
     numbered through phrases, then notices."""
     grams = template_grams(docs.sparkSession, phrases, notices, k)
-    votes = matches(docs, grams, id_col, text_col, k).groupBy("id", "digest", "template", "n_grams", "diagonal").agg(
-        F.count_distinct("tpos").alias("votes"), F.min("tpos").alias("low"), F.max("tpos").alias("high"),
-        F.count("*").alias("rows"),
-    )
-    key = ["id", "digest", "template"]
+    keys = ["id", "digest", "template", "n_grams"]
+    votes = matches(docs, grams, id_col, text_col, k).groupBy(*keys, "diagonal", "tpos").agg(F.count("*").alias("rows"))
     is_notice = F.col("template") >= len(phrases)
     # diagonals of one notice in one document; a run ends where the shift is too large
-    order = Window.partitionBy(*key).orderBy("diagonal")
+    order = Window.partitionBy("id", "digest", "template").orderBy("diagonal")
     shift = F.col("diagonal") - F.lag("diagonal").over(order)
-    run = F.sum(F.when(is_notice & (shift <= MAX_SHIFT), 0).otherwise(1)).over(order)
-    merged = votes.withColumn("run", run).groupBy(*key, "n_grams", "run").agg(
-        F.min("diagonal").alias("diagonal"), F.sum("votes").alias("votes"), F.max("rows").alias("rows"),
-        F.min(F.col("diagonal") + F.col("low")).alias("begin"), F.max(F.col("diagonal") + F.col("high")).alias("end"),
+    run = F.sum(F.when((shift == 0) | (is_notice & (shift <= MAX_SHIFT)), 0).otherwise(1)).over(order)
+    hit = F.struct((F.col("diagonal") + F.col("tpos")).alias("pos"), "tpos")
+    merged = votes.withColumn("run", run).groupBy(*keys, "run").agg(
+        F.min("diagonal").alias("diagonal"), F.count("*").alias("votes"), F.max("rows").alias("rows"),
+        F.count_distinct("tpos").alias("seen"), F.collect_list(F.when(is_notice, hit)).alias("hits"),
     )
-    cover = F.least(F.lit(1.0), F.col("votes") / F.col("n_grams"))
-    length = F.col("end") - F.col("begin") + k
-    fits = (cover >= min_cover) & (length <= 2 * (F.col("n_grams") + k - 1))
-    span = F.struct("template", F.when(is_notice, F.col("begin")).otherwise(F.col("diagonal")).alias("begin"),
-                    length.alias("words"), cover.alias("cover"))
-    kept = F.when(F.col("template") == END, F.lit(False)).when(is_notice, fits).otherwise(F.col("votes") == F.col("n_grams"))
+    whole = F.array(F.struct(
+        "template", F.col("diagonal").cast("int").alias("begin"), (F.col("n_grams") + k - 1).cast("int").alias("words"),
+        F.lit(1.0).alias("cover"),
+    ))
+    none = F.slice(whole, 1, 0)
+    spans = F.when(F.col("template") == END, none).when(
+        is_notice, F.when(F.col("seen") >= min_cover * F.col("n_grams"), notice_spans(k, min_cover)).otherwise(none)
+    ).otherwise(F.when(F.col("votes") == F.col("n_grams"), whole).otherwise(none))
+    merged = merged.select("id", "digest", "template", "diagonal", "rows", spans.alias("spans"))
     per = merged.groupBy("id", "digest").agg(
         F.max(F.when(F.col("template") == END, F.col("diagonal"))).alias("n_words"),
         F.max(F.when(F.col("template") == END, F.col("rows"))).alias("copies"),
-        F.sort_array(F.collect_list(F.when(kept, span))).alias("spans"),
+        F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
     each = per.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return each.drop("copies", "copy")
