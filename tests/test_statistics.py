@@ -188,3 +188,25 @@ def test_roc_of_a_group_with_one_class(spark):
     df = spark.createDataFrame([("x", 0.3, 1), ("x", 0.7, 1), ("y", 0.2, 0), ("y", 0.6, 1)], "g string, s double, l int")
     points = {(r.g, r.threshold): (r.fpr, r.tpr) for r in metrics.roc_points(df, "s", "l", ["g"]).collect()}
     assert points["x", 0.7] == (None, 0.5) and points["y", 0.2] == (1.0, 1.0)
+
+
+@pytest.mark.parametrize(("name", "scheme", "seeds", "k", "trees"), [
+    ("gbt_cv_auc", "cross_validate", None, 10, 430), ("pooled_cv", "cross_validate", None, 10, 300),
+    ("repeated_holdout", "repeated_holdout", range(1, 100), 0.3, 430),
+    ("seed_sweep", "repeated_cross_validation", range(300, 500), 10, 450),
+])
+def test_registered_validations_run_the_studies_settings(spark, monkeypatch, name, scheme, seeds, k, trees):
+    from wardframe.operators import validate
+    from wardframe.plans.queries import QUERIES
+
+    class Seen(Exception):
+        pass
+
+    def stop(rows, *args, **_):
+        estimator = args[-1](rows)
+        raise Seen(args[1] if seeds else None, args[-2], estimator.getMaxIter())
+
+    monkeypatch.setattr(validate, scheme, stop)
+    with pytest.raises(Seen) as seen:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen.value.args == (seeds, k, trees)

@@ -574,12 +574,10 @@ def tableone_report(spark, sf):
 
 # --- models ----------------------------------------------------------------------------
 
-# The studies' folds and seeds.  Boosted trees are few and the repeated holdout
-# and the sweep of them short, so that a run ends; the studies' own settings are
-# the presets in wardframe.operators.models.
+# The studies' folds, seeds and settings of the trees.
 FOLDS = 10
-QUICK = models.BoostParams(0.1, 5, 3, 4, 0.9, 0.7, 0.0, 1.0, 27)
-QUICK_WEIGHTED = models.BoostParams(0.1, 5, 3, 1, 0.8, 1.0, 0.0, 3.0, 0)
+HOLDOUT_SEEDS = range(1, 100)
+SWEEP_SEEDS = range(300, 500)
 MODEL_COLUMNS = [*st.DOC_FEATURES, "toxic"]
 # trees cannot take a missing value, so they get a flag beside the median
 TREE_COLUMNS = [*MODEL_COLUMNS, *[f"{c}_missing" for c in GAPPY]]
@@ -618,14 +616,14 @@ def l1_logistic_accuracy(spark, sf):
 @query
 def gbt_cv_auc(spark, sf):
     rows = folds.contiguous_folds(_vectors(spark, sf, TREE_COLUMNS), [F.col("doc_id").asc()], FOLDS)
-    scores = validate.cross_validate(rows, FOLDS, _boosted(QUICK))
+    scores = validate.cross_validate(rows, FOLDS, _boosted(models.SITE_A))
     return validate.auc_report(scores, ["fold"], hard=True)
 
 
 @query
 def gbt_split_importance(spark, sf):
     rows = pin(_vectors(spark, sf, TREE_COLUMNS))
-    model = models.boosted_trees(QUICK, spark).fit(rows)
+    model = models.boosted_trees(models.SITE_A, spark).fit(rows)
     return models.split_counts(model, TREE_COLUMNS, spark)
 
 
@@ -648,21 +646,21 @@ def repeated_external(spark, sf):
 @query
 def pooled_cv(spark, sf):
     rows = folds.contiguous_folds(_vectors(spark, sf, TREE_COLUMNS, weight=3.0), [F.col("doc_id").asc()], FOLDS)
-    scores = validate.cross_validate(rows, FOLDS, _boosted(QUICK_WEIGHTED))
+    scores = validate.cross_validate(rows, FOLDS, _boosted(models.POOLED))
     return validate.auc_report(scores, ["fold"])
 
 
 @query
 def repeated_holdout(spark, sf):
     rows = _vectors(spark, sf, TREE_COLUMNS)
-    scores = validate.repeated_holdout(rows, "doc_id", range(1, 4), 0.3, _boosted(QUICK))
+    scores = validate.repeated_holdout(rows, "doc_id", HOLDOUT_SEEDS, 0.3, _boosted(models.SITE_A))
     return validate.auc_report(scores, ["seed"], hard=True)
 
 
 @query
 def seed_sweep(spark, sf):
     rows = _vectors(spark, sf, TREE_COLUMNS)
-    scores = validate.repeated_cross_validation(rows, "doc_id", (300, 301), 3, _boosted(QUICK))
+    scores = validate.repeated_cross_validation(rows, "doc_id", SWEEP_SEEDS, FOLDS, _boosted(models.SWEEP))
     return validate.sweep_report(scores)
 
 
