@@ -22,5 +22,6 @@ def test_matches_sql(spark, name):
     cursor = db.execute(ORACLE[name])
     columns = sorted(c[0] for c in cursor.description)
     assert columns == sorted(df.columns)
-    want = cursor.df()[columns].sort_values(columns).astype(str).values.tolist()
-    assert sorted(df.toPandas()[columns].astype(str).values.tolist()) == sorted(want)
+    want = [dict(zip([c[0] for c in cursor.description], row, strict=True)) for row in cursor.fetchall()]
+    got = [row.asDict() for row in df.collect()]
+    assert sorted(repr([r[c] for c in columns]) for r in got) == sorted(repr([r[c] for c in columns]) for r in want)

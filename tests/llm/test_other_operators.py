@@ -279,6 +279,20 @@ def test_pipeline_stages(spark, tmp_path):
             break
 
 
+@pytest.mark.parametrize("texts", [[long_text(1, 60)], ["one two"], ["", None], ["same word " * 40]])
+def test_pipeline_of_small_tables(spark, tmp_path, texts):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = document_frame(spark, texts)
+        docs.write.parquet(f"{tmp_path}/{name}")
+        stage(spark, spark.read.parquet(f"{tmp_path}/{name}"), str(tmp_path)).collect()
+    document_frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert whole == plain_pipeline(texts)
+
+
 def test_pipeline_of_rows_that_share_an_id(spark):
     import corpus_pipeline
 

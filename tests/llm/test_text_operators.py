@@ -5,10 +5,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import EDGE_TEXTS, classes, document_frame, fingerprint, kept_words, plain_lines, words
+from helpers import EDGE_TEXTS, classes, document_frame, fingerprint, kept_words, long_text, plain_lines, words
 from tokenizers import Tokenizer
 
 from wardframe.llm.linedup import SortedRuns, dedup_lines, line_keys
+from wardframe.llm.packing import packed_documents
 from wardframe.llm.queries import COUNT_VOCABULARY, WORD_VOCABULARY, vocabulary
 from wardframe.llm.simhash import links, near_duplicates
 from wardframe.llm.substring import remove_repeats
@@ -118,6 +119,31 @@ def test_empty_tables(spark):
     assert dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("texts", [[long_text(5, 50)], ["one"], ["one", "two words"], ["", ""], [None, None], [None, " \n"]])
+def test_tables_without_repeats_or_words(spark, texts):
+    frame = document_frame(spark, texts)
+    plain = Tokenizer.from_file(vocabulary(WORD_VOCABULARY))
+    plain.no_truncation()
+    got = {r.doc_id: (r.text, r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(frame).collect()}
+    assert got == {i: (t, len(words(t)), 0, " ".join(words(t))) for i, t in enumerate(texts)}
+    coded = {r.doc_id: (bytes(r.ids), r.decoded) for r in encode(frame, vocabulary(WORD_VOCABULARY)).collect()}
+    pieces = {r.doc_id: r.length for r in packed_documents(frame, vocabulary(WORD_VOCABULARY)).collect()}
+    for i, text in enumerate(texts):
+        ids = plain.encode(text or "", add_special_tokens=False).ids
+        assert coded[i] == (np.array(ids, "<u4").tobytes(), plain.decode(ids, skip_special_tokens=False))
+        assert pieces[i] == len(ids) + 1
+
+
+def test_rows_without_an_id(spark):
+    texts = [None, "", long_text(5, 50), long_text(5, 50)]
+    frame = document_frame(spark, texts, [None] * 4)
+    assert token_counts(frame, vocabulary(COUNT_VOCABULARY)).where("doc_id IS NULL").count() == 4
+    assert encode(frame, vocabulary(WORD_VOCABULARY)).where("doc_id IS NULL").count() == 4
+    assert packed_documents(frame, vocabulary(WORD_VOCABULARY)).where("doc_id IS NULL").count() == 4
+    assert near_duplicates(frame).where("doc_id IS NULL AND component_id IS NULL").count() == 4
+    assert dedup_lines(frame).where("doc_id IS NULL").count() == 4
+
+
 def test_digest_columns(spark, tmp_path):
     from wardframe.llm.queries import QUERIES
 

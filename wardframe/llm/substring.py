@@ -118,7 +118,7 @@ def ask_rows(words: Words, key: str, places: np.ndarray, hashes: np.ndarray, mor
     order = np.argsort(bucket, kind="stable")
     ids, cuts = np.unique(bucket[order], return_index=True)
     columns: list[list[bytes]] = [[] for _ in range(6)]
-    for a, b in zip(cuts, [*cuts[1:], len(own)], strict=True):
+    for a, b in zip(cuts, np.append(cuts, len(own))[1:], strict=True):
         rows = order[a:b]
         at = first[rows]
         docs = words.ids[words.doc[at]]

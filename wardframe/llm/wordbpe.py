@@ -77,7 +77,7 @@ class Block:
         self.indices = place[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.int64)
         self.buckets, cuts = np.unique(bucket[order], return_index=True)
         listed = [own[i] for i in order.tolist()]
-        self.lists = [b" ".join(listed[a:b]) for a, b in zip(cuts, [*cuts[1:], len(own)], strict=True)]
+        self.lists = [b" ".join(listed[a:b]) for a, b in zip(cuts, np.append(cuts, len(own))[1:], strict=True)]
         self.key = f"{key}:{xxhash.xxh64_hexdigest(b' '.join(self.lists))}"
 
 
