@@ -127,7 +127,7 @@ def test_interval_join_equals_brute_force(spark):
     ev = spark.createDataFrame(events, "key long, item string, time timestamp_ntz, value double")
     an = spark.createDataFrame(anchors, "key long, id long, at timestamp_ntz")
     day = F.expr("interval '24' hour")
-    got = interval_join(an, ev, ["key"], F.col("at") - day, F.col("at") + day, "time", anchor_id=["id"]).collect()
+    got = interval_join(an, ev, ["key"], F.col("at") - day, F.col("at") + day, "time").collect()
     expected = []
     for k, i, at in anchors:
         hits = [(i, t, v) for key, _, t, v in events if key == k and abs(t - at) <= timedelta(hours=24)]

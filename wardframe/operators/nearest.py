@@ -152,7 +152,6 @@ def nearest_rows(
     window: tuple[Column, Column],
     items: Mapping[str, object],
     time_name: str = "charttime",
-    anchor_id: Sequence[str] = ("icustay_id",),
 ) -> DataFrame:
     """Long form of :func:`nearest_values`: events in ``window`` are ranked by
     distance to ``rank_at``, which may lie outside the window, and there is
@@ -184,7 +183,7 @@ def nearest_rows(
     )
     untimed = anchors.where(F.col(rank_at).isNull())
     if not untimed.isEmpty():
-        tied = interval_join(untimed, events, keys, low, high, "time", "left", anchor_id)
+        tied = interval_join(untimed, events, keys, low, high, "time")
         hits = hits.unionByName(tied)
     return hits.groupBy(*anchors.columns, F.col("time").alias(time_name)).agg(
         *[F.max(F.when(F.col("item") == i, F.col("value"))).alias(n) for n, i in items.items()]
@@ -206,22 +205,22 @@ def interval_join(
     high: Column,
     event_time: str,
     how: str = "left",
-    anchor_id: Sequence[str] = ("icustay_id",),
     cell_micros: int = CELL_MICROS,
 ) -> DataFrame:
     """Anchors with the events of the same ``keys`` in [low, high].
 
     Time is cut into cells and the join key includes the cell, so that a key
     with many events is spread and only neighbours in time are compared.  A
-    ``left`` join keeps anchors without an event, once.
+    ``left`` join keeps every anchor without an event once; equal anchors are
+    rows of their own.
     """
-    keys, anchor_id = list(keys), list(anchor_id)
+    keys = list(keys)
     values = [c for c in events.columns if c not in keys]
+    if how != "inner":
+        # written with a number, so that equal anchors are told apart
+        anchors = pin(anchors.withColumn("_row", F.monotonically_increasing_id()))
     cells = F.sequence(_cell(low, cell_micros), _cell(high, cell_micros))
-    left = anchors.select(
-        "*", low.alias("_low"), high.alias("_high"), F.when(cells.isNull(), 1).otherwise(F.size(cells)).alias("_cells"),
-        F.explode_outer(cells).alias("_cell"),
-    )
+    left = anchors.select("*", low.alias("_low"), high.alias("_high"), F.explode(cells).alias("_cell"))
     right = events.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys],
         *values,
@@ -229,15 +228,10 @@ def interval_join(
     )
     on = [F.col(k) == F.col(f"_r_{k}") for k in keys]
     on += [F.col("_cell") == F.col("_r_cell"), F.col(event_time).between(F.col("_low"), F.col("_high"))]
+    found = left.join(right, on, "inner").select(*anchors.columns, *values)
     if how == "inner":
-        return left.join(right, on, "inner").select(*anchors.columns, *values)
-    # every cell without an event leaves one row; an anchor has none if they
-    # are as many as its cells, and one of them stands for it then
-    joined = left.join(right.withColumn("_hit", F.lit(True)), on, "left")
-    spread = [F.when(F.col("_hit"), F.col(c)) for c in ("_cell", event_time)]
-    alike = Window.partitionBy(*anchor_id, F.col("_hit"), *spread)
-    marked = joined.select(
-        *anchors.columns, *values, "_hit", "_cells",
-        F.count("*").over(alike).alias("_n"), F.row_number().over(alike.orderBy("_cell")).alias("_i"),
-    )
-    return marked.where("_hit OR (_n = _cells AND _i = 1)").select(*anchors.columns, *values)
+        return found
+    # the numbers of anchors with an event are all that travels to find the others
+    seen = left.join(right, on, "left_semi").select("_row").distinct()
+    empty = anchors.join(seen, "_row", "left_anti")
+    return found.unionByName(empty, allowMissingColumns=True).drop("_row")

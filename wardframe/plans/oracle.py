@@ -193,6 +193,12 @@ _put("interval_left_join", """SELECT i.subject_id, i.hadm_id, i.icustay_id, l.ch
   FROM icustays i LEFT JOIN labevents l ON l.subject_id = i.subject_id AND l.hadm_id = i.hadm_id
     AND l.valuenum > 0 AND l.charttime BETWEEN i.intime - INTERVAL 24 HOUR AND i.intime + INTERVAL 24 HOUR""",
      EVENT_SQL)
+_put("interval_repeated_anchors", """SELECT i.subject_id, i.hadm_id, i.icustay_id, l.charttime,
+  CAST(l.itemid AS INTEGER) AS itemid, l.valuenum
+  FROM (SELECT *, unnest(range(1 + icustay_id % 3)) AS copy FROM icustays) i
+  LEFT JOIN labevents l ON l.subject_id = i.subject_id AND l.hadm_id = i.hadm_id AND l.valuenum > 0
+    AND l.subject_id % 5 > 1 AND l.charttime BETWEEN i.intime - INTERVAL 24 HOUR AND i.intime + INTERVAL 24 HOUR""",
+     EVENT_SQL)
 _put("nearest_liver", "SELECT * FROM liver", ORDER_SQL, CHART_SQL)
 _put("liver_per_stay", "SELECT icustay_id, max(ast) AS ast FROM liver WHERE ast IS NOT NULL GROUP BY 1",
      ORDER_SQL, CHART_SQL)

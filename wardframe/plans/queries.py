@@ -15,7 +15,7 @@ from wardframe.operators.flags import (
     FlagSource, any_event_flag, culture_flag, duration_flag, event_rate, ids_with, intake_flag, text_rules,
 )
 from wardframe.operators.nearest import interval_join
-from wardframe.operators.ordered import exact_quantiles, first_rows, ranked
+from wardframe.operators.ordered import exact_quantiles, first_rows, ranked, row_index
 from wardframe.plans import clinical
 from wardframe.plans import standins as st
 from wardframe.session import pin
@@ -110,6 +110,18 @@ def interval_left_join(spark, sf):
     return joined.select("subject_id", "hadm_id", "icustay_id", "charttime", "itemid", "valuenum")
 
 
+@query
+def interval_repeated_anchors(spark, sf):
+    """Stays fanned out by their diagnoses: every copy keeps its labs, or its
+    one empty row."""
+    copies = F.explode(F.sequence(F.lit(0), F.pmod("icustay_id", F.lit(3)).cast("int")))
+    stays = st.event_stays(spark, sf).select("*", copies.alias("_copy")).drop("_copy")
+    labs = st.event_labs(spark, sf).where((F.col("valuenum") > 0) & (F.pmod("subject_id", F.lit(5)) > 1))
+    low, high = F.col("intime") - hours(24), F.col("intime") + hours(24)
+    joined = interval_join(stays, labs, ["subject_id", "hadm_id"], low, high, "charttime")
+    return joined.select("subject_id", "hadm_id", "icustay_id", "charttime", "itemid", "valuenum")
+
+
 LINE_LIVER = {"ast": (4, 5), "alt": (6, 7)}
 LINE_VITALS = {"temperature": (1, 2), "respiration": (3, 4, 5), "heart_rate": (6, 7)}
 LINE_CHARTS = {"all": (1, 2, 3, 4, 5, 6, 7)}
@@ -481,7 +493,7 @@ def holdout_exact(spark, sf):
 def shuffle_rows(spark, sf):
     """The shuffled order as a row index."""
     rows = st.table(spark, sf, "documents").select("doc_id")
-    return folds.row_index(rows, folds.shuffle_key("doc_id", 7))
+    return row_index(rows, folds.shuffle_key("doc_id", 7))
 
 
 def _scores(spark, sf):
