@@ -159,3 +159,104 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, la
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
 FROM d LEFT JOIN per USING (r)
 """
+
+ORACLE["op11_hard_negatives"] = r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS id, b.label, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, own, id AS positive_id, score AS positive_score FROM s WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), n AS (
+  SELECT p.anchor_id, positive_id, s.id AS negative_id, positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own
+    AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 5
+"""
+
+ORACLE["op12_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS own
+  FROM documents
+), g AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY own ORDER BY chars DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY own) AS group_size
+  FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(own) AS text_sha256 FROM g
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(v) for v in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _level(below: str) -> str:
+    """The parents of the nodes (tree, idx, digest, total) that have brothers."""
+    return f"""SELECT tree, idx // 16 AS idx, sha256(string_agg(digest, '' ORDER BY idx)) AS digest,
+      (max(total) + 15) // 16 AS total FROM {below} WHERE total > 1 GROUP BY tree, idx // 16"""
+
+
+def _path(top: int) -> str:
+    """Brothers left and right of every node that has any, per level."""
+    return " UNION ALL ".join(
+        f"""SELECT tree, {k} AS level, idx,
+      coalesce(string_agg(digest, '') OVER (PARTITION BY tree, idx // 16 ORDER BY idx
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+      coalesce(string_agg(digest, '') OVER (PARTITION BY tree, idx // 16 ORDER BY idx
+        ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM n{k} WHERE total > 1""" for k in range(top))
+
+
+def _merkle(height: int) -> str:
+    """Trees of up to 16 ** height leaves a source and sources; a row's CRC-32 comes bit by bit."""
+    levels = ", ".join(f"n{k} AS ({_level(f'n{k - 1}')})" for k in range(1, height + 1))
+    nodes = " UNION ALL ".join(f"SELECT tree, digest FROM n{k} WHERE total = 1" for k in range(height + 1))
+    upper = ", ".join(f"u{k} AS ({_level(f'u{k - 1}')})" for k in range(1, height + 1))
+    roots = " UNION ALL ".join(f"SELECT digest FROM u{k} WHERE total = 1" for k in range(height + 1))
+    folds, last = [], "f0"
+    for k in range(2 * height):
+        below, tree, at = ("below", "tree", f"idx // {16**k}") if k < height else ("above", "0", f"tree // {16**(k - height)}")
+        folds.append(f"""f{k + 1} AS (
+  SELECT f.* REPLACE (coalesce(sha256(b.l || f.fold || b.r), f.fold) AS fold, f.proof || coalesce(b.l || b.r, '') AS proof)
+  FROM {last} f LEFT JOIN {below} b ON b.tree = f.{tree} AND b.level = {k % height} AND b.idx = f.{at})"""
+                     .replace("f.0", "0"))
+        last = f"f{k + 1}"
+    return rf"""
+WITH c AS (
+  SELECT *, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+           lambda x: CAST(ascii(x) AS BIGINT))), lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)),
+           lambda b, i: CASE WHEN b % 2 = 1 THEN xor(b // 2, CAST(3988292384 AS BIGINT)) ELSE b // 2 END)) AS crc
+  FROM documents
+), l AS (
+  SELECT doc_id, source, {_leaf('text')} AS leaf,
+         CASE WHEN xor(crc, CAST(4294967295 AS BIGINT)) % 5 = 0 THEN
+           {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other,
+         dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS idx,
+         count(*) OVER (PARTITION BY source) AS total
+  FROM c
+), n0 AS (SELECT tree, idx, leaf AS digest, total FROM l), {levels}, s AS ({nodes}),
+u0 AS (SELECT 0 AS tree, tree AS idx, digest, (SELECT count(*) FROM s) AS total FROM s), {upper}, root AS ({roots}),
+below AS ({_path(height)}), above AS ({_path(height).replace('FROM n', 'FROM u')}),
+f0 AS (SELECT doc_id, leaf, tree, idx, coalesce(other, leaf) AS fold, '' AS proof FROM l), {', '.join(folds)}
+SELECT doc_id, leaf, s.digest AS subroot, root.digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root,
+       fold = root.digest AS verified
+FROM {last} JOIN s USING (tree), root
+"""
+
+
+ORACLE["op13_merkle_manifest"] = _merkle(6)

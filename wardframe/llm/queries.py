@@ -114,3 +114,31 @@ def op7_nn_descent(spark, sf):
     from wardframe.llm.nndescent import near_vectors
 
     return near_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op11_hard_negatives(spark, sf):
+    from wardframe.llm.hardneg import hard_negatives
+
+    vectors = table(spark, sf, "embeddings")
+    moved = F.when(F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False)), (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), anchor=F.col("vec_id") % 100 == 0)
+
+
+@query
+def op12_exact_dedup(spark, sf):
+    from wardframe.llm.exactdedup import exact_duplicates, normal
+
+    return exact_duplicates(table(spark, sf, "documents"), carry={"text_sha256": F.sha2(normal("text"), 256)})
+
+
+@query
+def op13_merkle_manifest(spark, sf):
+    """Every fifth row, by the checksum of its id, has its text lower-cased
+    before its root is folded again."""
+    from wardframe.llm.licenses import UPPER
+    from wardframe.llm.merkle import manifest
+
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    lowered = {"text": F.translate("text", UPPER, UPPER.lower())}
+    return manifest(table(spark, sf, "documents"), altered=lowered, where=tampered)
