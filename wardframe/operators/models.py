@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardframe.operators import boosting
 from wardframe.session import shared_dir
 
 FEATURES, LABEL, WEIGHT = "features", "label", "weight"
@@ -98,25 +99,28 @@ def odds_ratios(model, features: Sequence[str], spark: SparkSession) -> DataFram
     )
 
 
-def _inner_nodes(root) -> Iterator:
-    """The nodes of a fitted tree that split."""
-    waiting = [root]
-    while waiting:
-        node = waiting.pop()
-        if node.subtreeDepth() > 0:
-            yield node
-            waiting += [node.leftChild(), node.rightChild()]
+def tree_nodes(model: GBTClassificationModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
+    """(tree, node, feature, cut, gain, cover, value): the nodes of a fitted
+    model, read from its saved data; ``feature`` is null for leaves."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    model.write().save(path)
+    # saved in the layout of the installed version of MLlib
+    found = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    inner = F.col("leftChild") >= 0
+    names = F.array(*[F.lit(f) for f in features])
+    return found.select(
+        F.col("treeID").alias("tree"), F.col("id").alias("node"), F.when(inner, F.get(names, "split.featureIndex")).alias("feature"),
+        F.when(inner, F.col("split.leftCategoriesOrThreshold")[0]).alias("cut"), F.when(inner, F.col("gain")).alias("gain"),
+        F.col("rawCount").cast("double").alias("cover"), F.when(~inner, F.col("prediction")).alias("value"),
+    )
 
 
 def split_counts(model: GBTClassificationModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
     """Number of splits per feature over all trees, and the gain share."""
-    used: Counter[int] = Counter()
-    for tree in model.trees:
-        for node in _inner_nodes(tree._call_java("rootNode")):
-            used[node.split().featureIndex()] += 1
-    gain = model.featureImportances.toArray()
-    rows = [(f, used.get(i, 0), float(gain[i])) for i, f in enumerate(features)]
-    return spark.createDataFrame(rows, "feature string, n_splits long, gain double").orderBy("n_splits", "feature")
+    counts = boosting.split_counts(tree_nodes(model, features, spark), features).drop("gain")
+    shares = [(f, float(g)) for f, g in zip(features, model.featureImportances.toArray(), strict=True)]
+    gain = spark.createDataFrame(shares, "feature string, gain double")
+    return counts.join(F.broadcast(gain), "feature").orderBy("n_splits", "feature")
 
 
 def odds_report(odds: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,12 +1,15 @@
 """Cross-validated, repeated and cross-site validation.
 
-Each fit is a distributed MLlib job.  Fits that do not depend on each other
-run from a bounded pool of driver threads; the scores of all folds and repeats
-are then measured in one job, grouped by fold or repeat.
+Repeats and folds become one array column and a list of fits
+(:func:`repeated_folds`, :func:`repeated_holdouts`), which
+:mod:`boosting` and :mod:`penalised` run side by side.  Estimators of MLlib are
+fitted one by one from a bounded pool of driver threads.  Either way the scores
+of all folds and repeats are measured in one job, grouped by fold or repeat.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 from collections.abc import Callable, Sequence
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wardframe.operators import metrics
+from wardframe.operators.fits import Fit
 from wardframe.operators.models import LABEL, scored
 from wardframe.session import pin, shared_dir
 
@@ -132,6 +136,34 @@ def fold_columns(rows: DataFrame, key: str, seeds: Sequence[int], k: int) -> dic
     }
 
 
+def fold_array(key: str, kind: str, cuts: dict[int, list[tuple]]) -> Column:
+    """Per seed of ``cuts``, in order, how many of its cuts a row has passed."""
+    seeds = [{"seed": s, "cuts": [{"digest": d, "key": k} for d, k in found]} for s, found in cuts.items()]
+    given = F.from_json(F.lit(json.dumps(seeds, default=str)), f"array<struct<seed:bigint,cuts:array<struct<digest:string,key:{kind}>>>>")
+    hashed = F.transform(given, lambda s: F.struct(_digest(key, s["seed"]).alias("digest"), s["cuts"].alias("cuts")))
+    own = F.col(key)
+    return F.transform(hashed, lambda h: F.size(F.filter(
+        h["cuts"], lambda c: (c["digest"] < h["digest"]) | ((c["digest"] == h["digest"]) & (c["key"] <= own)))))
+
+
+def repeated_folds(rows: DataFrame, key: str, seeds: Sequence[int], k: int) -> tuple[Column, list[Fit]]:
+    """The folds of every seed as one array column, and the fits that leave
+    one of them out."""
+    n = rows.count()
+    size, extra = divmod(n, k)
+    cuts = seed_cuts(rows, key, seeds, [f * size + min(f, extra) for f in range(1, k)], n)
+    fits = [Fit(f, i, {"seed": s, "fold": f}) for i, s in enumerate(seeds) for f in range(min(k, n))]
+    return fold_array(key, rows.schema[key].dataType.simpleString(), cuts), fits
+
+
+def repeated_holdouts(rows: DataFrame, key: str, seeds: Sequence[int], share: float) -> tuple[Column, list[Fit]]:
+    """Every seed's holdout of ceil(share * n) rows as fold 0 of its assignment,
+    and the fits that leave it out."""
+    n = rows.count()
+    cuts = seed_cuts(rows, key, seeds, [math.ceil(share * n)], n)
+    return fold_array(key, rows.schema[key].dataType.simpleString(), cuts), [Fit(0, i, {"seed": s}) for i, s in enumerate(seeds)]
+
+
 def repeated_holdout(
     rows: DataFrame, key: str, seeds: Sequence[int], share: float, estimator: Estimator,
     parallel: int = PARALLEL_FITS,
@@ -190,6 +222,14 @@ def accuracy_report(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def repeated_report(scores: DataFrame, hard: bool = True) -> DataFrame:
+    """Mean and deviation over seeds of each seed's mean fold AUC."""
+    measure = metrics.auc_of_labels if hard else metrics.auc
+    per_fold = measure(scores, "prediction" if hard else "score", LABEL, ["seed", "fold"])
+    per_seed = per_fold.groupBy("seed").agg(F.avg("auc").alias("auc"))
+    return metrics.score_summary(per_seed, "auc")
+
+
 def sweep_report(scores: DataFrame, hard: bool = True) -> DataFrame:
     """Per seed, mean minus deviation of the fold AUCs, best seed first."""
     measure = metrics.auc_of_labels if hard else metrics.auc

@@ -1,11 +1,14 @@
-"""Model queries on one 0/1 column, where the optimum has a closed form."""
+"""Model queries on a few 0/1 columns, where SQL can follow the fit."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wardframe.operators import folds, metrics, models, validate
+from wardframe.operators import boosting, folds, metrics, models, validate
+from wardframe.operators.fits import Fit
 from wardframe.operators.models import LABEL
+from wardframe.operators.penalised import L1Logistic
 from wardframe.plans import standins as st
 from wardframe.plans.queries import query, rounded
 from wardframe.session import pin
@@ -105,3 +108,117 @@ def gbt_flag_external(spark, sf):
     a, b = _external(spark, sf)
     estimator = lambda train: models.boosted_trees(TREES, train.sparkSession)
     return rounded(metrics.auc(validate.external_validation(a, b, estimator), "score", LABEL), "auc")
+
+
+# --- second-order trees and the penalised intercept ------------------------------------
+
+FLAG_BOOST = boosting.Boost(learning_rate=0.1, trees=20, depth=1, min_child_weight=4, reg_alpha=0.01)
+POOLED_FLAG = boosting.Boost(learning_rate=0.1, trees=20, depth=1, min_child_weight=1, positive_weight=3.0)
+#: One of them has missing values, so a split has to choose a side for them.
+FLAGS = ["filled", "taxed", "many"]
+TWO_LEVELS = boosting.Boost(learning_rate=0.3, trees=1, depth=2, min_child_weight=1, gamma=0.0)
+PRUNED = boosting.Boost(learning_rate=0.3, trees=1, depth=2, min_child_weight=1, gamma=1.0, reg_alpha=0.01)
+
+
+def _flagged(spark, sf):
+    """Labelled documents with one complete flag."""
+    table = st.model_table(spark, sf).withColumn(FLAG, F.coalesce((F.col("upper_share") > 0.1).cast("int"), F.lit(0)))
+    return pin(table.select("doc_id", "site", "label", FLAG))
+
+
+def _three_flags(spark, sf):
+    """Line items: were they returned?"""
+    return pin(st.table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_id"), (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        (F.col("l_linestatus") == "F").cast("int").alias("filled"),
+        F.when(F.col("l_discount") > 0, (F.col("l_tax") > 0.04).cast("int")).alias("taxed"),
+        (F.col("l_quantity") > 25).cast("int").alias("many"),
+    ))
+
+
+@query
+def boost_flag_holdout(spark, sf):
+    """The 99 random holdouts, grown together: AUC of the hard labels."""
+    rows = _flagged(spark, sf)
+    fold, fits = validate.repeated_holdouts(rows, "doc_id", SEEDS, 0.3)
+    scores = boosting.boosted(rows, [FLAG], "doc_id", "label", fits, FLAG_BOOST, fold).scores()
+    return rounded(validate.auc_report(scores, ["seed"], hard=True), "mean", "std", "low", "high", "best")
+
+
+@query
+def boost_flag_repeated_cv(spark, sf):
+    """Ten shuffled folds under each of 100 seeds: the mean of the fold means."""
+    rows = _flagged(spark, sf)
+    fold, fits = validate.repeated_folds(rows, "doc_id", range(100, 200), FOLDS)
+    scores = boosting.boosted(rows, [FLAG], "doc_id", "label", fits, FLAG_BOOST, fold).scores()
+    return rounded(validate.repeated_report(scores, hard=False), "mean", "std", "low", "high", "best")
+
+
+@query
+def boost_flag_sweep(spark, sf):
+    """Ten shuffled folds under each of 200 seeds, all 2 000 fits together."""
+    rows = _flagged(spark, sf)
+    fold, fits = validate.repeated_folds(rows, "doc_id", range(300, 500), FOLDS)
+    scores = boosting.boosted(rows, [FLAG], "doc_id", "label", fits, FLAG_BOOST, fold).scores()
+    return rounded(validate.sweep_report(scores, hard=False), "mean", "std", "lower")
+
+
+@query
+def pooled_flag_cv(spark, sf):
+    """Contiguous folds over both sites, positives with weight 3."""
+    rows = pin(folds.contiguous_folds(_flagged(spark, sf), [F.col("doc_id").asc()], FOLDS))
+    fits = [Fit(f, tags={"fold": f}) for f in range(FOLDS)]
+    scores = boosting.boosted(rows, [FLAG], "doc_id", "label", fits, POOLED_FLAG, F.array("fold")).scores()
+    per_fold = metrics.auc(scores, "score", LABEL, ["fold"]).join(
+        scores.groupBy("fold").agg(F.avg("score").alias("score")), "fold")
+    return rounded(per_fold, "auc", "score")
+
+
+def _tree_nodes(spark, sf, params):
+    model = boosting.boosted(_three_flags(spark, sf), FLAGS, "line_id", "label", [Fit()], params)
+    return rounded(model.nodes().drop("tree", "cut"), "gain", "cover", "value")
+
+
+@query
+def boost_two_level_nodes(spark, sf):
+    """The node table of a tree of two levels, with the side of missing values."""
+    return _tree_nodes(spark, sf, TWO_LEVELS)
+
+
+@query
+def boost_pruned_nodes(spark, sf):
+    """The same under leaf penalties, with splits of small gain pruned."""
+    return _tree_nodes(spark, sf, PRUNED)
+
+
+@query
+def boost_two_level_importance(spark, sf):
+    """Splits and share of gain per feature, least used first."""
+    model = boosting.boosted(_three_flags(spark, sf), FLAGS, "line_id", "label", [Fit()], TWO_LEVELS)
+    counts = boosting.split_counts(model.nodes(), FLAGS)
+    place = F.row_number().over(Window.orderBy("n_splits", "feature"))
+    return rounded(counts.withColumn("place", place), "gain")
+
+
+@query
+def boost_two_level_scores(spark, sf):
+    rows = _three_flags(spark, sf).withColumn("row", F.to_json(F.struct(*FLAGS)))
+    scores = boosting.boosted(rows, FLAGS, "row", "label", [Fit(score_all=True)], TWO_LEVELS).scores()
+    flags = F.from_json("key", ", ".join(f"{f} int" for f in FLAGS))
+    return rounded(scores.select(flags.alias("f"), "score").select("f.*", "score"), "score").distinct()
+
+
+@query
+def l1_bias_flag_odds(spark, sf):
+    """L1 logistic regression whose intercept is penalised like the rest."""
+    model = L1Logistic(_flagged(spark, sf), [FLAG], "doc_id", "label", [Fit()])
+    return rounded(model.odds().drop("row_idx"), "intercept", "coefficient", "odds_ratio")
+
+
+@query
+def l1_bias_flag_folds(spark, sf):
+    """The coefficients of all folds, fitted in the same passes."""
+    rows = pin(folds.contiguous_folds(_flagged(spark, sf), [F.col("doc_id").asc()], FOLDS))
+    model = L1Logistic(rows, [FLAG], "doc_id", "label", [Fit(f, tags={"fold": f}) for f in range(FOLDS)], F.array("fold"))
+    accuracy = metrics.accuracy(model.scores(), "prediction", LABEL, ["fold"])
+    return rounded(model.odds().select("fold", "intercept", "coefficient").join(accuracy, "fold"), "intercept", "coefficient", "accuracy")

@@ -737,6 +737,174 @@ _put("gbt_flag_splits", """SELECT 'loud' AS feature, CAST(20 AS BIGINT) AS n_spl
 _put("gbt_flag_external", f"""SELECT round({AUC_OF_FLAG.format(score="any_value(f1 - f0)")}, 6) AS auc
   FROM flagged, tree20 WHERE site = 'B'""", LOUD_SQL, _boosted("site = 'A'"))
 
+# --- second-order trees on flags, step by step -------------------------------------------
+
+
+def _shrunk(g: str, alpha: float) -> str:
+    return f"(sign({g}) * greatest(abs({g}) - {alpha}, 0))"
+
+
+def _newton_steps(trees: int, rate: float, alpha: float, weight: float, least: float, reg: float = 1.0) -> str:
+    """CTE ``grown``: (…, f0, f1) after ``trees`` one-split trees over ``train``
+    (…, n0, p0, n1, p1), the counts of rows and positives per flag value."""
+    parts = ["s0 AS (SELECT *, 0.0::DOUBLE AS f0, 0.0::DOUBLE AS f1 FROM train)"]
+    for i in range(1, trees + 1):
+        sums = ", ".join(
+            f"(n{x} - p{x}) / (1 + exp(-f{x})) - {weight} * p{x} / (1 + exp(f{x})) AS g{x}, "
+            f"(n{x} - p{x} + {weight} * p{x}) / (1 + exp(-f{x})) / (1 + exp(f{x})) AS h{x}" for x in (0, 1))
+        score = [f"power({_shrunk(g, alpha)}, 2) / ({h} + {reg})" for g, h in (("g0", "h0"), ("g1", "h1"), ("(g0 + g1)", "h0 + h1"))]
+        step = ", ".join(
+            f"f{x} - {rate} * CASE WHEN splits THEN {_shrunk(f'g{x}', alpha)} / (h{x} + {reg}) "
+            f"ELSE {_shrunk('(g0 + g1)', alpha)} / (h0 + h1 + {reg}) END AS f{x}" for x in (0, 1))
+        parts.append(f"""s{i} AS (SELECT * EXCLUDE (g0, h0, g1, h1, splits, f0, f1), {step} FROM (
+  SELECT *, {score[0]} + {score[1]} - {score[2]} > 1e-6 AND h0 >= {least} AND h1 >= {least} AS splits
+  FROM (SELECT *, {sums} FROM s{i - 1})))""")
+    return ",\n".join([*parts, f"grown AS (SELECT * FROM s{trees})"])
+
+
+def _seeded(seeds: str, fold: str) -> str:
+    """CTEs ``seeded`` (seed, fold, loud, label) and ``train``, the counts of the
+    rows outside each fold."""
+    return f"""
+seeded AS (
+  SELECT seed, {fold} AS fold, loud, label FROM (
+    SELECT *, row_number() OVER (PARTITION BY seed ORDER BY md5(concat(CAST(doc_id AS VARCHAR), ':', seed)), doc_id) - 1 AS i,
+           count(*) OVER (PARTITION BY seed) AS n
+    FROM (SELECT *, unnest({seeds}) AS seed FROM flagged))
+),
+train AS (
+  SELECT seed, fold, CAST(sum(a1) OVER w - a1 AS DOUBLE) AS n1, CAST(sum(a0) OVER w - a0 AS DOUBLE) AS n0,
+         CAST(sum(b1) OVER w - b1 AS DOUBLE) AS p1, CAST(sum(b0) OVER w - b0 AS DOUBLE) AS p0
+  FROM (SELECT seed, fold, count(*) FILTER (loud = 1) AS a1, count(*) FILTER (loud = 0) AS a0,
+               count(*) FILTER (loud = 1 AND label = 1) AS b1, count(*) FILTER (loud = 0 AND label = 1) AS b0
+        FROM seeded GROUP BY seed, fold)
+  WINDOW w AS (PARTITION BY seed)
+)"""
+
+
+_FLAG_STEPS = _newton_steps(20, 0.1, 0.01, 1.0, 4.0)
+_FOLD_AUC = f"""SELECT seed, fold, {AUC_OF_FLAG.format(score="any_value(f1 - f0)")} AS auc
+  FROM seeded JOIN grown USING (seed, fold) GROUP BY seed, fold"""
+_SUMMARY = """SELECT count(auc) AS n, round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) AS std,
+  round(avg(auc) - stddev_pop(auc), 6) AS low, round(avg(auc) + stddev_pop(auc), 6) AS high, round(max(auc), 6) AS best"""
+_put("boost_flag_holdout", f"""{_SUMMARY} FROM (
+  SELECT seed, (avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FILTER (label = 1) + avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FILTER (label = 0)) / 2 AS auc
+  FROM (SELECT seed, label, (CASE loud WHEN 1 THEN f1 ELSE f0 END > 0) = (label = 1) AS hit FROM seeded JOIN grown USING (seed, fold)
+        WHERE fold = 0) GROUP BY seed)""",
+     LOUD_SQL, _seeded("range(1, 100)", "CASE WHEN i < ceil(0.3 * n) THEN 0 ELSE 1 END"), _FLAG_STEPS)
+_put("boost_flag_repeated_cv", f"{_SUMMARY} FROM (SELECT seed, avg(auc) AS auc FROM ({_FOLD_AUC}) GROUP BY seed)",
+     LOUD_SQL, _seeded("range(100, 200)", FOLD.format(k=10)), _FLAG_STEPS)
+_put("boost_flag_sweep", f"""SELECT seed, round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) AS std,
+  round(avg(auc) - stddev_pop(auc), 6) AS lower FROM ({_FOLD_AUC}) GROUP BY seed""",
+     LOUD_SQL, _seeded("range(300, 500)", FOLD.format(k=10)), _FLAG_STEPS)
+_ONE_SEED = f"""
+seeded AS (SELECT 0 AS seed, fold, loud, label FROM (
+  SELECT *, {FOLD.format(k=10)} AS fold FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM flagged))),
+train AS""" + _seeded("[0]", "0").split("train AS")[1]
+_put("pooled_flag_cv", f"""SELECT fold, round({AUC_OF_FLAG.format(score="any_value(f1 - f0)")}, 6) AS auc,
+  round(avg(CASE loud WHEN 1 THEN f1 ELSE f0 END), 6) AS score
+  FROM seeded JOIN grown USING (seed, fold) GROUP BY fold""",
+     LOUD_SQL, _ONE_SEED, _newton_steps(20, 0.1, 0.0, 3.0, 1.0))
+
+
+def _two_levels(rate: float, gamma: float, alpha: float, reg: float) -> str:
+    """CTE ``tree``: the nodes of one tree of depth two on three flags.  A split
+    sends 0 left and 1 right, and missing values to either side, or the missing
+    values alone to the right."""
+
+    def score(g: str, h: str) -> str:
+        return f"power({_shrunk(g, alpha)}, 2) / ({h} + {reg})"
+
+    def level(k: int) -> str:
+        side = "CASE WHEN kind = 2 THEN v IS NULL WHEN v IS NULL THEN kind = 1 ELSE v = 1 END"
+        return f"""
+long{k} AS (SELECT node, f, [filled, taxed, many][f + 1] AS v, g, h FROM r{k}, (SELECT unnest(range(3)) AS f)),
+cell{k} AS (
+  SELECT node, f, {", ".join(f"coalesce(sum({x}) FILTER (v = 0), 0) AS {x}0, coalesce(sum({x}) FILTER (v = 1), 0) AS {x}1, "
+                             f"coalesce(sum({x}) FILTER (v IS NULL), 0) AS {x}m" for x in "gh")}
+  FROM long{k} GROUP BY node, f
+),
+cand{k} AS (
+  SELECT node, f, 0 AS kind, g0 + gm AS gl, h0 + hm AS hl, g1 AS gr, h1 AS hr FROM cell{k}
+  UNION ALL SELECT node, f, 1, g0, h0, g1 + gm, h1 + hm FROM cell{k}
+  UNION ALL SELECT node, f, 2, g0 + g1, h0 + h1, gm, hm FROM cell{k}
+),
+best{k} AS (
+  SELECT *, {score("gl", "hl")} + {score("gr", "hr")} - {score("(gl + gr)", "hl + hr")} AS gain FROM cand{k}
+  WHERE hl >= 1 AND hr >= 1 QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, f, kind) = 1 AND gain > 1e-6
+),
+r{k + 1} AS (
+  SELECT r.* EXCLUDE (node), r.node AS parent, CASE WHEN b.node IS NULL THEN NULL
+           ELSE 2 * r.node + 1 + CAST(CASE f WHEN 0 THEN {side.replace(" v", " filled")} WHEN 1 THEN {side.replace(" v", " taxed")}
+           ELSE {side.replace(" v", " many")} END AS INTEGER) END AS node
+  FROM (SELECT * FROM r{k} WHERE node IS NOT NULL) r LEFT JOIN best{k} b USING (node)
+)"""
+
+    first = level(0).replace("r.* EXCLUDE (node), r.node AS parent", "r.* EXCLUDE (node)")
+    second = level(1).replace("r.* EXCLUDE (node), r.node AS parent", "r.* EXCLUDE (node)")
+    return f"""
+three AS (
+  SELECT l_orderkey * 8 + l_linenumber AS line_id, CAST(l_returnflag = 'R' AS INTEGER) AS label,
+         CAST(l_linestatus = 'F' AS INTEGER) AS filled, CASE WHEN l_discount > 0 THEN CAST(l_tax > 0.04 AS INTEGER) END AS taxed,
+         CAST(l_quantity > 25 AS INTEGER) AS many FROM lineitem
+),
+r0 AS (SELECT *, 0 AS node, 0.5 - label AS g, 0.25 AS h FROM three),{first},{second},
+places AS (SELECT node, g, h FROM r0 UNION ALL SELECT node, g, h FROM r1 UNION ALL SELECT node, g, h FROM r2),
+sums AS (SELECT node, sum(g) AS g, sum(h) AS h FROM places WHERE node IS NOT NULL GROUP BY node),
+splits AS (SELECT node, f, kind, gain FROM best0 UNION ALL SELECT node, f, kind, gain FROM best1),
+low AS (SELECT * FROM splits WHERE node = 0 OR gain >= {gamma}),
+held AS (SELECT * FROM low WHERE node > 0 OR gain >= {gamma} OR (SELECT count(*) FROM low WHERE node > 0) > 0),
+tree AS (
+  SELECT s.node, CASE h.f WHEN 0 THEN 'filled' WHEN 1 THEN 'taxed' WHEN 2 THEN 'many' END AS feature, h.kind, h.gain, s.h AS cover,
+         CASE WHEN h.node IS NULL THEN -{rate} * {_shrunk("s.g", alpha)} / (s.h + {reg}) ELSE 0 END AS value
+  FROM sums s LEFT JOIN held h USING (node)
+  WHERE s.node = 0 OR (s.node - 1) // 2 IN (SELECT node FROM held)
+)"""
+
+
+_NODES = """SELECT node, feature, coalesce(kind = 0, false) AS missing_left, round(coalesce(gain, 0), 6) AS gain, round(cover, 6) AS cover,
+  round(value, 6) AS value FROM tree"""
+_put("boost_two_level_nodes", _NODES, _two_levels(0.3, 0.0, 0.0, 1.0))
+_put("boost_pruned_nodes", _NODES, _two_levels(0.3, 1.0, 0.01, 1.0))
+_put("boost_two_level_importance", """SELECT name AS feature, n_splits, round(g / sum(g) OVER (), 6) AS gain,
+  CAST(row_number() OVER (ORDER BY n_splits, name) AS INTEGER) AS place
+  FROM (SELECT name, count(feature) AS n_splits, coalesce(sum(gain), 0) AS g
+        FROM (SELECT unnest(['filled', 'taxed', 'many']) AS name) LEFT JOIN tree ON feature = name GROUP BY name)""",
+     _two_levels(0.3, 0.0, 0.0, 1.0))
+_put("boost_two_level_scores", """SELECT DISTINCT filled, taxed, many, round(value, 6) AS score FROM (
+    SELECT filled, taxed, many, node FROM r0 UNION ALL SELECT filled, taxed, many, node FROM r1
+    UNION ALL SELECT filled, taxed, many, node FROM r2)
+  JOIN tree USING (node) WHERE feature IS NULL""", _two_levels(0.3, 0.0, 0.0, 1.0))
+
+
+def _bias_rates(source: str, by: str = "") -> str:
+    """CTE ``fitted`` (…, b, w): intercept and coefficient on one flag, both
+    penalised.  Where a coefficient is not zero its gradient is its sign, so
+    each pair of signs gives rates; the one pair that they agree with is it."""
+    keep = f"{by}, " if by else ""
+    counts = _rates(source, by).split("moved AS")[0].rstrip().rstrip(",")
+    return counts + f""",
+pairs AS (SELECT *, unnest([-1, 0, 1]) AS sb FROM counts),
+signs AS (SELECT *, unnest([-1, 0, 1]) AS sw FROM pairs),
+tried AS (
+  SELECT *, CASE WHEN sb = 0 THEN 0.5 WHEN sw = 0 THEN (p0 + p1 - sb) / (n0 + n1) ELSE (p0 - sb + sw) / n0 END AS r0,
+         CASE WHEN sw <> 0 THEN (p1 - sw) / n1 WHEN sb = 0 THEN 0.5 ELSE (p0 + p1 - sb) / (n0 + n1) END AS r1
+  FROM signs
+),
+fitted AS (
+  SELECT {keep}ln(r0 / (1 - r0)) AS b, ln(r1 / (1 - r1)) - ln(r0 / (1 - r0)) AS w
+  FROM (SELECT * FROM tried WHERE r0 > 0 AND r0 < 1 AND r1 > 0 AND r1 < 1)
+  WHERE sign(round(ln(r0 / (1 - r0)), 12)) = sb AND sign(round(ln(r1 / (1 - r1)) - ln(r0 / (1 - r0)), 12)) = sw
+    AND abs(n0 * r0 + n1 * r1 - p0 - p1) <= 1 + 1e-9 AND abs(n1 * r1 - p1) <= 1 + 1e-9
+)"""
+
+
+_put("l1_bias_flag_odds", """SELECT 'loud' AS feature, round(b, 6) AS intercept, round(w, 6) AS coefficient,
+  round(exp(w), 6) AS odds_ratio FROM fitted""", LOUD_SQL, _bias_rates("flagged"))
+_put("l1_bias_flag_folds", """SELECT fold, round(any_value(b), 6) AS intercept, round(any_value(w), 6) AS coefficient,
+  round(avg(CASE WHEN (b + w * loud > 0) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+  FROM folded JOIN fitted ON fold = held GROUP BY fold""", LOUD_SQL, FOLDED_SQL, _bias_rates("train", "held"))
+
 # --- files, views, reports -------------------------------------------------------------
 
 _put("csv_indexed", """SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row_idx, s_suppkey, s_name, s_acctbal

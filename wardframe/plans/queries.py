@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from wardframe.functions.codemap import capped, differs, flag, is_surgical, label_of, prefix_match
 from wardframe.functions.times import date_years_between, hours, seconds_between
 from wardframe.operators import cohort as co
-from wardframe.operators import folds, metrics, models, prep, profile, tableone, validate
+from wardframe.operators import boosting, folds, metrics, models, prep, profile, tableone, validate
 from wardframe.operators.flags import (
     FlagSource, any_event_flag, culture_flag, duration_flag, event_rate, ids_with, intake_flag, text_rules,
 )
+from wardframe.operators.fits import Fit
 from wardframe.operators.nearest import interval_join
 from wardframe.operators.ordered import exact_quantiles, first_rows, ranked, row_index
+from wardframe.operators.penalised import L1Logistic
 from wardframe.plans import clinical
 from wardframe.plans import standins as st
 from wardframe.session import pin
@@ -589,99 +591,112 @@ def tableone_report(spark, sf):
 # The studies' folds, seeds and settings of the trees.
 FOLDS = 10
 HOLDOUT_SEEDS = range(1, 100)
+REPEAT_SEEDS = range(100, 200)
 SWEEP_SEEDS = range(300, 500)
 MODEL_COLUMNS = [*st.DOC_FEATURES, "toxic"]
-# trees cannot take a missing value, so they get a flag beside the median
-TREE_COLUMNS = [*MODEL_COLUMNS, *[f"{c}_missing" for c in GAPPY]]
+
+
+def _scaled(spark, sf):
+    return prep.convert_units(pin(st.model_table(spark, sf)), {"n_chars": (0.001, 0.0), "n_words": (0.001, 0.0)})
 
 
 def _prepared(spark, sf):
-    scaled = prep.convert_units(pin(st.model_table(spark, sf)), {"n_chars": (0.001, 0.0), "n_words": (0.001, 0.0)})
-    return prep.fill_median(prep.with_missing_flags(scaled, GAPPY), GAPPY)
+    """Complete rows: the gaps filled by the columns' medians."""
+    return prep.fill_median(_scaled(spark, sf), GAPPY)
 
 
-def _vectors(spark, sf, columns=MODEL_COLUMNS, weight=1.0, keep=("doc_id",)):
-    return models.assemble(_prepared(spark, sf), columns, keep=keep, positive_weight=weight)
+def _folded(rows):
+    """The rows with their contiguous fold, and the fits of all folds."""
+    folded = pin(folds.contiguous_folds(rows, [F.col("doc_id").asc()], FOLDS))
+    return folded, F.array("fold"), [Fit(f, tags={"fold": f}) for f in range(FOLDS)]
 
 
-def _logistic(train):
-    return models.l1_logistic(train.count())
+def _logistic(rows, fits, folds=None):
+    return L1Logistic(rows, MODEL_COLUMNS, "doc_id", "label", fits, folds)
 
 
-def _boosted(params):
-    return lambda train: models.boosted_trees(params, train.sparkSession)
+def _boosted(rows, fits, params, folds=None):
+    """Trees take the rows as they are: a missing value has its own side."""
+    return boosting.boosted(rows, MODEL_COLUMNS, "doc_id", "label", fits, params, folds)
 
 
 @query
 def l1_logistic_odds(spark, sf):
-    rows = pin(_vectors(spark, sf))
-    model = _logistic(rows).fit(rows)
-    return models.odds_ratios(model, MODEL_COLUMNS, spark)
+    return _logistic(_prepared(spark, sf), [Fit()]).odds().drop("intercept")
 
 
 @query
 def l1_logistic_accuracy(spark, sf):
-    rows = folds.contiguous_folds(_vectors(spark, sf), [F.col("doc_id").asc()], FOLDS)
-    return validate.accuracy_report(validate.cross_validate(rows, FOLDS, _logistic), ["fold"])
+    rows, fold, fits = _folded(_prepared(spark, sf))
+    return validate.accuracy_report(_logistic(rows, fits, fold).scores(), ["fold"])
 
 
 @query
 def gbt_cv_auc(spark, sf):
-    rows = folds.contiguous_folds(_vectors(spark, sf, TREE_COLUMNS), [F.col("doc_id").asc()], FOLDS)
-    scores = validate.cross_validate(rows, FOLDS, _boosted(models.SITE_A))
-    return validate.auc_report(scores, ["fold"], hard=True)
+    rows, fold, fits = _folded(_scaled(spark, sf))
+    return validate.auc_report(_boosted(rows, fits, boosting.SITE_A, fold).scores(), ["fold"], hard=True)
 
 
 @query
 def gbt_split_importance(spark, sf):
-    rows = pin(_vectors(spark, sf, TREE_COLUMNS))
-    model = models.boosted_trees(models.SITE_A, spark).fit(rows)
-    return models.split_counts(model, TREE_COLUMNS, spark)
+    model = _boosted(_scaled(spark, sf), [Fit()], boosting.SITE_A)
+    return boosting.split_counts(model.nodes(), MODEL_COLUMNS)
+
+
+def _site_scores(spark, sf):
+    """Scores of site B by a model of site A."""
+    rows = pin(_prepared(spark, sf))
+    return _logistic(rows, [Fit(1)], F.array(flag(F.col("site") == "B"))).scores()
 
 
 @query
 def external_validation(spark, sf):
     """Fit on site A, exact AUC on site B."""
-    rows = pin(_vectors(spark, sf, keep=("doc_id", "site")))
-    a, b = (rows.where(F.col("site") == s) for s in "AB")
-    return metrics.auc(validate.external_validation(a, b, _logistic), "score", "label")
+    return metrics.auc(_site_scores(spark, sf), "score", "label")
 
 
 @query
 def repeated_external(spark, sf):
-    rows = pin(_vectors(spark, sf, keep=("doc_id", "site")))
-    a, b = (rows.where(F.col("site") == s) for s in "AB")
-    scores = validate.repeated_external(a, b, "doc_id", range(1, 100), 0.2, _logistic)
-    return validate.auc_report(scores, ["seed"])
+    scores = pin(_site_scores(spark, sf))
+    tested = validate.holdout_rows(scores, "key", HOLDOUT_SEEDS, 0.2)
+    return validate.auc_report(tested, ["seed"])
 
 
 @query
 def pooled_cv(spark, sf):
-    rows = folds.contiguous_folds(_vectors(spark, sf, TREE_COLUMNS, weight=3.0), [F.col("doc_id").asc()], FOLDS)
-    scores = validate.cross_validate(rows, FOLDS, _boosted(models.POOLED))
-    return validate.auc_report(scores, ["fold"])
+    rows, fold, fits = _folded(_scaled(spark, sf))
+    return validate.auc_report(_boosted(rows, fits, boosting.POOLED, fold).scores(), ["fold"])
 
 
 @query
 def repeated_holdout(spark, sf):
-    rows = _vectors(spark, sf, TREE_COLUMNS)
-    scores = validate.repeated_holdout(rows, "doc_id", HOLDOUT_SEEDS, 0.3, _boosted(models.SITE_A))
-    return validate.auc_report(scores, ["seed"], hard=True)
+    """The 99 holdouts, all grown together."""
+    rows = pin(_scaled(spark, sf))
+    fold, fits = validate.repeated_holdouts(rows, "doc_id", HOLDOUT_SEEDS, 0.3)
+    return validate.auc_report(_boosted(rows, fits, boosting.SITE_A, fold).scores(), ["seed"], hard=True)
+
+
+@query
+def repeated_cv(spark, sf):
+    """Ten shuffled folds under each of 100 seeds."""
+    rows = pin(_scaled(spark, sf))
+    fold, fits = validate.repeated_folds(rows, "doc_id", REPEAT_SEEDS, FOLDS)
+    return validate.repeated_report(_boosted(rows, fits, boosting.SITE_B_FOLDS, fold).scores())
 
 
 @query
 def seed_sweep(spark, sf):
-    rows = _vectors(spark, sf, TREE_COLUMNS)
-    scores = validate.repeated_cross_validation(rows, "doc_id", SWEEP_SEEDS, FOLDS, _boosted(models.SWEEP))
-    return validate.sweep_report(scores)
+    """Ten shuffled folds under each of 200 seeds."""
+    rows = pin(_scaled(spark, sf))
+    fold, fits = validate.repeated_folds(rows, "doc_id", SWEEP_SEEDS, FOLDS)
+    return validate.sweep_report(_boosted(rows, fits, boosting.SWEEP, fold).scores())
 
 
 @query
 def odds_pvalue_report(spark, sf):
     """Odds ratios beside the p-values of both sites' descriptive tables."""
     rows = pin(_prepared(spark, sf))
-    vectors = models.assemble(rows, MODEL_COLUMNS)
-    odds = models.odds_ratios(_logistic(vectors).fit(vectors), MODEL_COLUMNS, spark)
+    odds = _logistic(rows, [Fit()]).odds()
     tables = {
         s.lower(): tableone.table_one(rows.where(F.col("site") == s), MODEL_COLUMNS, ["toxic"], "label") for s in "AB"
     }
