@@ -1,5 +1,6 @@
 """Quality rules, chats, licenses, packing, NN-descent and the pipeline."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -67,12 +68,13 @@ def test_chat_round_trip(spark):
     rows = [(c, t, role, HOSTILE[(c + t) % len(HOSTILE)]) for c in range(len(HOSTILE)) for t, role in enumerate(
         ["system", "user", "assistant", "assistant", None, "tool [ROLE", "user"])]
     rows += [(None, 0, "user", "q"), (50, 1, "user", "b"), (50, 1, "assistant", "a"), (50, None, "user", "first"), (50, 1, "user", "b")]
+    rows += [(55, -40, "user", "low"), (55, None, "user", "first"), (55, -1, "assistant", "late")]
     rows += [(60, t, "user" if t % 2 == 0 else "assistant", f"turn {t}") for t in range(200)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("x"))
     done = format_chats(frame)
     got = {r.conv_id: r for r in done.withColumn("turns", parse(F.col("formatted"))).collect()}
     want = defaultdict(list)
-    for c, t, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, -1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
+    for c, t, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
         want[c].append((role or "", text or ""))
     assert {c: [tuple(t) for t in r.turns] for c, r in got.items()} == dict(want)
     assert all(r.identical for r in got.values())
@@ -85,9 +87,28 @@ def test_chat_round_trip(spark):
         assert at == len(r.formatted)
         assert "".join(re.sub(r"([\[<])\\(\\*)(?=/?INST\]|/?s>|</?SYS>>|/?ROLE)", r"\1\2", u) for u in under) == "".join(
             text for role, text in want[c] if role == "assistant")
+    digests = {r.conv_id: (r.loss_chars, r.loss_sha256) for r in read_back(done).collect()}
+    for c, turns in want.items():
+        loss = "".join(text for role, text in turns if role == "assistant")
+        assert digests[c] == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    # the digests follow the mask
+    none = F.transform("mask", lambda m: F.struct((m["before"] + m["under"]).alias("before"), F.lit(0).alias("under"), m["after"].alias("after")))
+    assert {r.loss_chars for r in read_back(done.withColumn("mask", none)).collect()} == {0}
+    short = done.withColumn("mask", F.transform("mask", lambda m: m.withField("under", m["under"] + 1)))
+    with pytest.raises(Exception, match="does not cover"):
+        read_back(short).collect()
     assert read_back(done.where("false")).count() == 0
 
 
+def test_chats_that_do_not_come_back_fail(spark, monkeypatch):
+    from wardframe.llm import chat
+
+    monkeypatch.setattr(chat, "ESCAPE", ("no such text", ""))
+    frame = spark.createDataFrame([(1, 0, "user", "[/INST] [INST] x")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="did not come back"):
+        chat.read_back(chat.format_chats(frame)).collect()
+
+
 def test_licenses(spark):
     mit, apache = list(NOTICES)[0], list(NOTICES)[1]
     changed = mit.split()

@@ -9,7 +9,8 @@ between the marks of its role:
 The grammar is regular, so one pattern parses a text deterministically.  A
 block of turns is first rendered as it is and parsed again; if the turns that
 come back differ from the source, its control strings are escaped and the
-comparison repeated.  The escape puts one backslash after the first character
+comparison repeated; a block that is not identical then fails the job.  The
+escape puts one backslash after the first character
 of every control string, however many stand there already; reading removes
 one.  Only DataFrame and SQL functions are used.
 
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_TURNS = 32
+#: The block of turns without a number, before every other one.
+FIRST_BLOCK = -(2**62)
 
 #: What follows the first character of a control string.
 CONTROL = r"(?=/?INST\]|/?s>|</?SYS>>|/?ROLE)"
@@ -125,7 +128,7 @@ def format_chats(
     empty = F.lit("")
     rows = conversations.select(
         F.col(conv_col).alias("conv"),
-        F.floor(F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)) / BLOCK_TURNS).alias("block"),
+        F.coalesce(F.floor(F.col(turn_col).cast("long") / BLOCK_TURNS), F.lit(FIRST_BLOCK)).alias("block"),
         F.struct(
             F.col(turn_col).cast("long").alias("turn"),
             F.coalesce(F.col(role_col), empty).alias("role"),
@@ -140,10 +143,9 @@ def format_chats(
         F.max("b.escaped").alias("escaped"),
         F.min("b.identical").alias("identical"),
     )
-    text = whole.select(
-        F.col("conv").alias(conv_col),
-        F.array_join(F.transform("blocks", lambda b: b["text"]), "").alias("formatted"), "escaped", "identical",
-    )
+    joined = F.array_join(F.transform("blocks", lambda b: b["text"]), "")
+    proved = F.when(F.col("identical"), joined).otherwise(F.raise_error(F.lit("a conversation did not come back from its text")))
+    text = whole.select(F.col("conv").alias(conv_col), proved.alias("formatted"), "escaped", "identical")
 
     def masked(found: Column) -> Column:
         def parts(m: Column) -> Column:
@@ -160,14 +162,27 @@ def format_chats(
     return text.withColumn("mask", F.transform(pieces(F.col("formatted")), masked))
 
 
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The runs of a formatted text that lie under its loss mask, unescaped.
+    The mask's lengths have to cover the text turn by turn."""
+    def cut(found: Column, m: Column) -> Column:
+        whole = F.length(found) == m["before"] + m["under"] + m["after"]
+        run = unescaped(F.substring(found, m["before"] + 1, m["under"]))
+        return F.when(whole, run).otherwise(F.raise_error(F.lit("a loss mask does not cover its text")))
+
+    return F.zip_with(pieces(formatted), mask, cut)
+
+
 def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """Counts and digests of the turns that a formatted text gives back."""
-    read = formatted.select(conv_col, "formatted", parse(F.col("formatted")).alias("turns"))
+    """Counts and digests of the turns that a formatted text gives back, and of
+    what its loss mask cuts out of it."""
+    read = formatted.select(
+        conv_col, "formatted", parse(F.col("formatted")).alias("turns"),
+        F.array_join(under_mask(F.col("formatted"), F.col("mask")), "").alias("loss"),
+    )
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    own = F.filter("turns", lambda t: t["role"] == "assistant")
     texts = read.select(
-        conv_col, "formatted", F.size("turns").cast("long").alias("n_turns"), F.array_join(lines, "").alias("all"),
-        F.array_join(F.transform(own, lambda t: t["text"]), "").alias("loss"),
+        conv_col, "formatted", F.size("turns").cast("long").alias("n_turns"), F.array_join(lines, "").alias("all"), "loss",
     )
     return texts.select(
         conv_col, "n_turns", F.sha2("all", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
