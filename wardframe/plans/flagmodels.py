@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wardframe.operators import boosting, folds, metrics, models, validate
+from wardframe.operators import boosting, folds, metrics, models, tableone, validate
 from wardframe.operators.fits import Fit
 from wardframe.operators.models import LABEL
 from wardframe.operators.penalised import L1Logistic
@@ -222,3 +222,12 @@ def l1_bias_flag_folds(spark, sf):
     model = L1Logistic(rows, [FLAG], "doc_id", "label", [Fit(f, tags={"fold": f}) for f in range(FOLDS)], F.array("fold"))
     accuracy = metrics.accuracy(model.scores(), "prediction", LABEL, ["fold"])
     return rounded(model.odds().select("fold", "intercept", "coefficient").join(accuracy, "fold"), "intercept", "coefficient", "accuracy")
+
+
+@query
+def odds_pvalue_flag(spark, sf):
+    """The odds ratio beside the p-values of both sites' descriptive tables."""
+    rows = _flagged(spark, sf)
+    odds = L1Logistic(rows, [FLAG], "doc_id", "label", [Fit()]).odds()
+    tables = {s.lower(): tableone.table_one(rows.where(F.col("site") == s), [FLAG], [FLAG], "label") for s in "AB"}
+    return rounded(models.odds_report(odds, tables), "odds_ratio", "pval_a", "pval_b")

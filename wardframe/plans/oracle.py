@@ -401,6 +401,18 @@ _put("chi2_stat", """SELECT variable,
     FROM cells JOIN (SELECT variable, count(DISTINCT level) AS k FROM cells GROUP BY variable) USING (variable)
   ) GROUP BY variable""", LINES)
 
+def _tail(x: str) -> str:
+    """Probability of a chi-squared value above x, one degree of freedom: the
+    series of the error function, which has eight digits where p is above 1e-8."""
+    term = f"power(-1, n) * power(sqrt({x} / 2), 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))"
+    return f"CASE WHEN {x} > 32 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(90), lambda n: {term})) END"
+
+
+_put("tableone_pvalues", f"""SELECT variable || ' (median [IQR])' AS features, round({_tail("h")}, 6) AS pval, 'Kruskal-Wallis' AS test
+  FROM ({ORACLE["kruskal_h"].split(LINES)[1].replace(", 4)", ", 12)")})
+  UNION ALL SELECT variable || ' (n (%))', round({_tail("chi2")}, 6), 'Chi-squared'
+  FROM ({ORACLE["chi2_stat"].split(LINES)[1].replace(", 4)", ", 12)")}) WHERE variable = 'returned'""", LINES)
+
 # --- the whole clinical pipeline over the stand-ins -----------------------------
 
 
@@ -905,6 +917,31 @@ _put("l1_bias_flag_folds", """SELECT fold, round(any_value(b), 6) AS intercept,
   round(avg(CASE WHEN (b + w * loud > 0) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
   FROM folded JOIN fitted ON fold = held GROUP BY fold""", LOUD_SQL, FOLDED_SQL, _bias_rates("train", "held"))
 
+_SITE_TABLE = """
+sites AS (
+  SELECT site, count(*) FILTER (loud = 0 AND label = 0) AS a, count(*) FILTER (loud = 0 AND label = 1) AS b,
+         count(*) FILTER (loud = 1 AND label = 0) AS c, count(*) FILTER (loud = 1 AND label = 1) AS d, count(*) AS n
+  FROM flagged GROUP BY site
+),
+tests AS (
+  SELECT *, least(a + b, c + d) * least(a + c, b + d) / CAST(n AS DOUBLE) AS small,
+         n * power(greatest(abs(a * d - b * c) - n / 2, 0), 2) / nullif(CAST((a + b) * (c + d) AS DOUBLE) * (a + c) * (b + d), 0) AS chi2
+  FROM sites
+),
+choices AS (
+  SELECT site, small, chi2, x = a AS own,
+         lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(n + 1)
+           - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS lp
+  FROM (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM tests)
+),
+"""
+_put("odds_pvalue_flag", f"""SELECT 'loud' AS feature, round(exp(w), 6) AS odds_ratio, round(a.p, 6) AS pval_a, round(b.p, 6) AS pval_b
+  FROM fitted LEFT JOIN exact a ON a.site = 'A' LEFT JOIN exact b ON b.site = 'B'""", LOUD_SQL, _bias_rates("flagged"),
+     _SITE_TABLE + f"""exact AS (
+  SELECT site, CASE WHEN any_value(small) = 0 THEN NULL WHEN any_value(small) < 5 THEN least(1, sum(exp(lp)) FILTER (lp <= top + 1e-7)) ELSE any_value({_tail("chi2")}) END AS p
+  FROM (SELECT *, max(lp) FILTER (own) OVER (PARTITION BY site) AS top FROM choices) GROUP BY site
+)""")
+
 # --- files, views, reports -------------------------------------------------------------
 
 _put("csv_indexed", """SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row_idx, s_suppkey, s_name, s_acctbal

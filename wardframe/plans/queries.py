@@ -586,6 +586,14 @@ def tableone_report(spark, sf):
     return tableone.table_one(rows, [*st.DOC_FEATURES, "toxic", "site"], ["toxic", "site"], "label")
 
 
+@query
+def tableone_pvalues(spark, sf):
+    """The p-values of the report's tests."""
+    rows = _lines_by_outcome(spark, sf).withColumn("returned", flag(F.col("l_returnflag") == "R"))
+    report = tableone.table_one(rows, [*LINE_CONTINUOUS, "returned"], ["returned"], "outcome")
+    return rounded(report.where(F.col("test").isNotNull()).select("features", "pval", "test"), "pval")
+
+
 # --- models ----------------------------------------------------------------------------
 
 # The studies' folds, seeds and settings of the trees.
