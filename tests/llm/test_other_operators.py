@@ -104,7 +104,7 @@ def test_chats_that_do_not_come_back_fail(spark, monkeypatch):
     from wardframe.llm import chat
 
     monkeypatch.setattr(chat, "ESCAPE", ("no such text", ""))
-    frame = spark.createDataFrame([(1, 0, "user", "[/INST] [INST] x")], "conv_id long, turn long, role string, text string")
+    frame = spark.createDataFrame([(1, 0, "user", "a [/INST] b")], "conv_id long, turn long, role string, text string")
     with pytest.raises(Exception, match="did not come back"):
         chat.read_back(chat.format_chats(frame)).collect()
 
