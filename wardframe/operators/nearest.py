@@ -30,8 +30,6 @@ def _neighbours(
     kind = events.schema["item"].dataType
     wanted = F.explode(F.array(*[F.lit(i).cast(kind) for i in items]))
     marks = anchors.select(*keys, at.alias("t"), payload.alias("anchor"), wanted.alias("item"))
-    # equal times collapse to their largest value
-    events = events.groupBy(*keys, "item", "time").agg(F.max("value").alias("value"))
     run = events.select(*keys, F.col("time").alias("t"), "item", "value").unionByName(
         marks, allowMissingColumns=True
     )
@@ -62,8 +60,9 @@ def _carry(near: DataFrame, run: DataFrame, keys: Sequence[str], group: Sequence
     """Fill anchors that found nothing inside their cell from the nearest cell
     of the same key that holds an event (one summary row per cell)."""
     ends = run.groupBy(*group).agg(
-        F.expr("max_by(event, struct(kind = 0, t)) FILTER (WHERE kind = 0) AS final"),
-        F.expr("min_by(event, t) FILTER (WHERE kind = 0 AND t IS NOT NULL) AS first"),
+        # of equal times the largest value, as in the windows
+        F.expr("max_by(event, struct(t, value)) FILTER (WHERE kind = 0) AS final"),
+        F.expr("min_by(event, struct(t, value IS NULL, -value)) FILTER (WHERE kind = 0 AND t IS NOT NULL) AS first"),
     )
     onward = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(*EARLIER)
     back = Window.partitionBy(*keys).orderBy(F.col(SLICE).desc()).rowsBetween(*EARLIER)

@@ -944,6 +944,18 @@ _put("odds_pvalue_flag", f"""SELECT 'loud' AS feature, round(exp(w), 6) AS odds_
 
 # --- files, views, reports -------------------------------------------------------------
 
+_put("labs_from_store", ORACLE["labs_24h_pivot"])
+_put("views_refreshed", f"""SELECT subject_id, hadm_id, icustay_id, mort_icu, mort_hosp, mort_30, click, view, error, purchase,
+  n_labs, last_lab
+  FROM (SELECT subject_id, hadm_id, icustay_id, mort_icu, mort_hosp, mort_30, {LAB_PIVOT}
+    FROM (SELECT *, dense_rank() OVER (PARTITION BY subject_id, hadm_id, icustay_id, label
+            ORDER BY abs(date_diff('microsecond', intime, charttime)) ASC NULLS LAST) AS r FROM lab_pairs)
+    WHERE r = 1 GROUP BY subject_id, hadm_id, icustay_id, mort_icu, mort_hosp, mort_30)
+  LEFT JOIN (SELECT subject_id, hadm_id, count(*) AS n_labs, max(charttime) AS last_lab FROM labevents GROUP BY 1, 2)
+    USING (subject_id, hadm_id)""", EVENT_SQL, EVENT_LABELS)
+_put("sketch_bounds", """SELECT variable, count(*) AS n, count(DISTINCT v) AS n_distinct, true AS ranks_hold, true AS counts_hold
+  FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_tax']) AS variable, unnest([l_quantity, l_extendedprice, l_tax]) AS v FROM lineitem)
+  WHERE v IS NOT NULL GROUP BY variable""")
 _put("csv_indexed", """SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row_idx, s_suppkey, s_name, s_acctbal
   FROM supplier""")
 _put("csv_named", "SELECT s_suppkey AS key, s_name AS name, round(s_acctbal, 2) AS balance FROM supplier")

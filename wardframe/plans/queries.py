@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from wardframe.functions.codemap import capped, differs, flag, is_surgical, label_of, prefix_match
 from wardframe.functions.times import date_years_between, hours, seconds_between
 from wardframe.operators import cohort as co
-from wardframe.operators import boosting, folds, metrics, models, prep, profile, tableone, validate
+from wardframe.operators import boosting, folds, metrics, models, prep, profile, sketches, tableone, validate
 from wardframe.operators.flags import (
     FlagSource, any_event_flag, culture_flag, duration_flag, event_rate, ids_with, intake_flag, text_rules,
 )
 from wardframe.operators.fits import Fit
 from wardframe.operators.nearest import interval_join
-from wardframe.operators.ordered import exact_quantiles, first_rows, ranked, row_index
+from wardframe.operators.ordered import exact_quantiles, first_rows, long_values, ranked, row_index
 from wardframe.operators.penalised import L1Logistic
 from wardframe.plans import clinical
 from wardframe.plans import standins as st
@@ -466,6 +466,25 @@ def column_quantiles(spark, sf):
     return rounded(quantiles, "q0", "q1", "q2")
 
 
+@query
+def sketch_bounds(spark, sf):
+    """Sketches per flag and number of the lines, merged: are quantiles and distinct
+    counts within the stated errors of the exact ones?"""
+    lines = st.table(spark, sf, "lineitem")
+    columns, probs = ["l_quantity", "l_extendedprice", "l_tax"], [0.1, 0.5, 0.9]
+    found = sketches.merged_sketches(sketches.column_sketches(lines, columns, ["l_returnflag", "l_linenumber"]))
+    marked = pin(sketches.sketched_distincts(sketches.sketched_quantiles(found, probs)))
+    values = long_values(lines, columns).join(F.broadcast(marked.select("variable", "q0", "q1", "q2")), "variable")
+    # a quantile stands for all ranks of its value
+    ranks = [x for i in range(3) for x in (
+        F.avg((F.col("value") < F.col(f"q{i}")).cast("int")).alias(f"low{i}"), F.avg((F.col("value") <= F.col(f"q{i}")).cast("int")).alias(f"high{i}"))]
+    exact = values.groupBy("variable").agg(F.count_distinct("value").alias("exact"), *ranks)
+    near = [(F.col(f"low{i}") <= p + sketches.KLL_ERROR) & (F.col(f"high{i}") >= p - sketches.KLL_ERROR) for i, p in enumerate(probs)]
+    close = F.abs(F.col("n_distinct") - F.col("exact")) <= sketches.HLL_ERROR * F.col("exact")
+    return marked.join(exact, "variable").select(
+        "variable", "n", F.col("exact").alias("n_distinct"), (near[0] & near[1] & near[2]).alias("ranks_hold"), close.alias("counts_hold"))
+
+
 @query
 def head_rows(spark, sf):
     """The first five rows of the model table by key."""

@@ -1,4 +1,4 @@
-"""Queries through files, views, reports and whole code lists."""
+"""Queries through files, stores, views, reports and whole code lists."""
 
 from __future__ import annotations
 
@@ -11,9 +11,11 @@ from wardframe.operators import prep, tableone
 from wardframe.plans import clinical
 from wardframe.plans import standins as st
 from wardframe.plans.queries import query, rounded
+from wardframe.plans.views import View, ViewGraph
 from wardframe.session import shared_dir
 from wardframe.sources.csv import number, read_csv, read_named_csv, write_csv
 from wardframe.sources.registry import materialize
+from wardframe.sources.store import event_store
 
 SUPPLIER = "s_suppkey long, s_name string, s_acctbal double"
 
@@ -91,3 +93,42 @@ def si_units(spark, sf):
 def renal_replacement_codes(spark, sf):
     """Every renal code of every source, each on a stay of its own."""
     return clinical.renal_replacement(st.renal_lines(spark, sf))
+
+
+# --- the bucketed store and the graph of views ------------------------------------------
+
+ADMISSION = ["subject_id", "hadm_id"]
+BUCKETS = 8
+NEW_EVENTS = "2024-01-25"
+
+
+@query
+def labs_from_store(spark, sf):
+    """Labs nearest to entry, read from tables bucketed by admission."""
+    tables = event_store(st.event_tables(spark, sf), ADMISSION, BUCKETS)
+    return clinical.labs_around_intime(tables, st.EVENT_LABS)
+
+
+def _lab_counts(t):
+    return t["labevents"].groupBy(*ADMISSION).agg(F.count("*").alias("n_labs"), F.max("charttime").alias("last_lab"))
+
+
+#: Declared from the last to the first.
+STAY_VIEWS = {
+    "summary": View(("stay_labs", "lab_counts"), lambda t: t["stay_labs"].join(t["lab_counts"], ADMISSION, "left")),
+    "lab_counts": View(("labevents",), _lab_counts),
+    "stay_labs": View(("icustays", "admissions", "labevents"), lambda t: clinical.labs_around_intime(t, st.EVENT_LABS)),
+}
+
+
+@query
+def views_refreshed(spark, sf):
+    """Views built on early events, then refreshed for the admissions that
+    later stays and labs touch."""
+    now = st.event_tables(spark, sf)
+    late = {"icustays": F.col("intime") >= NEW_EVENTS, "labevents": F.col("charttime") >= NEW_EVENTS}
+    graph = ViewGraph(STAY_VIEWS, ADMISSION)
+    graph.build(now | {n: now[n].where(~rows) for n, rows in late.items()})
+    touched = [now[n].where(rows).select(*ADMISSION) for n, rows in late.items()]
+    graph.refresh(now, late, touched[0].unionByName(touched[1]))
+    return graph.read("summary", spark)
