@@ -186,3 +186,25 @@ def test_scratch_tables_go_with_the_application(tmp_path):
             break
         time.sleep(0.2)
     assert left == []
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_slices_are_sized_by_rows(spark, monkeypatch, partitions):
+    from wardframe.operators import ordered
+
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 500)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = spark.range(5000).selectExpr("id", "pmod(id * 7919, 5003) AS x")
+        sizes = [r["count"] for r in ordered.sliced(rows, ["x"]).groupBy(ordered.SLICE).count().collect()]
+        assert len(sizes) == 10 and max(sizes) < 1500
+        numbered, n = ordered.numbered_rows(rows, [F.col("x").desc()], "i")
+        got = [r.x for r in numbered.orderBy("i").collect()]
+        assert n == 5000 and got == sorted(got, reverse=True)
+        assert [r.i for r in numbered.orderBy("i").collect()] == list(range(5000))
+        # the written rows only meet a broadcast table of sizes
+        above = numbered._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in above and "SortMergeJoin" not in above
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)

@@ -18,15 +18,25 @@ from wardframe.session import pin
 SLICE = "_slice"
 
 
+#: Rows of a slice, about.
+SLICE_ROWS = 500_000
+
+
+def _in_slices(df: DataFrame, order: Sequence[Column | str]) -> tuple[DataFrame, int]:
+    """Written rows in as many range slices as their number asks for, whatever
+    the session's number of shuffle partitions, and that number of rows."""
+    rows = pin(df)
+    n = rows.count()
+    return rows.repartitionByRange(max(1, -(-n // SLICE_ROWS)), *order), n
+
+
 def sliced(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """``df`` in range slices of ``order``, numbered in ``_slice``.
 
-    No partition number is given, so adaptive execution sizes the slices.
     The result is pinned: the range bounds come from a sample, and every later
     step has to see the same ones.
     """
-    ranged = df.repartitionByRange(*order)
-    return pin(ranged.withColumn(SLICE, F.spark_partition_id()))
+    return pin(_in_slices(df, order)[0].withColumn(SLICE, F.spark_partition_id()))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -79,14 +89,25 @@ def _running(
 
 
 def numbered_rows(df: DataFrame, order: Sequence[Column], name: str) -> tuple[DataFrame, int]:
-    """:func:`row_index` and the number of rows, counted on the written slices."""
-    parts = sliced(df, list(order))
-    return _running(parts, df.columns, order, {name: F.lit(1).cast("long")}, []), parts.count()
+    """:func:`row_index` and the number of rows.
+
+    A row's place is its place in its sorted slice and the sizes of the slices
+    before, which are a small table; the rows are not shuffled again.
+    """
+    ranged, n = _in_slices(df, order)
+    # the number of a row within its partition follows the sort
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    parts = pin(ranged.sortWithinPartitions(*order).select("*", F.spark_partition_id().alias(SLICE), at.alias("_at")))
+    sizes = parts.groupBy(SLICE).agg(F.count("*").alias("_n"))
+    before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per SLICE_ROWS rows
+    offsets = F.broadcast(sizes.select(SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    return parts.join(offsets, SLICE).select(*df.columns, (F.col("_at") + F.col("_off")).alias(name)), n
 
 
 def row_index(df: DataFrame, order: Sequence[Column], name: str = "row_idx") -> DataFrame:
     """Zero-based position of every row in the global order."""
-    return running_totals(df, order, {name: F.lit(1).cast("long")})
+    return numbered_rows(df, order, name)[0]
 
 
 def ranked(
