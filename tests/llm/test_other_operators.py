@@ -342,3 +342,27 @@ def test_notices_need_their_words_in_order(spark):
     places = {r.id: [(s.begin, s.words) for s in r.spans if s.template >= len(PHRASES)] for r in scan(document_frame(spark, texts)).collect()}
     n = len(mit.split())
     assert places[1] == [(0, len(apache.split()))] and places[3] == [(0, n), (n, n)]
+
+
+def test_license_sql_follows_the_order_of_words(spark, tmp_path):
+    import duckdb
+
+    from wardframe.llm.oracle import ORACLE
+    from wardframe.llm.queries import QUERIES
+
+    mit, apache, gpl = list(NOTICES)[:3]
+    cut = apache.split()
+    texts = [
+        "the license " * 9, apache + " the license" * 12, " ".join(reversed(cut)), mit + " " + mit, apache + " x y " + gpl + " MIT License " + mit,
+        " ".join(cut[:10] + ["extra", "words"] + cut[10:]), " ".join(cut[:12] + cut[16:]), " ".join(cut[10:] + cut[:10]), "cc by cc by",
+        "the license " * 3 + apache, " ".join(cut[:9] + ["a"] * 5 + cut[9:]), None, "", " ".join(cut[:20]),
+    ]
+    document_frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cursor = db.execute(ORACLE["op8_license_scan"])
+    want = [dict(zip([c[0] for c in cursor.description], row, strict=True)) for row in cursor.fetchall()]
+    got = [r.asDict() for r in QUERIES["op8_license_scan"](spark, str(tmp_path)).collect()]
+    key = lambda r: r["doc_id"]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert sum(bool(r["labels"]) for r in got) > 5 and sorted(got, key=key)[0]["labels"] == ""

@@ -121,8 +121,10 @@ _TEMPLATES = ", ".join(
     ])
 )
 
+# A notice's hits are taken one by one: each ends its longest chain, in which
+# both positions grow and the diagonal moves by three at most from hit to hit.
 ORACLE["op8_license_scan"] = rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
@@ -134,26 +136,52 @@ WITH d AS (
   FROM (SELECT *, len(ws) - 1 AS n, unnest(range(len(ws) - 1)) AS p FROM t)
 ), b AS (
   SELECT r, i, ws[i + 1] AS one, ws[i + 2] AS two FROM (SELECT r, ws, unnest(range(len(ws) - 1)) AS i FROM d)
+), hit AS (
+  SELECT r, id, label, phrase, n, CAST(i AS INTEGER) AS pos, CAST(p AS INTEGER) AS tpos, i - p AS diagonal FROM b JOIN g USING (one, two)
+), places AS (
+  SELECT r, label, diagonal AS place FROM hit WHERE phrase GROUP BY r, id, label, n, diagonal HAVING count(*) = n
 ), v AS (
-  SELECT r, id, label, phrase, n, i - p AS diagonal, count(DISTINCT p) AS votes, min(i) AS first, max(i) AS last
-  FROM b JOIN g USING (one, two) GROUP BY ALL
-), s AS (
-  SELECT *, CASE WHEN NOT phrase AND diagonal - lag(diagonal) OVER (PARTITION BY r, id ORDER BY diagonal) <= 3
-            THEN 0 ELSE 1 END AS opens FROM v
-), u AS (
-  SELECT *, sum(opens) OVER (PARTITION BY r, id ORDER BY diagonal) AS run FROM s
-), spans AS (
-  SELECT r, label, phrase, n, min(diagonal) AS place, sum(votes) AS votes, max(last) - min(first) + 2 AS words
-  FROM u GROUP BY r, id, label, phrase, n, run
-), kept AS (
-  SELECT * FROM spans
-  WHERE CASE WHEN phrase THEN votes = n ELSE votes / n >= 0.8 AND words <= 2 * (n + 1) END
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, id ORDER BY diagonal) <= 3 THEN 0 ELSE 1 END AS opens
+  FROM (SELECT DISTINCT r, id, diagonal FROM hit WHERE NOT phrase)
+), runs AS (
+  SELECT r, id, diagonal, sum(opens) OVER (PARTITION BY r, id ORDER BY diagonal) AS run FROM v
+), h AS (
+  SELECT r, id, run, label, n, pos, tpos, row_number() OVER (PARTITION BY r, id, run ORDER BY pos, tpos) AS i
+  FROM hit JOIN runs USING (r, id, diagonal)
+  WHERE (r, id, run) IN (SELECT (r, id, run) FROM hit JOIN runs USING (r, id, diagonal)
+                         GROUP BY r, id, run, n HAVING count(DISTINCT tpos) >= 0.8 * n)
+), chain AS (
+  SELECT DISTINCT r, id, run, label, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(pos INTEGER, tpos INTEGER, start INTEGER, size INTEGER)[]) AS recent,
+         CAST([] AS STRUCT(start INTEGER, words INTEGER, cover DOUBLE)[]) AS spans
+  FROM h
+  UNION ALL
+  SELECT r, id, run, label, i, list_append(near, own), CASE
+      WHEN own.size / n < 0.8 THEN spans
+      WHEN len(spans) = 0 OR own.start >= spans[-1].start + spans[-1].words THEN list_append(spans, span)
+      WHEN span.cover > spans[-1].cover OR span.cover = spans[-1].cover AND span.words < spans[-1].words
+        THEN list_append(spans[:-2], span)
+      ELSE spans END
+  FROM (
+    SELECT *, struct_pack(start := own.start, words := CAST(own.pos - own.start + 2 AS INTEGER), cover := CAST(own.size / n AS DOUBLE)) AS span
+    FROM (
+      SELECT *, struct_pack(pos := pos, tpos := tpos, start := coalesce(best.start, pos), size := CAST(coalesce(best.size, 0) + 1 AS INTEGER)) AS own
+      FROM (
+        SELECT *, list_max(list_transform(list_filter(near, lambda x: x.pos < pos AND x.tpos < tpos
+                   AND abs(pos - tpos - x.pos + x.tpos) <= 3 AND pos - x.start + 2 <= 2 * (n + 1)),
+                   lambda x: struct_pack(size := x.size, start := x.start))) AS best
+        FROM (
+          SELECT c.r, c.id, c.run, c.label, h.i, h.n, h.pos, h.tpos, c.spans, list_filter(c.recent, lambda x: x.pos >= h.pos - h.n - 3) AS near
+          FROM chain c JOIN h ON h.r = c.r AND h.id = c.id AND h.run = c.run AND h.i = c.i + 1))))
+), notices AS (
+  SELECT r, label, unnest(spans).cover AS cover FROM chain
+  QUALIFY row_number() OVER (PARTITION BY r, id, run ORDER BY i DESC) = 1
+), found AS (
+  SELECT r, label, place, 1.0::DOUBLE AS cover FROM places UNION ALL SELECT r, label, NULL, cover FROM notices
 ), per AS (
-  SELECT r, count(*) FILTER (phrase) AS n_base, min(place) FILTER (phrase) AS first_word,
-         max(place) FILTER (phrase) AS last_word,
-         array_to_string(list_sort(list(DISTINCT label) FILTER (phrase)), ',') AS base_labels,
-         array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(least(1, votes / n)) AS score
-  FROM kept GROUP BY r
+  SELECT r, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (place IS NOT NULL)), ',') AS base_labels,
+         array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(cover) AS score
+  FROM found GROUP BY r
 )
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
