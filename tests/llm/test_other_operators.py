@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from helpers import EDGE_TEXTS, classes, document_frame, fingerprint, kept_words, long_text, plain_lines, words
+from helpers import DOCS, EDGE_TEXTS, classes, document_frame, fingerprint, kept_words, long_text, plain_lines, words
 from pyspark.sql import functions as F
 
 from wardframe.llm import nndescent
@@ -248,12 +248,14 @@ def test_recall_is_judged_per_vector(spark, monkeypatch):
         nndescent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
 
 
-def plain_pipeline(texts):
+def plain_pipeline(texts, judged=None):
     """(doc_id, piece) -> (start, length, crc32) of the whole chain; without
-    labels only the base rules reject."""
+    labels only the base rules reject, else ``judged`` holds the kept ids."""
     from tokenizers import Tokenizer
 
-    own = {i: t for i, t in enumerate(texts) if (c := plain_counts(t))[0] >= 10 and 100 * c[4] <= 20 * c[0]}
+    if judged is None:
+        judged = {i for i, t in enumerate(texts) if (c := plain_counts(t))[0] >= 10 and 100 * c[4] <= 20 * c[0]}
+    own = {i: t for i, t in enumerate(texts) if i in judged}
     own = {i: t for i, _, _, t in plain_lines([*own.values()], [*own])}
     marks = {i: fingerprint(t) for i, t in own.items()}
     part = classes(marks, [(a, b) for a in marks for b in marks if a < b and (marks[a] ^ marks[b]).bit_count() <= 3])
@@ -366,3 +368,85 @@ def test_license_sql_follows_the_order_of_words(spark, tmp_path):
     key = lambda r: r["doc_id"]
     assert sorted(got, key=key) == sorted(want, key=key)
     assert sum(bool(r["labels"]) for r in got) > 5 and sorted(got, key=key)[0]["labels"] == ""
+
+
+def labelled_tables(spark, folder, per_language):
+    """Clean documents in two languages with labels, and documents that only a
+    cutoff can tell from them; one language has too few labels for any."""
+    draw = np.random.default_rng(8)
+    texts, langs, labels = [], [], []
+    for i in range(per_language):
+        for lang, labelled in (("en", True), ("de", i < 40)):
+            size = int(draw.integers(15, 40))
+            marks = " #" * int(draw.random() < 0.004)
+            texts.append(long_text(len(texts), size) + marks)
+            langs.append(lang)
+            if labelled:
+                labels.append((len(texts) - 1, 1, 0))
+    for i in range(60):
+        own = long_text(100000 + i, 20).split()
+        texts.append([" ".join(f"{w} #" for w in own), " ".join(w + "!!!" for w in own), "\n".join(["one same line"] * 2 + own)][i % 3])
+        langs.append(("en", "de")[i % 2])
+        labels.append((len(texts) - 1, 0, 0))
+    rows = [(i, t, g, "s", len(t), 7, "b", "k") for i, (t, g) in enumerate(zip(texts, langs, strict=True))]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return texts
+
+
+def asked(folder, sql):
+    import duckdb
+
+    db = duckdb.connect()
+    for name in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    cursor = db.execute(sql)
+    return [dict(zip([c[0] for c in cursor.description], row, strict=True)) for row in cursor.fetchall()]
+
+
+def test_quality_cutoffs_equal_sql_where_they_act(spark, tmp_path):
+    from wardframe.llm.oracle import ORACLE
+    from wardframe.llm.queries import QUERIES
+
+    labelled_tables(spark, tmp_path, 2500)
+    want = {r["doc_id"]: r for r in asked(tmp_path, ORACLE["op2_quality_rules"])}
+    got = {r.doc_id: r.asDict() for r in QUERIES["op2_quality_rules"](spark, str(tmp_path)).collect()}
+    assert got == want
+    by_cutoff = [r for r in got.values() if not r["kept"] and not r["base_failed"]]
+    # documents with marks go in the language that has labels enough, and clean ones stay
+    assert 10 <= len([r for r in by_cutoff if r["doc_id"] >= 5000]) < 60
+    assert len([r for r in by_cutoff if r["doc_id"] < 5000]) <= 0.05 * 2500
+
+
+def test_pipeline_with_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    from wardframe.llm.oracle import ORACLE
+
+    texts = labelled_tables(spark, tmp_path, 1200)
+    judged = {r["doc_id"] for r in asked(tmp_path, ORACLE["op2_quality_rules"]) if r["kept"]}
+    assert len(judged) < len(texts) - 10
+    whole = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert whole == plain_pipeline(texts, judged)
+
+
+def test_nn_descent_finds_the_links_of_a_table_larger_than_its_audit(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "AUDIT", 64)
+    draw = np.random.default_rng(11)
+    rows = []
+    while len(rows) < 2500:
+        centre = draw.standard_normal(32)
+        centre /= np.linalg.norm(centre)
+        for _ in range(int(draw.integers(1, 9))):
+            rows.append((centre + 0.05 * draw.standard_normal(32)).astype(np.float32))
+    matrix = np.array(rows, np.float64)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    linked = matrix @ matrix.T >= 0.9
+    np.fill_diagonal(linked, False)
+    assert linked.sum() > 2000
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in nndescent.near_vectors(frame).collect()}
+    found = np.array([got[i] for i in range(len(rows))])
+    true = linked.sum(axis=1)
+    # no link too many, and of the links at least 97 in 100
+    assert (found <= true).all() and found.sum() >= 0.97 * true.sum()

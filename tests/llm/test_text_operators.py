@@ -55,6 +55,14 @@ def test_simhash_groups(docs):
     assert part[10] == part[9] == 8 and part[2] == 0
 
 
+def test_an_id_in_two_groups_does_not_join_them(spark):
+    a, b = long_text(1, 40), long_text(2, 40)
+    rows = near_duplicates(document_frame(spark, [a, a, b, b], [2, 5, 5, 9])).collect()
+    own = {fingerprint(t): t for t in (a, b)}
+    got = sorted((r.doc_id, own[int(r.fingerprint, 16)] == a, r.component_id) for r in rows)
+    assert got == [(2, True, 2), (5, False, 5), (5, True, 2), (9, False, 5)]
+
+
 @pytest.mark.parametrize("distance", [1, 2, 3])
 @pytest.mark.parametrize("crowd", [2, 64])
 def test_crowded_variants_join_the_same_groups(spark, distance, crowd):

@@ -219,10 +219,11 @@ def representatives(
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3,
 ) -> DataFrame:
-    """(id_col, fingerprint, component_id) for every row of ``docs``."""
+    """(id_col, fingerprint, component_id) for every row of ``docs``.  Only
+    fingerprints link: rows that share an id are rows of their own, and an id
+    that stands in two groups does not join them."""
     rows = pin(fingerprints(docs, id_col, text_col, shingle))
     joined = _parts(rows, distance)
-    # rows that share an id connect their fingerprints
     named = pin(joined.select("fp", "part").join(
         joined.groupBy("part").agg(F.min("least").alias("component_id")), "part"
     ).select("fp", "component_id"))
