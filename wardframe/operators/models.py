@@ -72,9 +72,7 @@ def l1_logistic(n_rows: int, c: float = 1.0, tol: float = 1e-6, max_iter: int =
 
 
 def boosted_trees(params: BoostParams, spark: SparkSession) -> GBTClassifier:
-    # the learner cuts the lineage of its residuals there
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    # the learner cuts its lineage where the session has a checkpoint folder
     return GBTClassifier(
         featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
         stepSize=params.learning_rate, maxIter=params.trees, maxDepth=params.depth,

@@ -33,13 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The application's scratch folder on storage that all executors share.
 
     It lies below the session's checkpoint folder, or below the warehouse
-    where none is set, and goes when the application's JVM ends.
+    where none is set, and goes when the application's JVM ends.  On a cluster
+    a warehouse on the driver's own disk will not do.
     """
     sc = spark.sparkContext
-    base = sc.getCheckpointDir() or spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get("spark.sql.warehouse.dir")
+    given = spark.conf.get(CHECKPOINT_DIR, None) or sc.getCheckpointDir()
+    base = given or spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{base.rstrip('/')}/wardframe-{sc.applicationId}"
     path = sc._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not given and not sc.master.startswith("local") and files.getUri().getScheme() == "file":
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
     files.mkdirs(path)
     files.deleteOnExit(path)
     return folder
