@@ -190,23 +190,24 @@ def test_roc_of_a_group_with_one_class(spark):
     assert points["x", 0.7] == (None, 0.5) and points["y", 0.2] == (1.0, 1.0)
 
 
-@pytest.mark.parametrize(("name", "scheme", "seeds", "k", "trees"), [
-    ("gbt_cv_auc", "cross_validate", None, 10, 430), ("pooled_cv", "cross_validate", None, 10, 300),
-    ("repeated_holdout", "repeated_holdout", range(1, 100), 0.3, 430),
-    ("seed_sweep", "repeated_cross_validation", range(300, 500), 10, 450),
+@pytest.mark.parametrize(("name", "seeds", "fits", "trees", "depth"), [
+    ("gbt_cv_auc", None, 10, 430, 3), ("pooled_cv", None, 10, 300, 4), ("repeated_holdout", range(1, 100), 99, 430, 3),
+    ("repeated_cv", range(100, 200), 1000, 140, 5), ("seed_sweep", range(300, 500), 2000, 450, 3),
 ])
-def test_registered_validations_run_the_studies_settings(spark, monkeypatch, name, scheme, seeds, k, trees):
-    from wardframe.operators import validate
+def test_registered_validations_run_the_studies_settings(spark, monkeypatch, name, seeds, fits, trees, depth):
+    from wardframe.operators import boosting
     from wardframe.plans.queries import QUERIES
 
     class Seen(Exception):
         pass
 
-    def stop(rows, *args, **_):
-        estimator = args[-1](rows)
-        raise Seen(args[1] if seeds else None, args[-2], estimator.getMaxIter())
+    def stop(rows, features, key, label, fits, params, folds=None):
+        raise Seen(fits, params)
 
-    monkeypatch.setattr(validate, scheme, stop)
+    monkeypatch.setattr(boosting, "boosted", stop)
     with pytest.raises(Seen) as seen:
         QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert seen.value.args == (seeds, k, trees)
+    asked, params = seen.value.args
+    assert (len(asked), params.trees, params.depth) == (fits, trees, depth)
+    assert seeds is None or {f.tags["seed"] for f in asked} == set(seeds)
+    assert len({(f.slot, f.held) for f in asked}) == fits
