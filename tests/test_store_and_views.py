@@ -85,3 +85,23 @@ def test_merged_sketches_equal_the_sketch_of_all_rows_within_the_bound(spark):
     assert (found["x"].n, found["y"].n) == (30000, 20000)
     assert abs(found["x"].q0 / 30011 - 0.25) <= sketches.KLL_ERROR and abs(found["x"].q1 / 30011 - 0.5) <= sketches.KLL_ERROR
     assert abs(found["x"].n_distinct - 30000) <= sketches.HLL_ERROR * 30000 and found["y"].n_distinct == 100
+
+
+def test_service_rank_within_the_stay_and_skipped_nulls(spark):
+    from wardframe.operators.cohort import latest_service
+
+    day = dt.datetime(2024, 1, 10)
+    stays = spark.createDataFrame([(1, 10, day), (1, 11, day + dt.timedelta(days=2)), (2, 20, day)], "hadm_id long, icustay_id long, intime timestamp_ntz")
+    moves = [(1, "MED", day), (1, "CSURG", day + dt.timedelta(days=1)), (1, "NMED", day + dt.timedelta(days=1)), (1, "VSURG", day + dt.timedelta(days=9)), (2, "MED", day + dt.timedelta(hours=12))]
+    services = spark.createDataFrame(moves, "hadm_id long, curr_service string, transfertime timestamp_ntz")
+    own = {(r.icustay_id, r.curr_service, r.surgical) for r in latest_service(stays, services, "left", partition_by="icustay_id").collect()}
+    # at exactly the reach a transfer is not seen yet
+    assert own == {(10, "MED", 0), (11, "CSURG", 1), (11, "NMED", 0), (20, None, 0)}
+    assert {r.icustay_id for r in latest_service(stays, services, partition_by="icustay_id").collect()} == {10, 11}
+    with pytest.raises(ValueError, match="hadm_id or icustay_id"):
+        latest_service(stays, services, partition_by="subject_id")
+    anchors = spark.createDataFrame([(1, day)], "k int, at timestamp_ntz")
+    events = [(1, "x", day + dt.timedelta(hours=1), None), (1, "x", day - dt.timedelta(hours=3), 5.0)]
+    frame = spark.createDataFrame(events, "k int, item string, time timestamp_ntz, value double")
+    assert nearest_values(anchors, frame, ["k"], "at", {"x": "x"}).first().x is None
+    assert nearest_values(anchors, frame, ["k"], "at", {"x": "x"}, skip_null=True).first().x == 5.0

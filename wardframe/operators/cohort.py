@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardframe.functions.codemap import flag, is_surgical, prefix_match
@@ -33,7 +33,7 @@ def stay_frame(stays: DataFrame, patients: DataFrame) -> DataFrame:
 
 
 def latest_service(
-    stays: DataFrame, services: DataFrame, how: str = "inner", within_hours: int = 12
+    stays: DataFrame, services: DataFrame, how: str = "inner", within_hours: int = 12, partition_by: str = "hadm_id"
 ) -> DataFrame:
     """Rows (stay, service) holding the admission's latest transfer before
     ``intime + within_hours``; ties are kept.
@@ -42,8 +42,13 @@ def latest_service(
     the admission's latest visible transfer survives, together with the stays
     that see it, and in a ``left`` join a stay that sees no transfer displaces
     its siblings.  Both follow from aggregates per admission, without building
-    the stay-service pairs.
+    the stay-service pairs.  ``partition_by="icustay_id"`` ranks within the stay
+    instead: every stay has the latest transfer that it sees itself.
     """
+    if partition_by == "icustay_id":
+        return _latest_per_stay(stays, services, how, within_hours)
+    if partition_by != "hadm_id":
+        raise ValueError("the service rank runs over hadm_id or icustay_id")
     reach = stays.select("hadm_id", "icustay_id", (F.col("intime") + hours(within_hours)).alias("_reach"))
     visible_to = reach.groupBy("hadm_id").agg(F.max("_reach").alias("_last_reach"))
     moves = services.select("hadm_id", "curr_service", "transfertime")
@@ -67,6 +72,25 @@ def latest_service(
     return rows.withColumn("surgical", is_surgical(F.col("curr_service")))
 
 
+def _latest_per_stay(stays: DataFrame, services: DataFrame, how: str, within_hours: int) -> DataFrame:
+    """Stays and transfers of an admission become one run in time; the last
+    transfer before a stay's reach is the one that the stay sees."""
+    moves = services.select("hadm_id", "curr_service", "transfertime").where(F.col("transfertime").isNotNull())
+    reach = stays.select("hadm_id", "icustay_id", (F.col("intime") + hours(within_hours)).alias("_t"))
+    run = reach.withColumn("_kind", F.lit(0)).unionByName(
+        moves.select("hadm_id", F.col("transfertime").alias("_t"), F.col("transfertime").alias("_seen")).distinct().withColumn("_kind", F.lit(1)),
+        allowMissingColumns=True,
+    )
+    # at equal times the stay comes first, as it sees only what lies before
+    before = Window.partitionBy("hadm_id").orderBy(F.col("_t").asc_nulls_first(), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    placed = run.withColumn("_latest", F.last("_seen", ignorenulls=True).over(before)).where("_kind = 0")
+    final = moves.withColumnRenamed("transfertime", "_latest")
+    rows = placed.select("hadm_id", "icustay_id", "_latest").join(final, ["hadm_id", "_latest"], how)
+    return rows.select(
+        "hadm_id", "icustay_id", "curr_service", F.col("_latest").alias("transfertime"), is_surgical(F.col("curr_service")).alias("surgical")
+    )
+
+
 def mortality_flags(
     stays: DataFrame, admissions: DataFrame, thirty_days_from: str = "intime"
 ) -> DataFrame:

@@ -107,6 +107,7 @@ def nearest_values(
     items: Mapping[str, object],
     window: tuple[Column, Column] | None = None,
     presence: bool = False,
+    skip_null: bool = False,
 ) -> DataFrame:
     """The value of each item nearest in time to ``at``, one column per item.
 
@@ -117,8 +118,11 @@ def nearest_values(
     the largest value, and a NULL value holds its place: it yields NULL rather
     than the next nearest.  ``window`` restricts the events to a closed time
     range around the anchor; ``presence`` adds a column ``has_<name>`` per
-    item that tells a NULL value from no event.
+    item that tells a NULL value from no event.  ``skip_null`` passes NULL
+    values by, so the nearest value that is there is taken.
     """
+    if skip_null:
+        events = events.where(F.col("value").isNotNull())
     timed = anchors.where(F.col(at).isNotNull())
     near = _neighbours(timed, events, keys, F.col(at), list(items.values()))
     columns = [f"`{c}`" for c in anchors.columns]

@@ -41,10 +41,12 @@ def lab_events(labs: DataFrame, lab_codes: Mapping[int, tuple[str, float]]) -> D
 
 
 def labs_around_intime(
-    t: Tables, lab_codes: Mapping[int, tuple[str, float]] = codes.LAB_CODES, span_hours: int = 24
+    t: Tables, lab_codes: Mapping[int, tuple[str, float]] = codes.LAB_CODES, span_hours: int = 24,
+    skip_null: bool = False,
 ) -> DataFrame:
     """One row per stay: mortality flags and each lab nearest to ``intime``
-    within the span.  A stay without labs keeps a row of NULLs."""
+    within the span.  A stay without labs keeps a row of NULLs.  A value above
+    its cap holds its rank and yields NULL, unless ``skip_null`` is set."""
     stays = co.mortality_flags(t["icustays"].select(*KEYS, "intime", "outtime"), t["admissions"])
     labels = list(dict.fromkeys(label for label, _ in lab_codes.values()))
     intime = F.col("intime")
@@ -55,6 +57,7 @@ def labs_around_intime(
         "intime",
         {label: label for label in labels},
         (intime - hours(span_hours), intime + hours(span_hours)),
+        skip_null=skip_null,
     )
     return wide.select(*KEYS, "mort_icu", "mort_hosp", "mort_30", *labels)
 

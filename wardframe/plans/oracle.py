@@ -223,6 +223,15 @@ _put("latest_service", "SELECT hadm_id, icustay_id, curr_service, transfertime,
 _put("latest_service_left",
      "SELECT hadm_id, icustay_id, curr_service, transfertime, surgical FROM serv_left WHERE r = 1",
      ORDER_SQL, COHORT_SQL)
+_put("latest_service_per_stay", """SELECT hadm_id, icustay_id, curr_service, transfertime, surgical
+  FROM (SELECT * EXCLUDE (r), rank() OVER (PARTITION BY icustay_id ORDER BY transfertime DESC NULLS FIRST) AS r FROM serv_left)
+  WHERE r = 1""", ORDER_SQL, COHORT_SQL)
+_put("labs_skip_null", f"""SELECT subject_id, hadm_id, icustay_id, mort_icu, mort_hosp, mort_30, click, view, error, purchase
+  FROM (SELECT DISTINCT subject_id, hadm_id, icustay_id, mort_icu, mort_hosp, mort_30 FROM lab_pairs) LEFT JOIN (
+    SELECT icustay_id, {LAB_PIVOT}
+    FROM (SELECT *, dense_rank() OVER (PARTITION BY subject_id, hadm_id, icustay_id, label
+            ORDER BY abs(date_diff('microsecond', intime, charttime)) ASC NULLS LAST) AS r FROM lab_pairs WHERE v IS NOT NULL)
+    WHERE r = 1 GROUP BY icustay_id) USING (icustay_id)""", EVENT_SQL, EVENT_LABELS)
 _put("first_row_number", """SELECT subject_id, icustay_id, intime FROM (
   SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY intime, icustay_id) AS rn FROM icustays)
   WHERE rn = 1""", EVENT_SQL)

@@ -154,6 +154,12 @@ def labs_24h_pivot(spark, sf):
     return clinical.labs_around_intime(st.event_tables(spark, sf), st.EVENT_LABS)
 
 
+@query
+def labs_skip_null(spark, sf):
+    """The same, but a value above its cap gives way to the next one."""
+    return clinical.labs_around_intime(st.event_tables(spark, sf), st.EVENT_LABS, skip_null=True)
+
+
 @query
 def labs_long_ranked(spark, sf):
     return clinical.labs_by_admission_distance(st.event_tables(spark, sf), st.EVENT_LABS)
@@ -181,6 +187,12 @@ def latest_service_left(spark, sf):
     return co.latest_service(st.order_stays(spark, sf), st.order_services(spark, sf), "left")
 
 
+@query
+def latest_service_per_stay(spark, sf):
+    """The rank within the stay: no sibling displaces another."""
+    return co.latest_service(st.order_stays(spark, sf), st.order_services(spark, sf), "left", partition_by="icustay_id")
+
+
 @query
 def first_row_number(spark, sf):
     stays = st.event_stays(spark, sf).select("subject_id", "icustay_id", "intime")
