@@ -13,8 +13,9 @@ import pytest
 from clinic import T0
 from pyspark.sql import functions as F
 
+from wardframe.operators import cells
 from wardframe.operators.folds import contiguous_folds, exact_holdout
-from wardframe.operators.nearest import interval_join, nearest_values
+from wardframe.operators.nearest import CELL_MICROS, interval_join, nearest_values
 from wardframe.operators.ordered import exact_quantiles, first_rows, ranked, row_index, running_totals
 
 
@@ -135,6 +136,71 @@ def test_interval_join_equals_brute_force(spark):
     assert sorted(map(str, ((r.id, r.time, r.value) for r in got))) == sorted(map(str, expected))
 
 
+def dense_day(n):
+    """Key 0 has a third of all rows on one day, many of them at one instant."""
+    r = random.Random(9)
+    day = [(0, "a", T0 + timedelta(seconds=r.randrange(3000) * 20), float(r.randrange(90)) if i % 5 else None) for i in range(n)]
+    day += [(0, "a", T0 + timedelta(hours=5), float(i % 40)) for i in range(n // 2)]
+    day += [(0, "a", None, 1.0)] * 30
+    return day + make_events(10, n, 40)
+
+
+@pytest.fixture
+def small_cells(monkeypatch):
+    monkeypatch.setattr(cells, "CELL_ROWS", 40)
+
+
+def test_dense_day_is_divided(spark, small_cells):
+    events = dense_day(600)
+    ev = spark.createDataFrame(events, "key long, item string, time timestamp_ntz, value double")
+    dense = cells.dense_cells(ev, ["key", "item"], "time", CELL_MICROS)
+    spread = cells.with_cell(ev, ["key", "item"], "time", CELL_MICROS, dense, "cell")
+    # the rows of one instant stay together, all others are spread
+    others = spread.where(F.col("time").isNull() | (F.col("time") != F.lit(T0 + timedelta(hours=5))))
+    sizes = [r["count"] for r in others.groupBy("key", "item", "cell").count().collect()]
+    assert max(sizes) <= 3 * 40 < 600
+    # cells of a key follow each other without overlap
+    ends = sorted(
+        (r.key, r.item, r.lo, r.hi, r.cell)
+        for r in spread.where("time IS NOT NULL").groupBy("key", "item", "cell").agg(F.min("time").alias("lo"), F.max("time").alias("hi")).collect()
+    )
+    assert all(a[3] < b[2] and a[4] < b[4] for a, b in zip(ends, ends[1:]) if a[:2] == b[:2])
+    even = ev.where("key > 0")
+    assert cells.dense_cells(even, ["key", "item"], "time", CELL_MICROS, 10_000) is None
+    assert cells.dense_cells(even.limit(0), ["key", "item"], "time", CELL_MICROS) is None
+
+
+def test_nearest_on_a_dense_day(spark, small_cells):
+    events = dense_day(600)
+    anchors = [(k, k * 100 + j, T0 + timedelta(minutes=97 * j)) for k in range(3) for j in range(40)]
+    anchors += [(0, 9000, T0 + timedelta(hours=5)), (0, 9001, T0 - timedelta(days=9)), (0, 9002, T0 + timedelta(days=90))]
+    ev = spark.createDataFrame(events, "key long, item string, time timestamp_ntz, value double")
+    an = spark.createDataFrame(anchors, "key long, id long, at timestamp_ntz")
+    got = {r.id: r for r in nearest_values(an, ev, ["key"], "at", {"a": "a"}, presence=True).collect()}
+    for k, i, at in anchors:
+        near = [(abs(t - at), v) for key, item, t, v in events if key == k and item == "a" and t is not None]
+        closest = min(d for d, _ in near)
+        best = [v for d, v in near if d == closest and v is not None]
+        assert got[i].has_a and got[i].a == (max(best) if best else None)
+
+
+def test_interval_join_on_a_dense_day(spark, small_cells):
+    events = dense_day(300)
+    anchors = [(k, k * 100 + j, T0 + timedelta(minutes=131 * j)) for k in range(3) for j in range(9)] * 2
+    ev = spark.createDataFrame(events, "key long, item string, time timestamp_ntz, value double")
+    an = spark.createDataFrame([*anchors, (0, 7, None)], "key long, id long, at timestamp_ntz")
+    low, high = F.col("at") - F.expr("interval '7' hour"), F.col("at") + F.expr("interval '30' hour")
+    got = interval_join(an, ev, ["key"], low, high, "time").collect()
+    expected = [(7, None, None)]
+    for k, i, at in anchors:
+        hits = [
+            (i, t, v) for key, _, t, v in events
+            if key == k and t is not None and at - timedelta(hours=7) <= t <= at + timedelta(hours=30)
+        ]
+        expected += hits or [(i, None, None)]
+    assert sorted(map(str, ((r.id, r.time, r.value) for r in got))) == sorted(map(str, expected))
+
+
 def test_bisect_of_running_totals(spark):
     """Counts below a value, keyed by nothing: a global running total."""
     values = sorted(random.Random(3).sample(range(1000), 200))

@@ -7,12 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardframe.operators.cells import CUTS, covered_cells, dense_cells, with_cell
 from wardframe.operators.ordered import SLICE, null_safe_join
 from wardframe.session import pin
 
 EARLIER = (Window.unboundedPreceding, -1)
 CELL_MICROS = 24 * 3600 * 1_000_000
-NO_CELL = -(2**62)
 
 
 def _neighbours(
@@ -23,7 +23,8 @@ def _neighbours(
 
     Anchors and events are merged into one time-ordered run per key, item and
     cell of time, so every row is read once per direction and no anchor-event
-    pair is built; one summary row per cell carries neighbours across.
+    pair is built; one summary row per cell carries neighbours across.  Cells
+    are days, and parts of days where one key and item has very many rows.
     """
     keys = list(keys)
     payload = F.struct(*anchors.columns)
@@ -38,9 +39,13 @@ def _neighbours(
         "CASE WHEN anchor IS NULL THEN 0 ELSE 1 END AS kind",
         "xxhash64(anchor) AS tie",
     )
-    # a fixed cut of time shares a key out; rows without a time come first
-    run = run.withColumn(SLICE, F.coalesce(_cell(F.col("t"), CELL_MICROS), F.lit(NO_CELL)))
+    # cuts of time share a key out; rows without a time come first
     group = [SLICE, *keys, "item"]
+    dense = dense_cells(run, [*keys, "item"], "t", CELL_MICROS)
+    run = with_cell(run, [*keys, "item"], "t", CELL_MICROS, dense, SLICE)
+    if dense is not None:
+        run = _one_per_time(run, [*group, "t"])
+    run = run.drop(CUTS)
 
     # at equal times events precede anchors, and the largest value comes last
     up = "t ASC NULLS FIRST, kind ASC, value ASC NULLS FIRST, tie ASC"
@@ -56,6 +61,15 @@ def _neighbours(
     return near.select(*columns, "item", "before", "after")
 
 
+def _one_per_time(run: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``run`` with one event per key, item and time in dense cells.  Of equal
+    times the largest value counts, so the others need not be sorted; the
+    aggregate combines on the map side, however many rows share a time."""
+    many = (F.col("kind") == 0) & F.col(CUTS).isNotNull()
+    merged = run.where(many).groupBy(*group).agg(F.max("value").alias("value"), F.lit(0).alias("kind"))
+    return run.where(~many).unionByName(merged, allowMissingColumns=True)
+
+
 def _carry(near: DataFrame, run: DataFrame, keys: Sequence[str], group: Sequence[str]) -> DataFrame:
     """Fill anchors that found nothing inside their cell from the nearest cell
     of the same key that holds an event (one summary row per cell)."""
@@ -193,13 +207,6 @@ def nearest_rows(
     )
 
 
-_ORIGIN = "timestamp_ntz '1970-01-01 00:00:00'"
-
-
-def _cell(time: Column, width: int) -> Column:
-    return F.floor(F.timestamp_diff("MICROSECOND", F.expr(_ORIGIN), time) / F.lit(float(width))).cast("long")
-
-
 def interval_join(
     anchors: DataFrame,
     events: DataFrame,
@@ -213,21 +220,20 @@ def interval_join(
     """Anchors with the events of the same ``keys`` in [low, high].
 
     Time is cut into cells and the join key includes the cell, so that a key
-    with many events is spread and only neighbours in time are compared.  A
-    ``left`` join keeps every anchor without an event once; equal anchors are
-    rows of their own.
+    with many events is spread and only neighbours in time are compared; cells
+    in which one key has very many events are divided.  A ``left`` join keeps
+    every anchor without an event once; equal anchors are rows of their own.
     """
     keys = list(keys)
     values = [c for c in events.columns if c not in keys]
     if how != "inner":
         # written with a number, so that equal anchors are told apart
         anchors = pin(anchors.withColumn("_row", F.monotonically_increasing_id()))
-    cells = F.sequence(_cell(low, cell_micros), _cell(high, cell_micros))
-    left = anchors.select("*", low.alias("_low"), high.alias("_high"), F.explode(cells).alias("_cell"))
-    right = events.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys],
-        *values,
-        _cell(F.col(event_time), cell_micros).alias("_r_cell"),
+    dense = dense_cells(events, keys, event_time, cell_micros)
+    left = anchors.select("*", low.alias("_low"), high.alias("_high"))
+    left = covered_cells(left, keys, "_low", "_high", cell_micros, dense, "_cell")
+    right = with_cell(events, keys, event_time, cell_micros, dense, "_r_cell").select(
+        *[F.col(k).alias(f"_r_{k}") for k in keys], *values, "_r_cell"
     )
     on = [F.col(k) == F.col(f"_r_{k}") for k in keys]
     on += [F.col("_cell") == F.col("_r_cell"), F.col(event_time).between(F.col("_low"), F.col("_high"))]
