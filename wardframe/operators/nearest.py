@@ -24,7 +24,7 @@ def _neighbours(
     Anchors and events are merged into one time-ordered run per key, item and
     cell of time, so every row is read once per direction and no anchor-event
     pair is built; one summary row per cell carries neighbours across.  Cells
-    are days, and parts of days where one key and item has very many rows.
+    are days, and parts of days where one key has very many rows.
     """
     keys = list(keys)
     payload = F.struct(*anchors.columns)
@@ -41,8 +41,10 @@ def _neighbours(
     )
     # cuts of time share a key out; rows without a time come first
     group = [SLICE, *keys, "item"]
-    dense = dense_cells(run, [*keys, "item"], "t", CELL_MICROS)
-    run = with_cell(run, [*keys, "item"], "t", CELL_MICROS, dense, SLICE)
+    # counted over all items, which is no less than any one item has
+    times = events.select(*keys, F.col("time").alias("t")).unionByName(anchors.select(*keys, at.alias("t")))
+    dense = dense_cells(times, keys, "t", CELL_MICROS)
+    run = with_cell(run, keys, "t", CELL_MICROS, dense, SLICE)
     if dense is not None:
         run = _one_per_time(run, [*group, "t"])
     run = run.drop(CUTS)
