@@ -1,6 +1,8 @@
 """Metrics, descriptive tables, preparation and sources."""
 
 import math
+import random
+import statistics
 
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -82,6 +84,36 @@ def test_table_one(spark):
     assert [r.row_idx for r in picked.collect()] == [1]
 
 
+def test_many_outcomes_stay_rows(spark):
+    """Outcomes are rows of the tests, however many; only a report has them as columns."""
+    r = random.Random(21)
+    rows = [(r.choice("stuvwxyz"), r.choice(["m", "n", "o"]), float(r.randrange(12)) if i % 9 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, c string, x double")
+    groups = {}
+    for g, _, x in rows:
+        if x is not None:
+            groups.setdefault(g, []).append(x)
+    got = tableone.kruskal_wallis(df, ["x"], "g").first()
+    assert got.df == len(groups) - 1 and got.statistic == pytest.approx(kruskal_by_hand(list(groups.values())))
+    cells, lines, columns = {}, {}, {}
+    for g, c, _ in rows:
+        cells[g, c] = cells.get((g, c), 0) + 1
+        lines[c] = lines.get(c, 0) + 1
+        columns[g] = columns.get(g, 0) + 1
+    expected = {(g, c): columns[g] * lines[c] / len(rows) for g in columns for c in lines}
+    chi = tableone.chi_squared(tableone.level_counts(df, ["c"], "g"), "g").first()
+    assert chi.statistic == pytest.approx(sum((cells.get(k, 0) - e) ** 2 / e for k, e in expected.items()))
+    assert chi.df == (len(columns) - 1) * (len(lines) - 1) and chi.min_expected == pytest.approx(min(expected.values()))
+    middle = {q.g: q.median for q in tableone.continuous_quartiles(df, ["x"], "g").collect()}
+    assert middle == {g: statistics.median(xs) for g, xs in groups.items()}
+    spark.conf.set(tableone.MAX_GROUPS, 5)
+    try:
+        with pytest.raises(ValueError):
+            tableone.table_one(df, ["x"], [], "g")
+    finally:
+        spark.conf.unset(tableone.MAX_GROUPS)
+
+
 def test_chi_squared_correction(spark):
     rows = [("v", level, g, n) for level, g, n in (("a", 0, 30), ("a", 1, 10), ("b", 0, 20), ("b", 1, 40))]
     counts = spark.createDataFrame(rows, "variable string, level string, g int, n long")

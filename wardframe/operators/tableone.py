@@ -11,71 +11,65 @@ from wardframe.functions.pvalues import chi2_tail, fisher_two_sided
 from wardframe.operators.ordered import long_values, null_safe_join, quantile_rows, row_index, running_totals
 from wardframe.session import pin
 
-def outcome_levels(df: DataFrame, groupby: str) -> list:
-    """Distinct non-null outcomes, one column each in the report."""
-    return sorted(r[0] for r in df.select(groupby).where(F.col(groupby).isNotNull()).distinct().collect())
+#: Outcomes that a report may have as columns, at most.
+MAX_GROUPS = "spark.sql.pivotMaxValues"
 
 
-def _value_totals(df: DataFrame, columns: Sequence[str], groupby: str, levels: Sequence) -> DataFrame:
-    """One sorted row per variable and distinct value: counts ``n`` and
-    ``n<i>`` per outcome, and the same counts below the value."""
+def outcome_levels(df: DataFrame, groupby: str) -> list:
+    """Distinct non-null outcomes, one column each in the report.  More than
+    the session lets a pivot have are refused; the tests and the tables with
+    outcomes as rows take any number."""
+    most = int(df.sparkSession.conf.get(MAX_GROUPS))
+    found = df.select(groupby).where(F.col(groupby).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{groupby} has more than {most} values ({MAX_GROUPS}), too many for columns")
+    return sorted(r[0] for r in found)
+
+
+def value_counts(df: DataFrame, columns: Sequence[str], groupby: str) -> DataFrame:
+    """Rows per variable, distinct value and outcome, without missing values."""
     long = long_values(df.where(F.col(groupby).isNotNull()), columns, [groupby])
-    counted = long.groupBy("variable", "value").agg(
-        F.count("*").alias("n"),
-        *[F.count(F.when(F.col(groupby) == v, 1)).alias(f"n{i}") for i, v in enumerate(levels)],
+    return long.groupBy("variable", "value", groupby).agg(F.count("*").alias("n"))
+
+
+def _kruskal(counts: DataFrame, groupby: str) -> DataFrame:
+    """Kruskal-Wallis H per variable, corrected for ties; outcomes are rows."""
+    values = counts.groupBy("variable", "value").agg(F.sum("n").alias("m"))
+    m = F.col("m").cast("double")
+    placed = running_totals(values, [F.col("value").asc()], {"below": F.col("m")}, ["variable"])
+    sizes = placed.groupBy("variable").agg(F.sum(m).alias("N"), F.sum(m * m * m - m).alias("ties"))
+    midranks = placed.select("variable", "value", (F.col("below") + (m + 1) / 2).alias("midrank"))
+    # a sum per variable and outcome, then one row per variable
+    sums = counts.join(midranks, ["variable", "value"]).groupBy("variable", groupby).agg(
+        F.sum(F.col("n") * F.col("midrank")).alias("R"), F.sum("n").cast("double").alias("size")
     )
-    below = {"below": F.col("n")} | {f"below{i}": F.col(f"n{i}") for i in range(len(levels))}
-    return running_totals(counted, [F.col("value").asc()], below, ["variable"])
-
-
-def _kruskal(totals: DataFrame, n_levels: int) -> DataFrame:
-    """Kruskal-Wallis H per variable, corrected for ties."""
-    n = F.col("n").cast("double")
-    midrank = F.col("below") + (n + 1) / 2
-    sums = totals.groupBy("variable").agg(
-        F.sum(n).alias("N"),
-        F.sum(n * n * n - n).alias("ties"),
-        *[F.sum(F.col(f"n{i}") * midrank).alias(f"R{i}") for i in range(n_levels)],
-        *[F.sum(f"n{i}").cast("double").alias(f"N{i}") for i in range(n_levels)],
+    squares = sums.groupBy("variable").agg(
+        F.sum(F.col("R") * F.col("R") / F.col("size")).alias("squares"), F.count("*").alias("groups")
     )
-    big = F.col("N")
-    squares: Column = F.lit(0.0)
-    groups: Column = F.lit(0)
-    for i in range(n_levels):
-        filled = F.col(f"N{i}") > 0
-        squares = squares + F.when(filled, F.col(f"R{i}") * F.col(f"R{i}") / F.col(f"N{i}")).otherwise(0.0)
-        groups = groups + F.when(filled, 1).otherwise(0)
-    raw = F.lit(12.0) / (big * (big + 1)) * squares - (big + 1) * 3
+    big, groups = F.col("N"), F.col("groups")
+    raw = F.lit(12.0) / (big * (big + 1)) * F.col("squares") - (big + 1) * 3
     spread = F.lit(1.0) - F.col("ties") / (big * big * big - big)
     usable = (big > 1) & (groups > 1) & (spread > 0)
-    return sums.select("variable", F.when(usable, raw / spread).alias("statistic"), (groups - 1).alias("df"))
+    return squares.join(sizes, "variable").select(
+        "variable", F.when(usable, raw / spread).alias("statistic"), (groups - 1).cast("int").alias("df")
+    )
 
 
 def kruskal_wallis(df: DataFrame, columns: Sequence[str], groupby: str) -> DataFrame:
     """H statistic and degrees of freedom per variable."""
-    levels = outcome_levels(df, groupby)
-    return _kruskal(_value_totals(df, columns, groupby, levels), len(levels))
+    return _kruskal(pin(value_counts(df, columns, groupby)), groupby)
 
 
 def continuous_quartiles(df: DataFrame, columns: Sequence[str], groupby: str) -> DataFrame:
     """Median and quartiles per variable and outcome."""
-    levels = outcome_levels(df, groupby)
-    return _quartiles(_value_totals(df, columns, groupby, levels), levels, groupby)
+    return _quartiles(value_counts(df, columns, groupby), groupby)
 
 
-def _quartiles(totals: DataFrame, levels: Sequence, groupby: str) -> DataFrame:
-    probs = [0.25, 0.5, 0.75]
-    per_level = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(v).alias(groupby), F.col(f"n{i}").alias("cnt"), F.col(f"below{i}").alias("before"))
-                for i, v in enumerate(levels)
-            ]
-        )
-    )
-    rows = totals.select("variable", "value", per_level.alias("g")).select("variable", "value", "g.*")
-    return quantile_rows(rows, ["variable", groupby], "value", "cnt", "before", probs).select(
-        "variable", groupby, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
+def _quartiles(counts: DataFrame, groupby: str) -> DataFrame:
+    group = ["variable", groupby]
+    rows = running_totals(counts, [F.col("value").asc()], {"before": F.col("n")}, group)
+    return quantile_rows(rows, group, "value", "n", "before", [0.25, 0.5, 0.75]).select(
+        *group, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
     )
 
 
@@ -99,59 +93,51 @@ def level_shares(counts: DataFrame, groupby: str) -> DataFrame:
     )
 
 
-def chi_squared(counts: DataFrame, groupby: str, levels: Sequence, correct: bool = True) -> DataFrame:
-    """Chi-squared test of independence per variable.
+def chi_squared(counts: DataFrame, groupby: str, levels: Sequence = (), correct: bool = True) -> DataFrame:
+    """Chi-squared test of independence per variable; outcomes are rows.
 
-    2x2 tables get the continuity correction when ``correct``; the smallest
-    expected count and, for 2x2 tables, the four cells are returned as well.
+    Where ``levels`` names two outcomes, 2x2 tables get the continuity
+    correction when ``correct``, and their four cells are returned.  The
+    smallest expected count is that of the rarest level and outcome.
     """
-    wide = counts.groupBy("variable", "level").agg(
-        *[F.sum(F.when(F.col(groupby) == v, F.col("n")).otherwise(0)).alias(f"n{i}") for i, v in enumerate(levels)]
+    n = F.col("n").cast("double")
+    rows = counts.groupBy("variable", "level").agg(F.sum(n).alias("R"))
+    columns = counts.groupBy("variable", groupby).agg(F.sum(n).alias("C"))
+    by_row = rows.groupBy("variable").agg(
+        F.count("*").alias("n_levels"), F.sum("R").alias("N"), F.min("R").alias("least_row"),
+        F.min("level").alias("first"), F.max("level").alias("last"),
     )
-    width = len(levels)
-    row = sum((F.col(f"n{i}") for i in range(1, width)), F.col("n0")).cast("double")
-    # a table per variable: its columns are the outcomes, its rows the levels
-    columns = wide.groupBy("variable").agg(*[F.sum(f"n{i}").cast("double").alias(f"C{i}") for i in range(width)])
-    total = sum((F.col(f"C{i}") for i in range(1, width)), F.col("C0"))
-    joined = wide.join(F.broadcast(columns), "variable").select("*", row.alias("R"), total.alias("N"))
-    share: Column = F.lit(0.0)
-    expected = []
-    for i in range(width):
-        used = F.col(f"C{i}") > 0
-        share = share + F.when(used, F.col(f"n{i}") * F.col(f"n{i}") / (F.col("R") * F.col(f"C{i}"))).otherwise(0.0)
-        expected.append(F.when(used, F.col("R") * F.col(f"C{i}") / F.col("N")))
-    smallest = F.array_min(F.array(*expected))
-    first = F.min(F.struct("level", *[f"n{i}" for i in range(width)]))
-    last = F.max(F.struct("level", *[f"n{i}" for i in range(width)]))
-    stats = joined.groupBy("variable").agg(
-        F.count("*").alias("n_levels"),
-        F.max("N").alias("N"),
-        F.sum(share).alias("share"),
-        F.min(smallest).alias("min_expected"),
-        first.alias("first"),
-        last.alias("last"),
-        *[F.max(f"C{i}").alias(f"C{i}") for i in range(width)],
+    by_column = columns.groupBy("variable").agg(
+        F.count("*").alias("n_outcomes"), F.min("C").alias("least_column"), F.product("C").alias("across")
     )
-    filled = sum(
-        (F.when(F.col(f"C{i}") > 0, 1).otherwise(0) for i in range(1, width)), F.when(F.col("C0") > 0, 1).otherwise(0)
+    cells = null_safe_join(counts.join(rows, ["variable", "level"]), columns, ["variable", groupby], "inner")
+    cells = cells.join(by_row.select("variable", "first", "last"), "variable")
+    pair = list(levels) if len(levels) == 2 else []
+    corners = {
+        name: F.sum(F.when((F.col("level") == F.col(end)) & (F.col(groupby) == v), F.col("n")).otherwise(0))
+        for name, (end, v) in zip("abcd", [(end, v) for end in ("first", "last") for v in pair])
+    }
+    shares = cells.groupBy("variable").agg(
+        F.sum(n * n / (F.col("R") * F.col("C"))).alias("share"), *[c.alias(f"_{name}") for name, c in corners.items()]
     )
+    stats = by_row.join(by_column, "variable").join(shares, "variable")
     plain = F.greatest(F.col("N") * (F.col("share") - 1), F.lit(0.0))
     statistic = plain
-    cells = [F.lit(None).cast("long").alias(c) for c in "abcd"]
-    if width == 2:
+    shown = [F.lit(None).cast("long").alias(c) for c in "abcd"]
+    if pair:
         square = F.col("n_levels") == 2
-        a, b = F.col("first.n0"), F.col("first.n1")
-        c, d = F.col("last.n0"), F.col("last.n1")
-        cells = [F.when(square, x).alias(n) for n, x in zip("abcd", (a, b, c, d))]
+        shown = [F.when(square, F.col(f"_{c}")).alias(c) for c in "abcd"]
         if correct:
             # doubles: products of counts leave the integer range at scale
-            a, b, c, d = (x.cast("double") for x in (a, b, c, d))
+            a, b, c, d = (F.col(f"_{x}").cast("double") for x in "abcd")
             gap = F.greatest(F.abs(a * d - b * c) - F.col("N") / 2, F.lit(0.0))
-            margins = (a + b) * (c + d) * F.col("C0") * F.col("C1")
-            statistic = F.when(square & (margins > 0), F.col("N") * gap * gap / margins).otherwise(plain)
-    dof = (F.col("n_levels") - 1) * (filled - 1)
+            margins = (a + b) * (c + d) * F.col("across")
+            full = square & (F.col("n_outcomes") == 2)
+            statistic = F.when(full, F.col("N") * gap * gap / margins).otherwise(plain)
+    dof = (F.col("n_levels") - 1) * (F.col("n_outcomes") - 1)
     return stats.select(
-        "variable", F.when(dof > 0, statistic).alias("statistic"), dof.cast("int").alias("df"), "min_expected", *cells
+        "variable", F.when(dof > 0, statistic).alias("statistic"), dof.cast("int").alias("df"),
+        (F.col("least_row") * F.col("least_column") / F.col("N")).alias("min_expected"), *shown,
     )
 
 
@@ -159,11 +145,11 @@ def _test_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "variable string, pval double, test string")
 
 
-def continuous_tests(totals: DataFrame, n_levels: int) -> DataFrame:
+def continuous_tests(counts: DataFrame, groupby: str) -> DataFrame:
     """p-value per variable; the driver sees one row per variable."""
-    stats = _kruskal(totals, n_levels).collect()
+    stats = _kruskal(counts, groupby).collect()
     rows = [(r["variable"], chi2_tail(r["statistic"], r["df"]), "Kruskal-Wallis") for r in stats]
-    return _test_table(totals.sparkSession, rows)
+    return _test_table(counts.sparkSession, rows)
 
 
 def categorical_tests(counts: DataFrame, groupby: str, levels: Sequence) -> DataFrame:
@@ -221,16 +207,16 @@ def table_one(
         return [F.max(F.when(F.col(groupby) == v, text)).alias(f"group_{v}") for v in levels]
 
     if continuous:
-        totals = pin(_value_totals(df, continuous, groupby, levels))
+        values = pin(value_counts(df, continuous, groupby))
         text = F.format_string("%.2f [%.2f,%.2f]", "median", "q1", "q3")
-        rows = _quartiles(totals, levels, groupby).groupBy("variable").agg(*per_outcome(text))
+        rows = _quartiles(values, groupby).groupBy("variable").agg(*per_outcome(text))
         parts.append(
             rows.select(
                 place.alias("_pos"), "variable", F.concat("variable", F.lit(" (median [IQR])")).alias("features"),
                 F.lit("").alias("level"), *[f"group_{v}" for v in levels],
             )
         )
-        tests.append(continuous_tests(totals, len(levels)))
+        tests.append(continuous_tests(values, groupby))
     if categorical:
         counts = pin(level_counts(df, categorical, groupby))
         text = F.format_string("%d (%.2f)", "n", "pct")
