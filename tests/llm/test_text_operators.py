@@ -1,6 +1,7 @@
 """Token counts, BPE, SimHash, substring and line dedup against plain versions."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -37,6 +38,22 @@ def test_safe_cuts_keep_tokens():
         assert sum((plain.encode(p).ids for p in parts), []) == plain.encode(text).ids
 
 
+def test_token_counts_of_texts_without_blanks_and_of_runs(spark):
+    """Units end at letters and digits, lines and ideographic punctuation too."""
+    r = random.Random(4)
+    bits = ["a", "b ", "  ", " ", "\n", "\t", "\r\n", "12", "x9", "'s", "'ll", "<|endoftext|>", "\u3002", "\u3001", "\uff0c"]
+    bits += ["\u6f22\u5b57", "\u304b\u306a", "\u30ab", "\u30fb", "\u00e9", "\u00a0", "\u3000", "<", "|", ">", "!!", "\x0b", "\x1f", "\u0663"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(40))) for _ in range(3000)]
+    texts += ["  <|endoftext|>", "a \n <|endoftext|>b", "tail  ", "next", "\u6f22\u5b57\u3002" * 20_000, "ab12" * 20_000]
+    plain = Tokenizer.from_file(vocabulary(COUNT_VOCABULARY))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {q.doc_id: (q.n_bytes, q.n_tokens) for q in token_counts(frame, vocabulary(COUNT_VOCABULARY)).collect()}
+    assert got == {i: (len(t.encode()), len(plain.encode(t).ids)) for i, t in enumerate(texts)}
+    for text in texts[-2:]:
+        edges = [0, *safe_cuts(np.frombuffer(text.encode(), np.uint8), b"<").tolist(), len(text.encode())]
+        assert max(np.diff(edges)) < 20
+
+
 def test_encode_and_decode(docs):
     plain = Tokenizer.from_file(vocabulary(WORD_VOCABULARY))
     plain.no_truncation()
