@@ -121,6 +121,28 @@ def test_fits_together_equal_fits_alone(table, monkeypatch):
     assert all(len({r.feature for r in nodes if r.tree == t and r.feature}) <= 2 for t in range(12))
 
 
+def test_a_task_holds_the_folds_of_its_own_fits_and_packed_margins(spark, monkeypatch):
+    monkeypatch.setattr(fits, "CHUNK_ROWS", 500)
+    monkeypatch.setattr(boosting, "GROUP_FITS", 20)
+    rows = spark.range(2400).selectExpr("id", "cast(id % 2 as double) x", "cast(id % 3 = 0 as int) y")
+    seeds = range(8)
+    folds = F.array(*[F.pmod(F.col("id") + s, F.lit(10)).cast("int") for s in seeds])
+    every = [Fit(f, s, {"seed": s, "fold": f}) for s in seeds for f in range(10)]
+    p = Boost(0.3, 3, 1)
+    model = boosted(rows, ["x"], "id", "y", every, p, folds)
+    work = model.work.selectExpr("size(keys) n", "length(folds) folds", "length(bins) bins").collect()
+    assert len(work) == model.n_chunks * 4 and all(r.folds == 2 * 2 * r.n and r.bins == r.n for r in work)
+    state = model.states[-1].where("kind = 'margin'").selectExpr("size(keys) n", "length(data) size").collect()
+    assert all(r.size < 8 * 20 * r.n / 4 for r in state)
+    together = {(r.seed, r.fold, r.key): r.score for r in model.scores().collect()}
+    assert len(together) == 8 * 2400
+    # blocks of fits inside a task change nothing
+    monkeypatch.setattr(boosting, "CELLS", 1)
+    monkeypatch.setattr(boosting, "HELD_BYTES", 1)
+    alone = boosted(rows, ["x"], "id", "y", every, p, folds).scores()
+    assert {(r.seed, r.fold, r.key): pytest.approx(r.score, abs=1e-9) for r in alone.collect()} == together
+
+
 def test_row_and_column_draws():
     p = Boost(row_share=0.7, column_share=0.5, seed=9)
     ties = np.random.default_rng(0).integers(0, 2**63, 20000).astype(np.uint64)
