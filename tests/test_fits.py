@@ -143,6 +143,21 @@ def test_a_task_holds_the_folds_of_its_own_fits_and_packed_margins(spark, monkey
     assert {(r.seed, r.fold, r.key): pytest.approx(r.score, abs=1e-9) for r in alone.collect()} == together
 
 
+def test_a_table_of_a_few_chunks_grows_without_a_job_per_level(table, monkeypatch):
+    p = Boost(0.2, 12, 3, 1.0, 0.8, 0.7, 0.1, 1.0, 0.01, 1.0, 5)
+    monkeypatch.setattr(fits, "CHUNK_ROWS", 40)
+
+    def level(*_):
+        raise AssertionError("a job per level")
+
+    monkeypatch.setattr(boosting.Booster, "_level", level)
+    whole = boosted(table, COLUMNS, "id", "y", FOUR, p, fold())
+    assert whole.n_chunks == 1 and len(whole.states) == 1 and whole.scores().count() == 120
+    monkeypatch.setattr(fits, "CHUNK_ROWS", 29)
+    with pytest.raises(AssertionError, match="job per level"):
+        boosted(table, COLUMNS, "id", "y", FOUR, p, fold())
+
+
 def test_row_and_column_draws():
     p = Boost(row_share=0.7, column_share=0.5, seed=9)
     ties = np.random.default_rng(0).integers(0, 2**63, 20000).astype(np.uint64)
