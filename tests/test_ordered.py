@@ -274,3 +274,43 @@ def test_slices_are_sized_by_rows(spark, monkeypatch, partitions):
         assert "BroadcastHashJoin" in above and "SortMergeJoin" not in above
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_an_anchor_is_dealt_out_once_whatever_the_items(spark, tmp_path):
+    from wardframe.operators import nearest
+
+    anchors = spark.range(50).selectExpr("id key", "timestamp_ntz '2100-01-01' a", "repeat('x', 50) note")
+    ev = spark.range(200).selectExpr(
+        "id % 50 key", "cast(id % 7 as int) item", "timestamp_ntz '2100-01-01' + make_interval(0,0,0,0, cast(id % 9 as int) - 4) time",
+        "cast(id as double) value")
+    items = [*range(40)]
+    near = nearest._neighbours(anchors, ev, ["key"], F.col("a"), items)
+    assert near.count() == 50 and {len(r.near) for r in near.collect()} == {40}
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    # the items multiply no row and a time-ordered run is sorted once
+    assert "Window" not in plan and "explode" not in plan and plan.count("Sort ") == 1
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_blocks_of_the_search_change_nothing(spark, monkeypatch, block):
+    from wardframe.operators import nearest
+
+    monkeypatch.setattr(nearest, "RUN_ROWS", 40)
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", block)
+    at = "timestamp_ntz '2100-01-01' + make_interval(0,0,0,0, {})"
+    # a null key, a null time, equal times, equal anchors and a null value
+    anchors = spark.range(90).selectExpr("if(id % 9 = 8, null, id % 9) key", f"{at.format('cast(id % 5 as int)')} a", "id % 2 note")
+    ev = spark.range(300).selectExpr(
+        "if(id % 11 = 10, null, id % 11) key", "cast(id % 3 as int) item",
+        f"if(id % 17 = 0, null, {at.format('cast(id % 13 as int) - 4')}) time", "if(id % 19 = 0, null, cast(id % 23 as double)) value")
+    got = nearest_values(anchors, ev, ["key"], "a", {"x": 0, "y": 2, "z": 9}, presence=True).collect()
+    known, rows = ev.collect(), set()
+    for r in {tuple(r) for r in anchors.collect()}:
+        out = []
+        for item in (0, 2, 9):
+            own = [e for e in known if e.key == r[0] and e.item == item]
+            gaps = [abs((e.time - r[1]).total_seconds()) if e.time else 1e18 for e in own]
+            best = [e.value for e, g in zip(own, gaps, strict=True) if g == min(gaps)]
+            out.append((max((v for v in best if v is not None), default=None), bool(own)))
+        rows.add((*r, *[v for v, _ in out], *[h for _, h in out]))
+    assert len(got) == len(rows) and {tuple(r) for r in got} == rows

@@ -31,13 +31,18 @@ def micros(time: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_ORIGIN), time)
 
 
-def even_cell(time: Column, width: int) -> Column:
-    """Start of the cell of ``width`` microseconds that holds ``time``."""
+def even_cell(time: Column, width: int | None) -> Column:
+    """Start of the cell of ``width`` microseconds that holds ``time``; without
+    a width one cell holds all time."""
+    if width is None:
+        return F.lit(NO_CELL)
     at = micros(time)
     return F.coalesce(at - F.pmod(at, F.lit(width)), F.lit(NO_CELL))
 
 
-def dense_cells(rows: DataFrame, keys: Sequence[str], time: str, width: int, cell_rows: int | None = None) -> DataFrame | None:
+def dense_cells(
+    rows: DataFrame, keys: Sequence[str], time: str, width: int | None, cell_rows: int | None = None
+) -> DataFrame | None:
     """(``keys``, ``_start``, ``_cuts``): cells above the limit with the times,
     in microseconds and ascending, at which they are divided; None if no cell is.
 
@@ -47,6 +52,13 @@ def dense_cells(rows: DataFrame, keys: Sequence[str], time: str, width: int, cel
     that may be broadcast.  A cell whose
     rows share one time has no cut.
     """
+    return counted_cells(rows, keys, time, width, cell_rows)[0]
+
+
+def counted_cells(
+    rows: DataFrame, keys: Sequence[str], time: str, width: int | None, cell_rows: int | None = None
+) -> tuple[DataFrame | None, int]:
+    """:func:`dense_cells` and the number of rows."""
     keys = list(keys)
     slot = F.pmod(F.xxhash64(*keys, "_start"), F.lit(BUCKETS)).cast("int")
     light = rows.select(*keys, F.col(time).alias("_t")).select(
@@ -54,15 +66,16 @@ def dense_cells(rows: DataFrame, keys: Sequence[str], time: str, width: int, cel
     ).withColumn("_slot", slot)
     histogram = light.groupBy("_slot").agg(F.count("*").alias("_n"))
     total, most = histogram.agg(F.sum("_n"), F.max("_n")).first()
-    limit = max(cell_rows or CELL_ROWS, 2 * (total or 0) // BUCKETS)
+    total = total or 0
+    limit = max(cell_rows or CELL_ROWS, 2 * total // BUCKETS)
     if (most or 0) <= limit:
-        return None
+        return None, total
     slots = histogram.where(F.col("_n") > limit).select("_slot")  # less than BUCKETS rows
     inside = light.join(F.broadcast(slots), "_slot", "left_semi")
     sizes = inside.groupBy(*keys, "_start").agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
     found = sizes.collect()  # at most BUCKETS / 2 rows
     if not found:
-        return None
+        return None, total
     sizes = F.broadcast(rows.sparkSession.createDataFrame(found, sizes.schema))
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*keys, "_start")]
     wanted = inside.alias("l").join(sizes.alias("s"), on).select("l.*", "s._n")
@@ -73,10 +86,10 @@ def dense_cells(rows: DataFrame, keys: Sequence[str], time: str, width: int, cel
     cuts = spread.withColumn("_step", step).select(
         *keys, "_start", F.expr(f"array_distinct(filter(coalesce(_q, array()), (q, i) -> (i + 1) % _step = 0 AND q > _start)) AS {CUTS}")
     )
-    return rows.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
+    return rows.sparkSession.createDataFrame(cuts.collect(), cuts.schema), total
 
 
-def with_cell(rows: DataFrame, keys: Sequence[str], time: str, width: int, dense: DataFrame | None, name: str) -> DataFrame:
+def with_cell(rows: DataFrame, keys: Sequence[str], time: str, width: int | None, dense: DataFrame | None, name: str) -> DataFrame:
     """``rows`` with the start of their cell as ``name`` and, as ``_cuts``, the
     cuts of the dense cell they came from (NULL elsewhere)."""
     if dense is None:
