@@ -6,7 +6,7 @@ Every function takes ``t``, a mapping from table name to DataFrame (see
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -217,12 +217,19 @@ def select_cohort(t: Tables) -> DataFrame:
     return co.flag_exclusions(joined, co.exclusion_rules(min_days=1, min_age=16))
 
 
-def final_cohort(t: Tables) -> DataFrame:
+def final_cohort(t: Tables, of_admissions: Callable[[DataFrame], Tables] | None = None) -> DataFrame:
     """The wide feature table: labs, enzymes, vitals, treatments, blood gas,
-    comorbidities, demographics and diagnosis type of the cohort's stays."""
+    comorbidities, demographics and diagnosis type of the cohort's stays.
+
+    Tables that are joins themselves may be made from the cohort's admissions
+    alone: ``of_admissions`` gets their ids and returns the tables with at least
+    the rows of these admissions.
+    """
     applied = ["exclusion_1st_care_unit", "exclusion_age", "exclusion_first_stay"]
     # the cohort is read by every feature below, so it is written once
     cohort = pin(co.apply_exclusions(select_cohort(t), applied))
+    if of_admissions is not None:
+        t = of_admissions(cohort.select("hadm_id").distinct())
     t = _cohort_tables(t, cohort)
     # vital signs and enzymes come from one pass over the charts
     charted = {**codes.VITAL_CODES, **codes.LIVER_CODES}
