@@ -4,7 +4,8 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from wardframe.plans import clinical
+from wardframe.operators import cohort as co
+from wardframe.plans import clinical, queries
 from wardframe.plans import standins as st
 
 DAY = datetime(1996, 3, 1)
@@ -53,3 +54,19 @@ def test_final_cohort_asks_for_its_own_admissions(spark, folder):
     some = clinical.final_cohort(tables, of_admissions).collect()
     assert sorted(map(str, some)) == sorted(map(str, whole)) != []
     assert set(asked) == {r.hadm_id for r in whole} and len(asked) < tables["icustays"].select("hadm_id").distinct().count()
+
+
+def test_star_searches_the_charts_of_its_cohort(spark, folder, monkeypatch):
+    seen, search = [], clinical.nearest_charts
+
+    def nearest_charts(t, *rest):
+        seen.append({n: {r.icustay_id for r in df.collect()} for n, df in t.items()})
+        return search(t, *rest)
+
+    kinds = st.order_diagnoses(spark, folder).selectExpr("hadm_id * 10 + 1 AS hadm_id", "1 seq_num", "'2020' icd9_code").distinct()
+    monkeypatch.setattr(st, "order_diagnoses", lambda *_: kinds)
+    monkeypatch.setattr(clinical, "nearest_charts", nearest_charts)
+    ids = {r.icustay_id for r in queries._star(spark, folder).select("icustay_id").collect()}
+    cohort = co.apply_exclusions(queries._cohort(spark, folder), queries.APPLIED)
+    assert ids == {r.icustay_id for r in cohort.collect()} and 0 < len(ids) < 300
+    assert seen == [{"icustays": ids, "chartevents": ids}]
