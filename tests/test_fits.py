@@ -158,6 +158,22 @@ def test_a_table_of_a_few_chunks_grows_without_a_job_per_level(table, monkeypatc
         boosted(table, COLUMNS, "id", "y", FOUR, p, fold())
 
 
+def test_levels_read_stored_bin_numbers(table, monkeypatch):
+    monkeypatch.setattr(fits, "CHUNK_ROWS", 16)
+    p = Boost(0.2, 2, 3, 1.0)
+    model = boosted(table, COLUMNS, "id", "y", FOUR, p, fold())
+    # a byte per row and feature is all that a level reads of the features
+    assert "x" not in model.work.columns and model.n_chunks > 4
+    values = {r[0]: [math.nan if v is None else v for v in r[1:4]] for r in made_rows()}
+    for r in model.work.collect():
+        x = np.array([values[k] for k in r["keys"]])
+        assert r.bins == boosting.binned(x, model.cuts).tobytes()
+    # a level's splits reach the driver as plain numbers, a row per fit
+    parts = model.work.withColumn("data", F.lit(None).cast("binary"))
+    found = model._level(parts, parts.rdd.getNumPartitions(), [boosting.Trees(4, 3)], 0, 0)
+    assert set(found) == set(boosting.SPLIT) and all(v.shape == (4, 1) for v in found.values())
+
+
 def test_row_and_column_draws():
     p = Boost(row_share=0.7, column_share=0.5, seed=9)
     ties = np.random.default_rng(0).integers(0, 2**63, 20000).astype(np.uint64)
