@@ -174,6 +174,31 @@ def test_levels_read_stored_bin_numbers(table, monkeypatch):
     assert set(found) == set(boosting.SPLIT) and all(v.shape == (4, 1) for v in found.values())
 
 
+@pytest.mark.parametrize("kept,sent", [(1 << 27, 1 << 24), (1 << 27, 0), (0, 1 << 24), (0, 0)])
+def test_a_level_moves_margins_by_one_tree_and_adds_up_either_way(spark, table, monkeypatch, kept, sent):
+    p = Boost(0.2, 7, 3, 1.0, 0.8, 0.7, 0.1, 1.0, 0.01, 1.0, 5)
+    whole = {(r.fold, r.key): r.score for r in boosted(table, COLUMNS, "id", "y", FOUR, p, fold()).scores().collect()}
+    monkeypatch.setattr(fits, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(boosting, "KEPT_TREES", 5)
+    monkeypatch.setattr(boosting, "SETTLE_TREES", 3)
+    monkeypatch.setattr(boosting, "KEPT_BYTES", kept)
+    monkeypatch.setattr(boosting, "SENT_BYTES", sent)
+    level, applied = boosting.Booster._level, []
+
+    def seen(self, rows, parts, trees, tree, depth):
+        applied.append(len(trees) - 1)
+        return level(self, rows, parts, trees, tree, depth)
+
+    monkeypatch.setattr(boosting.Booster, "_level", seen)
+    before = set(spark.sparkContext._jsc.getPersistentRDDs())
+    model = boosted(table, COLUMNS, "id", "y", FOUR, p, fold())
+    assert model.n_chunks > 4 and len(applied) == 7 * 3
+    # trees since the last written margins are applied again only where margins are not persisted
+    assert max(applied) == (0 if kept else 2) and len(model.states) == (2 if kept else 3)
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= before
+    assert {(r.fold, r.key): pytest.approx(r.score, abs=1e-9) for r in model.scores().collect()} == whole
+
+
 def test_row_and_column_draws():
     p = Boost(row_share=0.7, column_share=0.5, seed=9)
     ties = np.random.default_rng(0).integers(0, 2**63, 20000).astype(np.uint64)
