@@ -199,6 +199,40 @@ def test_a_level_moves_margins_by_one_tree_and_adds_up_either_way(spark, table,
     assert {(r.fold, r.key): pytest.approx(r.score, abs=1e-9) for r in model.scores().collect()} == whole
 
 
+def sixteen(table):
+    seeds = range(4)
+    column, every = validate.repeated_folds(table, "id", seeds, 4)
+    return column, every
+
+
+def test_many_fits_over_several_chunks_take_no_job_per_level(table, monkeypatch):
+    p = Boost(0.2, 12, 3, 1.0, 0.8, 0.7, 0.1, 1.0, 0.01, 1.0, 5)
+    column, every = sixteen(table)
+    monkeypatch.setattr(fits, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(boosting, "MANY_FITS", 5)
+    stepped = boosting.Booster(table, COLUMNS, "id", "y", every, p, column)
+    assert not stepped.whole and stepped.n_chunks > 4
+    stepped.grow()
+    monkeypatch.setattr(boosting, "MANY_FITS", 4)
+
+    def level(*_):
+        raise AssertionError("a job per level")
+
+    monkeypatch.setattr(boosting.Booster, "_level", level)
+    whole = boosted(table, COLUMNS, "id", "y", every, p, column)
+    # margins stay with their chunks
+    assert whole.n_chunks > 4 and len(whole.states) == 1
+    assert whole.states[0].where("kind = 'margin'").count() == whole.n_chunks * len(whole.groups)
+    want = {(r.seed, r.fold, r.key): r.score for r in stepped.scores().collect()}
+    assert {(r.seed, r.fold, r.key): pytest.approx(r.score, abs=1e-9) for r in whole.scores().collect()} == want and len(want) == 4 * 120
+    keys = ["seed", "fold", "tree", "node", "feature", "cut"]
+    assert sorted(map(str, whole.nodes().select(keys).collect())) == sorted(map(str, stepped.nodes().select(keys).collect()))
+    # more rows than a task may have go on in lock step
+    monkeypatch.setattr(boosting, "WHOLE_ROWS", 119)
+    with pytest.raises(AssertionError, match="job per level"):
+        boosted(table, COLUMNS, "id", "y", every, p, column)
+
+
 def test_row_and_column_draws():
     p = Boost(row_share=0.7, column_share=0.5, seed=9)
     ties = np.random.default_rng(0).integers(0, 2**63, 20000).astype(np.uint64)
