@@ -199,6 +199,68 @@ def test_a_level_moves_margins_by_one_tree_and_adds_up_either_way(spark, table,
     assert {(r.fold, r.key): pytest.approx(r.score, abs=1e-9) for r in model.scores().collect()} == whole
 
 
+def plain_trees(bins, y, tie, learns, widths, p):
+    """Every level's sums made of all rows, and rows moved node by node."""
+    margin, done = np.zeros(learns.shape), []
+
+    class Rows:
+        pass
+
+    rows = Rows()
+    rows.bins, rows.y, rows.tie = bins, y, tie
+    for tree in range(p.trees):
+        columns, now = boosting.drawn_columns(len(widths), p, tree), boosting.Trees(len(margin), p.depth)
+        g, h = boosting.gradients(margin, rows, learns, p, tree)
+        at = np.zeros(margin.shape, np.int64)
+        for depth in range(p.depth):
+            at = now.step(bins, at) if depth else at
+            now.put(depth, boosting.best_splits(boosting.histograms(rows, at, depth, g, h, widths, columns), columns, p))
+        now.finish(p)
+        margin += now.margins(bins)
+        done.append(now)
+    return margin, done
+
+
+@pytest.mark.parametrize("p", [
+    Boost(0.3, 20, 3, 1.0, 0.9, 0.7, 0.0, 1.0, 0.01, 1.0, 27), Boost(0.1, 18, 5, 3.0, 0.7, 0.8, seed=2),
+    Boost(0.5, 4, 4, 0.2, gamma=2.0, positive_weight=3.0), Boost(0.4, 3, 1), Boost(300.0, 5, 2, 0.5),
+])
+@pytest.mark.parametrize("tile,held", [(1 << 18, 1 << 26), (700, 1 << 26), (150, 1)])
+def test_a_split_is_summed_by_its_smaller_child(monkeypatch, p, tile, held):
+    monkeypatch.setattr(boosting, "TILE_CELLS", tile)
+    monkeypatch.setattr(boosting, "HELD_BYTES", held)
+    rng = np.random.default_rng(8)
+    n, fits = 400, 6
+    x = np.stack([rng.integers(0, 9, n), rng.normal(size=n), rng.random(n) < 0.1, np.where(rng.random(n) < 0.9, np.nan, rng.normal(size=n)),
+                  np.where(rng.random(n) < 0.1, np.nan, rng.exponential(size=n)), np.zeros(n)], axis=1).astype(float)
+    x = np.concatenate([x, x[:60]])
+    y = (np.nan_to_num(x[:, 1]) + x[:, 0] / 4 + 2 * x[:, 2] + rng.normal(size=len(x)) > 1.2).astype(float)
+    cuts = [np.unique(v[~np.isnan(v)])[:-1][-250:] for v in x.T]
+    bins, tie = boosting.binned(x, cuts), rng.integers(0, 2**62, len(x)).astype(np.uint64)
+    widths, learns = [len(c) + 1 for c in cuts], rng.random((fits, len(x))) < 0.8
+    want, trees = plain_trees(bins, y, tie, learns, widths, p)
+    summed, count = [], np.bincount
+
+    def counted(values, weights=None, minlength=0):
+        summed.append(len(values) if weights is not None else 0)
+        return count(values, weights, minlength)
+
+    grower, got, margin = boosting.Grower(bins, y, tie, widths, p), [], np.zeros(learns.shape)
+    monkeypatch.setattr(boosting.np, "bincount", counted)
+    size = grower.block()
+    for i in range(0, fits, size):
+        got.append(grower.grow(margin[i : i + size], learns[i : i + size], range(p.trees)))
+    monkeypatch.setattr(boosting.np, "bincount", count)
+    assert np.allclose(margin, want, rtol=1e-9, atol=1e-9)
+    for tree, own in enumerate(trees):
+        now = boosting._joined([block[tree] for block in got])
+        assert all(np.array_equal(getattr(now, k), getattr(own, k)) for k in ("feature", "cut", "left", "alive"))
+        assert np.allclose(now.value, own.value, rtol=1e-9, atol=1e-9) and np.allclose(now.gain, own.gain, rtol=1e-9, atol=1e-9)
+    # the root and less than the half of each level, of each drawn column, g and h
+    most = len(x) * fits * p.trees * len(boosting.drawn_columns(len(widths), p, 0)) * 2
+    assert sum(summed) < most * (1 + 0.6 * (p.depth - 1))
+
+
 def sixteen(table):
     seeds = range(4)
     column, every = validate.repeated_folds(table, "id", seeds, 4)
