@@ -295,6 +295,24 @@ def test_many_fits_over_several_chunks_take_no_job_per_level(table, monkeypatch)
         boosted(table, COLUMNS, "id", "y", every, p, column)
 
 
+def test_holdouts_of_many_rows_are_shared_out_evenly_in_bounded_tasks(table, monkeypatch):
+    p = Boost(0.2, 9, 3, 1.0, 0.8, 0.7, 0.1, 1.0, 0.01, 1.0, 5)
+    column, every = validate.repeated_holdouts(table, "id", range(1, 20), 0.3)
+    together = {(r.seed, r.key): r.score for r in boosted(table, COLUMNS, "id", "y", every, p, column).scores().collect()}
+    assert len(together) == 19 * 36
+    monkeypatch.setattr(fits, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(boosting, "TASK_CELLS", 4 * 120)
+    monkeypatch.setattr(boosting, "BATCH_CELLS", 3 * 120 * 4)
+    model = boosted(table, COLUMNS, "id", "y", every, p, column)
+    # 19 fits on 4 cores: 5 turns of one fit each, where groups of four would take 8
+    assert model.whole and [stop - start for start, stop in model.groups] == [1] * 19 and len(model.states) == 1
+    assert {(r.seed, r.key): pytest.approx(r.score, abs=1e-9) for r in model.scores().collect()} == together
+    monkeypatch.setattr(boosting, "BATCH_CELLS", 4 * 120)
+    again = boosted(table, COLUMNS, "id", "y", every, p, column)
+    assert len(again.states) == 3
+    assert {(r.seed, r.key): pytest.approx(r.score, abs=1e-9) for r in again.scores().collect()} == together
+
+
 def test_row_and_column_draws():
     p = Boost(row_share=0.7, column_share=0.5, seed=9)
     ties = np.random.default_rng(0).integers(0, 2**63, 20000).astype(np.uint64)
