@@ -261,6 +261,21 @@ def test_a_split_is_summed_by_its_smaller_child(monkeypatch, p, tile, held):
     assert sum(summed) < most * (1 + 0.6 * (p.depth - 1))
 
 
+def test_trees_that_end_early_keep_their_rows():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2, (300, 2)).astype(float)
+    y = (x[:, 0] + rng.random(300) > 0.8).astype(float)
+    bins, tie = boosting.binned(x, [np.array([0.0])] * 2), rng.integers(0, 2**62, 300).astype(np.uint64)
+    learns, p = rng.random((5, 300)) < 0.8, Boost(0.3, 12, 5, 1.0, 0.8, 0.5, 0.0, 1.0, 0.01, 1.0, 5)
+    want, trees = plain_trees(bins, y, tie, learns, [2, 2], p)
+    margin = np.zeros(learns.shape)
+    got = boosting.Grower(bins, y, tie, [2, 2], p).grow(margin, learns, range(p.trees))
+    # a tree of one column with two values has one split
+    assert all((t.feature[:, 1:] < 0).all() for t in trees) and any((t.feature[:, 0] >= 0).all() for t in trees)
+    assert np.allclose(margin, want, rtol=1e-9, atol=1e-9)
+    assert all(np.array_equal(a.feature, b.feature) and np.allclose(a.value, b.value) for a, b in zip(got, trees, strict=True))
+
+
 def sixteen(table):
     seeds = range(4)
     column, every = validate.repeated_folds(table, "id", seeds, 4)
